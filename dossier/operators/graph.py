@@ -289,7 +289,7 @@ def incident_edges(industries: DataFrame, strip_first: bool = False) -> DataFram
             F.lit(target_label).alias("to_label"),
         )
 
-    urls = F.filter(F.coalesce("sources", F.array().cast("array<string>")), fn.is_url)
+    urls = F.filter(F.coalesce("sources", F.array().cast("array<string>")), lambda u: fn.is_url(u))
     edges = F.concat(
         F.array(
             edge("industry", "Industry", "HAD_INCIDENT", F.col("id"), "Incident"),

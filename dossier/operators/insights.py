@@ -19,6 +19,10 @@ DIMENSIONS = {
 }
 
 
+def _mark(dimension: str, value: Column) -> Column:
+    return F.struct(F.lit(dimension).alias("dim"), value.alias("value"))
+
+
 def counts_by_dimension(postings: DataFrame) -> DataFrame:
     """Rows (dimension, value, n) for sector, year, group and country in one scan and one shuffle."""
     marks = F.array(
@@ -125,10 +129,10 @@ def sector_summary(raw: DataFrame, groups: int = 8, countries: int = 6) -> DataF
         present("ransom").alias("ransom"),
         F.explode(
             F.array(
-                F.struct(F.lit("total").alias("dim"), F.lit("").alias("value")),
-                F.struct(F.lit("year"), fn.year_of("attackdate").cast("string")),
-                F.struct(F.lit("group"), F.nullif(F.col("group"), F.lit(""))),
-                F.struct(F.lit("country"), F.nullif(F.col("country"), F.lit(""))),
+                _mark("total", F.lit("")),
+                _mark("year", fn.year_of("attackdate").cast("string")),
+                _mark("group", F.nullif(F.col("group"), F.lit(""))),
+                _mark("country", F.nullif(F.col("country"), F.lit(""))),
             )
         ).alias("m"),
     )

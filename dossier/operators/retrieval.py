@@ -208,11 +208,12 @@ def entity_footprint(postings: DataFrame, group: str) -> DataFrame:
 
     One scan counts all panels. Missing years and countries are dropped after the limits.
     """
+    mark = lambda panel, name: F.struct(F.lit(panel).alias("panel"), name.alias("name"))
     marks = F.array(
-        F.struct(F.lit("total").alias("panel"), F.lit("").alias("name")),
-        F.struct(F.lit("sector"), F.col("sector")),
-        F.struct(F.lit("year"), F.col("year").cast("string")),
-        F.struct(F.lit("country"), F.col("country")),
+        mark("total", F.lit("")),
+        mark("sector", F.col("sector")),
+        mark("year", F.col("year").cast("string")),
+        mark("country", F.col("country")),
     )
     counts = (
         by_group_prefix(postings, group)

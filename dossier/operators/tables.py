@@ -167,7 +167,7 @@ def incidents_table(industries: DataFrame, updated_at: Column | None = None) ->
         filled("downtime_and_recovery"),
         filled("data_impact"),
         filled("summary"),
-        F.filter(urls, fn.is_url).alias("sources"),
+        F.filter(urls, lambda u: fn.is_url(u)).alias("sources"),
         stamp.alias("updated_at"),
     )
 

@@ -20,6 +20,7 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName("dossier")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
