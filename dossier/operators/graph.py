@@ -6,9 +6,8 @@ they are found with semi joins, so a hub never multiplies its neighbours on both
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,17 +26,53 @@ from dossier.operators.tables import (
 EDGE = ["from", "from_label", "type", "to", "to_label"]
 
 
-@dataclass(frozen=True)
+class Lazy(Mapping):
+    """Named DataFrames, each planned when it is first asked for."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders, self._built = dict(builders), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 class Graph:
-    nodes: dict[str, DataFrame]
-    edges: DataFrame
+    """Nodes by label and edges, either as one table or by type.
+
+    ``by_type`` lets a query plan the edge types it needs and nothing else.
+    """
+
+    def __init__(
+        self,
+        nodes: Mapping[str, DataFrame],
+        edges: DataFrame | Callable[[], DataFrame],
+        by_type: Mapping[str, DataFrame] | None = None,
+    ):
+        self.nodes, self._edges, self.by_type = nodes, edges, by_type
+
+    @property
+    def edges(self) -> DataFrame:
+        if callable(self._edges):
+            self._edges = self._edges()
+        return self._edges
 
     def of_type(self, types: str | Sequence[str] | None) -> DataFrame:
         """Edges of one type, of several, or of any."""
         if types is None:
             return self.edges
         types = [types] if isinstance(types, str) else list(types)
-        return self.edges.filter(F.col("type").isin(types))
+        if self.by_type is None:
+            return self.edges.filter(F.col("type").isin(types))
+        known = [self.by_type[t] for t in types if t in self.by_type]
+        return reduce(DataFrame.unionByName, known) if known else self.edges.limit(0)
 
     def node_keys(self) -> DataFrame:
         """(label, id) of every node."""
@@ -64,7 +99,7 @@ def edge_rows(
 
 def category_nodes(industries: DataFrame, type: str) -> DataFrame:
     """Hazard or exposure nodes; the last label and description reported for a key count."""
-    rows = explode_categories(industries).filter(F.col("type") == type)
+    rows = explode_categories(industries, [type])
     named = require(rows.withColumn("id", fn.norm_key("category")), "id").select(
         "id",
         F.col("category").alias("name"),
@@ -77,14 +112,13 @@ def category_nodes(industries: DataFrame, type: str) -> DataFrame:
 
 
 def _subcategories(industries: DataFrame) -> DataFrame:
-    rows = explode_categories(industries).withColumn("key", fn.norm_key("category"))
-    return require(rows, "key").select(
+    return _categories(industries, ["hazard", "exposure"]).select(
         "_pos",
         "industry",
         "slot",
         "key",
         "category",
-        F.when(F.col("type") == "hazard", "Hazard").otherwise("Exposure").alias("label"),
+        "label",
         F.posexplode("subcategories").alias("sub_slot", "sub"),
     ).withColumn("id", F.concat("key", F.lit("::"), fn.norm_key("sub")))
 
@@ -252,58 +286,39 @@ def victim_nodes(raw_postings: DataFrame) -> DataFrame:
     return merged.select(F.concat("name", F.lit("::"), "sector").alias("id"), "*")
 
 
-def category_edges(industries: DataFrame) -> DataFrame:
-    """FACES, EXPOSES and INCLUDES from one scan of the categories."""
-    rows = explode_categories(industries).withColumn("key", fn.norm_key("category"))
-    hazard = F.col("type") == "hazard"
-    label = F.when(hazard, "Hazard").otherwise("Exposure")
-    node = F.struct(
-        F.col("industry").alias("from"),
-        F.lit("Industry").alias("from_label"),
-        F.when(hazard, "FACES").otherwise("EXPOSES").alias("type"),
-        F.col("key").alias("to"),
-        label.alias("to_label"),
-    )
-    subs = F.transform(
-        F.coalesce("subcategories", F.array().cast("array<string>")),
-        lambda s: F.struct(
-            F.col("key").alias("from"),
-            label.alias("from_label"),
-            F.lit("INCLUDES").alias("type"),
-            F.concat(F.col("key"), F.lit("::"), fn.norm_key(s)).alias("to"),
-            F.lit("Subcategory").alias("to_label"),
-        ),
-    )
-    return require(rows, "key").select(F.explode(F.concat(F.array(node), subs)).alias("e")).select("e.*")
+def _categories(industries: DataFrame, types: Sequence[str]) -> DataFrame:
+    rows = explode_categories(industries, types).withColumn("key", fn.norm_key("category"))
+    label = F.when(F.col("type") == "hazard", "Hazard").otherwise("Exposure")
+    return require(rows, "key").withColumn("label", label)
 
 
-def incident_edges(industries: DataFrame, strip_first: bool = False) -> DataFrame:
-    """HAD_INCIDENT, HIT, PERPETRATED_BY, OCCURRED_IN and CITED_BY from one scan of the incidents."""
+def category_edges(industries: DataFrame, type: str) -> DataFrame:
+    """FACES for hazards, EXPOSES for exposures."""
+    rows = _categories(industries, [type])
+    if type == "hazard":
+        return edge_rows(rows, "industry", "Industry", "FACES", "key", "Hazard")
+    return edge_rows(rows, "industry", "Industry", "EXPOSES", "key", "Exposure")
 
-    def edge(source: str, source_label: str, type: str, target: Column, target_label: str) -> Column:
-        return F.struct(
-            F.col(source).alias("from"),
-            F.lit(source_label).alias("from_label"),
-            F.lit(type).alias("type"),
-            target.alias("to"),
-            F.lit(target_label).alias("to_label"),
-        )
 
-    urls = F.filter(F.coalesce("sources", F.array().cast("array<string>")), lambda u: fn.is_url(u))
-    edges = F.concat(
-        F.array(
-            edge("industry", "Industry", "HAD_INCIDENT", F.col("id"), "Incident"),
-            edge("id", "Incident", "HIT", F.col("victim"), "Company"),
-            edge("id", "Incident", "OCCURRED_IN", fn.clean_country("country"), "Country"),
-        ),
-        F.transform(
-            fn.split_groups("group", strip_first),
-            lambda g: edge("id", "Incident", "PERPETRATED_BY", g, "Group"),
-        ),
-        F.transform(urls, lambda u: edge("id", "Incident", "CITED_BY", u, "Source")),
-    )
-    rows = _incidents(industries).select(F.explode(edges).alias("e")).select("e.*")
-    return require(rows, "from", "to")
+def subcategory_edges(industries: DataFrame) -> DataFrame:
+    rows = _subcategories(industries).withColumnsRenamed({"key": "from", "label": "from_label", "id": "to"})
+    kind = {"type": F.lit("INCLUDES"), "to_label": F.lit("Subcategory")}
+    return rows.withColumns(kind).select(EDGE)
+
+
+def incident_edges(industries: DataFrame, type: str, strip_first: bool = False) -> DataFrame:
+    """Edges of one type that start or end at incidents."""
+    if type == "PERPETRATED_BY":
+        mentions = group_mentions(industries, strip_first)
+        return edge_rows(mentions, "id", "Incident", type, "name", "Group")
+    if type == "CITED_BY":
+        return edge_rows(_cited(industries), "id", "Incident", type, "url", "Source")
+    rows = _incidents(industries)
+    if type == "HAD_INCIDENT":
+        return edge_rows(rows, "industry", "Industry", type, "id", "Incident")
+    if type == "HIT":
+        return edge_rows(rows, "id", "Incident", type, "victim", "Company")
+    return edge_rows(rows, "id", "Incident", "OCCURRED_IN", fn.clean_country("country"), "Country")
 
 
 def statistic_edges(industries: DataFrame) -> DataFrame:
@@ -329,29 +344,42 @@ def build_graph(
     raw_postings: DataFrame | None = None,
     strip_first: bool = False,
 ) -> Graph:
+    """The graph of the records; every label and edge type is planned when a query uses it."""
+    i = industries
     nodes = {
-        "Industry": industry_nodes(industries, synthesis),
-        "Hazard": category_nodes(industries, "hazard"),
-        "Exposure": category_nodes(industries, "exposure"),
-        "Subcategory": subcategory_nodes(industries),
-        "Incident": incident_nodes(industries),
-        "Company": company_nodes(industries),
-        "Group": group_nodes(industries, raw_postings, strip_first),
-        "Country": country_nodes(industries),
-        "Statistic": statistic_nodes(industries, synthesis),
-        "Source": source_nodes(industries),
+        "Industry": lambda: industry_nodes(i, synthesis),
+        "Hazard": lambda: category_nodes(i, "hazard"),
+        "Exposure": lambda: category_nodes(i, "exposure"),
+        "Subcategory": lambda: subcategory_nodes(i),
+        "Incident": lambda: incident_nodes(i),
+        "Company": lambda: company_nodes(i),
+        "Group": lambda: group_nodes(i, raw_postings, strip_first),
+        "Country": lambda: country_nodes(i),
+        "Statistic": lambda: statistic_nodes(i, synthesis),
+        "Source": lambda: source_nodes(i),
+    }
+    edges = {
+        "FACES": lambda: category_edges(i, "hazard"),
+        "EXPOSES": lambda: category_edges(i, "exposure"),
+        "INCLUDES": lambda: subcategory_edges(i),
+        "HAD_INCIDENT": lambda: incident_edges(i, "HAD_INCIDENT"),
+        "HIT": lambda: incident_edges(i, "HIT"),
+        "PERPETRATED_BY": lambda: incident_edges(i, "PERPETRATED_BY", strip_first),
+        "OCCURRED_IN": lambda: incident_edges(i, "OCCURRED_IN"),
+        "CITED_BY": lambda: incident_edges(i, "CITED_BY"),
+        "MEASURED_BY": lambda: statistic_edges(i),
     }
-    edges = [
-        category_edges(industries),
-        incident_edges(industries, strip_first),
-        statistic_edges(industries),
-    ]
     if synthesis is not None:
-        nodes["Theme"] = theme_nodes(synthesis)
+        nodes["Theme"] = lambda: theme_nodes(synthesis)
     if raw_postings is not None:
-        nodes["Victim"] = victim_nodes(raw_postings)
-        edges.append(attack_edges(raw_postings))
-    return Graph(nodes, merge_edges(reduce(DataFrame.unionByName, edges)))
+        nodes["Victim"] = lambda: victim_nodes(raw_postings)
+        edges["ATTACKED_BY"] = lambda: attack_edges(raw_postings)
+    merged = Lazy({name: partial(_merged, build) for name, build in edges.items()})
+    return Graph(Lazy(nodes), lambda: reduce(DataFrame.unionByName, merged.values()), merged)
+
+
+def _merged(build: Callable[[], DataFrame]) -> DataFrame:
+    return merge_edges(build())
 
 
 # --- edges, hops, paths -----------------------------------------------------
@@ -381,6 +409,12 @@ def hop(
     target: str | None = None,
 ) -> DataFrame:
     """Edges of the given types between the given labels; None leaves a part open."""
+    if types is None and (source or target):
+        types = [
+            name
+            for name, (a, b) in schemas.EDGE_TYPES.items()
+            if (source is None or a in (None, source)) and (target is None or b == target)
+        ]
     edges = g.of_type(types)
     if source is not None:
         edges = edges.filter(F.col("from_label") == source)

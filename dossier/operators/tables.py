@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,10 @@ def dedupe_richest(records: DataFrame) -> DataFrame:
     ).drop("_rich")
 
 
-def explode_categories(industries: DataFrame) -> DataFrame:
-    """Hazard and exposure categories in long form, one scan for both kinds."""
+def explode_categories(
+    industries: DataFrame, types: Sequence[str] = ("hazard", "exposure")
+) -> DataFrame:
+    """Categories of the given kinds in long form, one scan for both."""
 
     def tagged(field: str, kind: str) -> Column:
         items = F.coalesce(F.col(field), F.array().cast(f"array<{schemas.CATEGORY.simpleString()}>"))
@@ -61,7 +65,7 @@ def explode_categories(industries: DataFrame) -> DataFrame:
             ),
         )
 
-    both = F.concat(tagged("hazard_categories", "hazard"), tagged("exposure_categories", "exposure"))
+    both = F.concat(*[tagged(f"{kind}_categories", kind) for kind in types])
     return industries.select(
         position(industries).alias("_pos"), "industry", F.explode(both).alias("_c")
     ).select("_pos", "industry", "_c.*")

@@ -22,50 +22,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _id(column: str) -> Column:
-    return F.lpad(F.col(column).cast("string"), 9, "0")
+# --- raw postings from orders -------------------------------------------------
 
 
-# --- raw postings from orders -------------------------------------------------
+_POSTING_FIELDS = {
+    "activity": """CASE WHEN label = 'NOT SPECIFIED' AND o_orderstatus = 'O' THEN ''
+      WHEN o_orderstatus = 'F' THEN lower(label) ELSE label END""",
+    "attackdate": "CASE WHEN place = 0 THEN 'n/a' ELSE day END",
+    "claim_url": "''",
+    "country": "CASE WHEN place = 24 THEN '' ELSE concat('NATION_', place) END",
+    "data_size": "concat(floor(o_totalprice), ' GB')",
+    "description": "CAST(NULL AS STRING)",
+    "discovered": "left(day, 10)",
+    "domain": "concat('c', o_custkey, '.example.com')",
+    "group": """CASE WHEN o_orderstatus = 'O' AND label = 'LOW' THEN ''
+      WHEN o_orderstatus = 'F' THEN concat(band, ' ') ELSE band END""",
+    "press": "CASE WHEN o_orderstatus = 'F' THEN 'y' ELSE '' END",
+    "ransom": "CASE WHEN label = 'URGENT' THEN 'yes' ELSE '' END",
+    "screenshot": "CAST(NULL AS STRING)",
+    "url": "CASE WHEN o_orderstatus = 'P' THEN concat('https://feed.example.org/p/', o_orderkey) ELSE '' END",
+    "victim": """CASE WHEN o_totalprice < 5000 THEN ''
+      ELSE concat('Customer#', lpad(CAST(o_custkey AS STRING), 9, '0')) END""",
+}
 
 
 def raw_postings(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders")
-    customer = F.concat(F.lit("Customer#"), _id("o_custkey"))
-    place = F.col("o_custkey") % 25
-    is_status = lambda s: F.col("o_orderstatus") == s
-    label = F.substring("o_orderpriority", 3, 100)
-    whole = F.floor("o_totalprice").cast("string")
-    band = F.concat(F.lit("Group "), F.floor(F.col("o_totalprice") / 5000).cast("string"))
-    date = F.when(place == 0, "n/a").otherwise(F.col("o_orderdate").cast("string"))
-    return o.select(
-        F.when((label == "NOT SPECIFIED") & is_status("O"), "")
-        .when(is_status("F"), F.lower(label))
-        .otherwise(label)
-        .alias("activity"),
-        date.alias("attackdate"),
-        F.lit("").alias("claim_url"),
-        F.when(place == 24, "").otherwise(F.concat(F.lit("NATION_"), place.cast("string"))).alias("country"),
-        F.concat(whole, F.lit(" GB")).alias("data_size"),
-        F.lit(None).cast("string").alias("description"),
-        F.left(F.col("o_orderdate").cast("string"), F.lit(10)).alias("discovered"),
-        F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".example.com")).alias("domain"),
-        F.when(is_status("O") & (label == "LOW"), "")
-        .when(is_status("F"), F.concat(band, F.lit(" ")))
-        .otherwise(band)
-        .alias("group"),
-        F.when(is_status("F"), "y").otherwise("").alias("press"),
-        F.when(label == "URGENT", "yes").otherwise("").alias("ransom"),
-        F.lit(None).cast("string").alias("screenshot"),
-        F.when(
-            is_status("P"),
-            F.concat(F.lit("https://feed.example.org/p/"), F.col("o_orderkey").cast("string")),
-        )
-        .otherwise("")
-        .alias("url"),
-        F.when(F.col("o_totalprice") < 5000, "").otherwise(customer).alias("victim"),
-        F.col("o_orderkey").alias("_pos"),
+    o = table(spark, folder, "orders").selectExpr(
+        "*",
+        "substr(o_orderpriority, 3) AS label",
+        "o_custkey % 25 AS place",
+        "CAST(o_orderdate AS STRING) AS day",
+        "concat('Group ', floor(o_totalprice / 5000)) AS band",
     )
+    return o.selectExpr(*[f"{e} AS {c}" for c, e in _POSTING_FIELDS.items()], "o_orderkey AS _pos")
 
 
 RAW_POSTINGS = """
@@ -154,120 +143,99 @@ IMPACT = """CASE o_orderpriority
 # --- nested industry records from part ----------------------------------------
 
 
-def records(spark: SparkSession, folder: str, canonical: bool = True) -> DataFrame:
-    """One research record per part; parts of a brand are runs about one industry."""
-    p = table(spark, folder, "part")
-    w1 = F.split_part("p_name", F.lit(" "), F.lit(1))
-    w2 = F.split_part("p_name", F.lit(" "), F.lit(2))
-    size, size_text = F.col("p_size"), F.col("p_size").cast("string")
-    key = F.col("p_partkey").cast("string")
-    lit, cat = F.lit, F.concat
-    subs = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
-    told = cat("p_name", lit(" seen in "), "p_type", F.when(size > 25, " often").otherwise(""))
-
-    def category(name: Column, described: Column, listed: Column) -> Column:
-        return F.struct(
-            name.alias("category"), described.alias("description"), listed.alias("subcategories")
+def _category(name: str, described: str, listed: str) -> str:
+    return f"named_struct('category', {name}, 'description', {described}, 'subcategories', {listed})"
+
+
+def _incident(victim: str, group: str, date: str, summary: str, financial: str, ransom: str) -> str:
+    return f"""named_struct('victim', {victim}, 'group', {group}, 'date', {date}, 'country', country,
+      'incident_type', 'ransomware', 'ingest_source', CAST(NULL AS STRING), 'summary', {summary},
+      'financial_impact', {financial}, 'ransom_demanded_or_paid', {ransom},
+      'downtime_and_recovery', downtime, 'data_impact', data_impact, 'sources', cited)"""
+
+
+def _present(*items: str) -> str:
+    return f"filter(array({', '.join(items)}), x -> x IS NOT NULL)"
+
+
+_RECORD_PARTS = {
+    "w1": "split_part(p_name, ' ', 1)",
+    "w2": "split_part(p_name, ' ', 2)",
+    "subs": "split(concat(p_name, ' ', p_type), ' ')",
+    "told": "concat(p_name, ' seen in ', p_type, CASE WHEN p_size > 25 THEN ' often' ELSE '' END)",
+    "money": """CASE p_size % 3 WHEN 0 THEN concat('$', p_size, ' million lost') WHEN 1 THEN 'Not publicly disclosed' ELSE '' END""",
+    "ransom": """CASE p_size % 4 WHEN 0 THEN concat('Gang demanded $', p_size, ',000k')
+      WHEN 1 THEN concat('reportedly paid $', p_size, 'm') WHEN 2 THEN 'unknown' END""",
+    "downtime": "CASE WHEN p_size > 20 THEN concat(p_size, ' days') ELSE 'undisclosed' END",
+    "data_impact": "CASE WHEN p_size > 30 THEN concat('third-party data of ', p_name) ELSE '' END",
+}
+
+_RECORD_FIELDS = {
+    "ransomware_live_sector": """CASE p_type WHEN 'ECONOMY' THEN 'Urgent' WHEN 'MEDIUM' THEN ' high' WHEN 'PROMO' THEN 'medium'
+      WHEN 'STANDARD' THEN 'low' WHEN 'LARGE' THEN 'Not-Specified' ELSE '' END""",
+    "overview": "CASE WHEN p_size < 5 THEN '' ELSE concat(p_name, ' made by ', p_brand) END",
+    "hazard_categories": _present(
+        _category("concat('Third-Party / ', w2, ' Risk')", "told", "subs"),
+        _category("concat(p_type, ' & ', w1, ' Exposure')", "told", "slice(subs, 1, 1)"),
+        _category("concat('Insider ', w1, ' ', w2)", "concat('By ', p_brand)", "subs"),
+        _category("'Initial Access Vector'", "told", "slice(subs, 2, 2)"),
+        "CASE WHEN p_size > 10 THEN "
+        + _category("concat('Network ', p_size, ' outage')", "told", "subs")
+        + " END",
+    ),
+    "exposure_categories": _present(
+        _category("concat(w1, ' ', w2, ' ', p_size, ' records')", "told", "subs"),
+        _category("concat(p_type, ' systems')", "told", "subs"),
+        "CASE WHEN p_size <= 30 THEN "
+        + _category("concat(p_brand, ' ', w2, ' vaults')", "told", "subs")
+        + " END",
+    ),
+    "example_incidents": _present(
+        _incident(
+            "concat('Customer#', lpad(CAST(p_partkey AS STRING), 9, '0'))",
+            "concat(w1, ' crew ', p_size, '; ', w2, ' gang (aka ', p_type, ')')",
+            "concat('2023-', lpad(CAST(p_size AS STRING), 2, '0'))",
+            "concat('A supply chain case of ', p_name)",
+            "money",
+            "ransom",
+        ),
+        "CASE WHEN p_size > 25 THEN "
+        + _incident(
+            "concat(w1, ' ', w2, ' Group (unit ', p_size, ')')",
+            "concat(w2, ' gang and ', p_type)",
+            "'2022'",
+            "'A second case'",
+            "ransom",
+            "money",
         )
+        + " END",
+        "CASE WHEN p_size > 40 THEN "
+        + _incident("''", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "''", "''", "CAST(NULL AS STRING)")
+        + " END",
+    ),
+    "aggregate_stats": _present(
+        """named_struct('metric', concat('Loss per ', w2), 'value', concat('$', p_size, 'm'),
+          'source', CASE WHEN p_size % 4 = 0 THEN '' ELSE 'Survey' END, 'source_url', concat('https://stats.example.org/', p_size))""",
+        """CASE WHEN p_size > 35 THEN named_struct('metric', '', 'value', 'n/a', 'source', '', 'source_url', CAST(NULL AS STRING)) END""",
+    ),
+}
 
-    def incident(**fields: Column) -> Column:
-        return F.struct(*[c.alias(k) for k, c in fields.items()])
 
-    present = lambda *items: F.filter(F.array(*items), lambda x: x.isNotNull())
-    money = (
-        F.when(size % 3 == 0, cat(lit("$"), size_text, lit(" million lost")))
-        .when(size % 3 == 1, "Not publicly disclosed")
-        .otherwise("")
-    )
-    ransom = (
-        F.when(size % 4 == 0, cat(lit("Gang demanded $"), size_text, lit(",000k")))
-        .when(size % 4 == 1, cat(lit("reportedly paid $"), size_text, lit("m")))
-        .when(size % 4 == 2, "unknown")
-    )
-    cited = F.array(
-        cat(lit("https://www."), w1, lit(".example.com/"), key),
-        cat(lit("www."), w2, lit(".example")),
-        cat(lit("HTTP://news."), w2, lit(".example.org/x")),
-    )
-    common = dict(
-        country=cat(lit("United "), w2, lit(" (north)")),
-        incident_type=lit("ransomware"),
-        ingest_source=lit(None).cast("string"),
-        downtime_and_recovery=F.when(size > 20, cat(size_text, lit(" days"))).otherwise("undisclosed"),
-        data_impact=F.when(size > 30, cat(lit("third-party data of "), "p_name")).otherwise(""),
-        sources=cited,
-    )
-    first = incident(
-        victim=cat(lit("Customer#"), _id("p_partkey")),
-        group=cat(w1, lit(" crew "), size_text, lit("; "), w2, lit(" gang (aka "), "p_type", lit(")")),
-        date=cat(lit("2023-"), F.lpad(size_text, 2, "0")),
-        summary=cat(lit("A supply chain case of "), "p_name"),
-        financial_impact=money,
-        ransom_demanded_or_paid=ransom,
-        **common,
-    )
-    second = incident(
-        victim=cat(w1, lit(" "), w2, lit(" Group (unit "), size_text, lit(")")),
-        group=cat(w2, lit(" gang and "), "p_type"),
-        date=lit("2022"),
-        summary=lit("A second case"),
-        financial_impact=ransom,
-        ransom_demanded_or_paid=money,
-        **common,
-    )
-    unnamed = incident(
-        victim=lit(""),
-        group=lit(None).cast("string"),
-        date=lit(None).cast("string"),
-        summary=lit(""),
-        financial_impact=lit(""),
-        ransom_demanded_or_paid=lit(None).cast("string"),
-        **common,
+def records(spark: SparkSession, folder: str, canonical: bool = True) -> DataFrame:
+    """One research record per part; parts of a brand are runs about one industry."""
+    country = "concat('United ', w2, ' (north)')"
+    cited = """array(concat('https://www.', w1, '.example.com/', p_partkey), concat('www.', w2, '.example'),
+      concat('HTTP://news.', w2, '.example.org/x'))"""
+    note = "CASE WHEN p_size > 25 THEN concat('  (Ransomware.live sector tag: ', p_type, ')') ELSE '' END"
+    name = "concat(p_brand, ' Works')" if canonical else f"concat(p_brand, ' Works', {note})"
+    parts = table(spark, folder, "part").selectExpr(
+        "*", *[f"{e} AS {c}" for c, e in _RECORD_PARTS.items()]
     )
-    name = cat("p_brand", lit(" Works"))
-    if not canonical:
-        note = cat(lit("  (Ransomware.live sector tag: "), "p_type", lit(")"))
-        name = cat(name, F.when(size > 25, note).otherwise(""))
-    tag = {"ECONOMY": "Urgent", "MEDIUM": " high", "PROMO": "medium", "STANDARD": "low", "LARGE": "Not-Specified"}
-    sector = None
-    for kind, value in tag.items():
-        test = F.col("p_type") == kind
-        sector = F.when(test, value) if sector is None else sector.when(test, value)
-    return p.select(
-        name.alias("industry"),
-        sector.otherwise("").alias("ransomware_live_sector"),
-        F.when(size < 5, "").otherwise(cat("p_name", lit(" made by "), "p_brand")).alias("overview"),
-        present(
-            category(cat(lit("Third-Party / "), w2, lit(" Risk")), told, subs),
-            category(cat("p_type", lit(" & "), w1, lit(" Exposure")), told, F.slice(subs, 1, 1)),
-            category(cat(lit("Insider "), w1, lit(" "), w2), cat(lit("By "), "p_brand"), subs),
-            category(lit("Initial Access Vector"), told, F.slice(subs, 2, 2)),
-            F.when(size > 10, category(cat(lit("Network "), size_text, lit(" outage")), told, subs)),
-        ).alias("hazard_categories"),
-        present(
-            category(cat(w1, lit(" "), w2, lit(" "), size_text, lit(" records")), told, subs),
-            category(cat("p_type", lit(" systems")), told, subs),
-            F.when(size <= 30, category(cat("p_brand", lit(" "), w2, lit(" vaults")), told, subs)),
-        ).alias("exposure_categories"),
-        present(first, F.when(size > 25, second), F.when(size > 40, unnamed)).alias("example_incidents"),
-        present(
-            F.struct(
-                cat(lit("Loss per "), w2).alias("metric"),
-                cat(lit("$"), size_text, lit("m")).alias("value"),
-                F.when(size % 4 == 0, "").otherwise("Survey").alias("source"),
-                cat(lit("https://stats.example.org/"), size_text).alias("source_url"),
-            ),
-            F.when(
-                size > 35,
-                F.struct(
-                    lit("").alias("metric"),
-                    lit("n/a").alias("value"),
-                    lit("").alias("source"),
-                    lit(None).cast("string").alias("source_url"),
-                ),
-            ),
-        ).alias("aggregate_stats"),
-        F.col("p_partkey").alias("_pos"),
+    parts = parts.selectExpr("*", f"{country} AS country", f"{cited} AS cited")
+    return parts.selectExpr(
+        f"{name} AS industry",
+        *[f"{e} AS {c}" for c, e in _RECORD_FIELDS.items()],
+        "p_partkey AS _pos",
     )
 
 
