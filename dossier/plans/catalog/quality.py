@@ -261,20 +261,21 @@ def to_incidents(spark, folder):
 
 # --- names in texts -------------------------------------------------------------
 
-_NAMES = """names AS (SELECT item_id AS position, s AS name FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s FROM benchmark) WHERE length(s) >= 12
-    UNION ALL SELECT 100000 + n_nationkey, n_name FROM nation UNION ALL SELECT 200000, 'thth'),
+_NAMES = """names AS (SELECT item_id * 1000 + i AS position, s AS name FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s,
+      generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM benchmark) WHERE length(s) >= 12
+    UNION ALL SELECT 100000000 + n_nationkey, n_name FROM nation UNION ALL SELECT 200000000, 'thth'),
   firsts AS (SELECT lower(name) AS needle, arg_min(name, position) AS name, min(position) AS position FROM names GROUP BY 1)"""
 
 
 def _names(spark, folder):
     """Sentences of the benchmark items, nation names and one short name, in list order."""
     sentences = b.table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("position"), F.explode(F.split("text", r"\. ")).alias("name")
-    )
+        "item_id", F.posexplode(F.split("text", r"\. ")).alias("slot", "name")
+    ).select((F.col("item_id") * 1000 + F.col("slot")).alias("position"), "name")
     nations = b.table(spark, folder, "nation").select(
-        (F.col("n_nationkey") + 100000).cast("long").alias("position"), F.col("n_name").alias("name")
+        (F.col("n_nationkey") + 100_000_000).cast("long").alias("position"), F.col("n_name").alias("name")
     )
-    short = nations.limit(1).select(F.lit(200000).cast("long").alias("position"), F.lit("thth").alias("name"))
+    short = nations.limit(1).select(F.lit(200_000_000).cast("long").alias("position"), F.lit("thth").alias("name"))
     return sentences.filter(F.length("name") >= 12).unionByName(nations).unionByName(short)
 
 

@@ -130,18 +130,17 @@ def top_evidence(spark, folder):
 
 @query(
     "vector_table",
-    f"""WITH {b.GRAPH}, ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM cat_nodes WHERE type = 'exposure')
-    SELECT 'Exposure' AS label, c.id AS id, left(coalesce(name, '') || '. ' || coalesce(description, ''), 2000) AS text, vec_id
-    FROM ids JOIN cat_nodes c ON c.id = ids.id AND c.type = 'exposure' JOIN embeddings ON vec_id = ids.n""",
+    f"""WITH {b.GRAPH} SELECT 'Exposure' AS label, c.id AS id, left(coalesce(name, '') || '. ' || coalesce(description, ''), 2000) AS text, vec_id
+    FROM cat_nodes c JOIN embeddings ON vec_id = (length(c.id) * 37 + ascii(c.id)) % 500 WHERE c.type = 'exposure'""",
 )
 def vector_table(spark, folder):
-    """Exposure texts with the embedding whose number is the exposure's rank by name."""
+    """Exposure texts with the embedding whose number a rule derives from the exposure's id."""
     g = b.graph(spark, folder)
-    smaller = g.nodes["Exposure"].select("id").sort("id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    ids = spark.createDataFrame(smaller, "id string, n long")
-    e = b.table(spark, folder, "embeddings")
-    given = ids.join(e, F.col("n") == F.col("vec_id")).select(F.lit("Exposure").alias("label"), "id", "vec_id", "embedding")
-    return rt.vector_table({"Exposure": g.nodes["Exposure"]}, given).select("label", "id", "text", "vec_id")
+    number = ((F.length("id") * 37 + F.ascii("id")) % 500).cast("long")
+    ids = g.nodes["Exposure"].select("id", number.alias("vec_id"))
+    given = ids.join(b.table(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id")
+    vectors = given.withColumn("label", F.lit("Exposure"))
+    return rt.vector_table({"Exposure": g.nodes["Exposure"]}, vectors).select("label", "id", "text", "vec_id")
 
 
 @query(

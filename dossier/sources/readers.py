@@ -15,19 +15,24 @@ from pyspark.sql import types as T
 
 from dossier import functions as fn
 from dossier import schemas
-from dossier.operators.graph import Graph
+from dossier.operators.graph import Graph, merge_edges
 from dossier.operators.tables import require
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """(file, body) per file, byte order mark and outer blanks removed."""
+    """(file, body) per file."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
-    return files.select(F.col("_metadata.file_path").alias("file"), fn.strip("value").alias("body"))
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
 
 
 def read_postings_json(spark: SparkSession, path: str, glob: str = "sector_*.json") -> DataFrame:
     """Posting pulls: one JSON array per file. Files that are no array give no rows."""
-    lists = _whole_files(spark, path, glob).filter(F.startswith("body", F.lit("[")))
+    return posting_files(_whole_files(spark, path, glob))
+
+
+def posting_files(files: DataFrame) -> DataFrame:
+    """Postings of landed files (file, body); a body that is no array or no JSON gives no rows."""
+    lists = files.withColumn("body", fn.strip("body")).filter(F.startswith("body", F.lit("[")))
     rows = lists.select(
         "file", F.posexplode(F.from_json("body", T.ArrayType(schemas.POSTING))).alias("slot", "p")
     )
@@ -44,8 +49,10 @@ def read_postings_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("multiLine", True)
         .option("escape", '"')
         .option("columnNameOfCorruptRecord", "_bad")
+        .option("columnPruning", False)
         .csv(path)
     )
+    rows = require(rows, "victim")
     rows = rows.filter(F.col("_bad").isNull() | F.contains("_bad", F.lit(",")))
     value = lambda c: fn.text(c) if c in header else F.lit("")
     fields = {
@@ -75,7 +82,7 @@ def load_postings(spark: SparkSession, raw_dir: str, csv_path: str) -> tuple[Dat
     for reader, path in ((read_postings_json, raw_dir), (read_postings_csv, csv_path)):
         try:
             rows = reader(spark, path)
-            if not rows.isEmpty():
+            if rows.select("victim").head(1):
                 return rows, path
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
@@ -123,7 +130,12 @@ def journal_records(lines: DataFrame, line: str = "value", schema: T.StructType
 
 def read_record_dir(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """One JSON object per file; files that are no object or name no industry are skipped."""
-    objects = _whole_files(spark, path, glob).filter(F.startswith("body", F.lit("{")))
+    return record_files(_whole_files(spark, path, glob))
+
+
+def record_files(files: DataFrame) -> DataFrame:
+    """Industry records of landed files (file, body), one object per file."""
+    objects = files.withColumn("body", fn.strip("body")).filter(F.startswith("body", F.lit("{")))
     record = F.from_json("body", schemas.INDUSTRY)
     rows = objects.select(record.alias("_r"), F.col("file").alias("_pos")).select("_r.*", "_pos")
     return require(rows, "industry")
@@ -143,7 +155,10 @@ def split_payloads(df: DataFrame, body: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
-    """The node and edge CSVs of a graph folder; files that are absent are left out."""
+    """The node and edge CSVs of a graph folder, one file or folder per label and edge type.
+
+    Absent ones are left out.
+    """
     reader = lambda: (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     )
@@ -161,14 +176,16 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
                 for c in fields
             ]
         )
-    edges = []
+    by_type = {}
     for type in schemas.EDGE_TYPES:
-        try:
-            df = reader().csv(f"{path}/rels_{type.lower()}.csv")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        edges.append(df.select("from", "from_label", F.lit(type).alias("type"), "to", "to_label"))
-    all_edges = reduce(DataFrame.unionByName, edges) if edges else spark.createDataFrame([], schemas.EDGE)
-    return Graph(nodes, all_edges.dropDuplicates(["from", "from_label", "type", "to", "to_label"]))
+        for name in (f"rels_{type.lower()}.csv", f"rels/type={type}"):
+            try:
+                df = reader().csv(f"{path}/{name}")
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                continue
+            rows = df.select("from", "from_label", F.lit(type).alias("type"), "to", "to_label")
+            by_type[type] = merge_edges(rows)
+    none = spark.createDataFrame([], schemas.EDGE)
+    return Graph(nodes, lambda: reduce(DataFrame.unionByName, by_type.values(), none), by_type)

@@ -23,6 +23,8 @@ def _csv(df: DataFrame):
         .option("quoteAll", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     )
 
