@@ -7,12 +7,14 @@ from dossier.functions.keys import (
     clean_country,
     company_key,
     family_of,
+    has_key,
     hash16,
     host_of,
     incident_id,
     is_placeholder_group,
     is_placeholder_victim,
     is_url,
+    let,
     norm_key,
     org_key,
     posting_id,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +28,11 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate an expression once and use its result several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_name(c: Column | str) -> Column:
     """Industry name without its first sector note."""
     head = r"(?is)^(.*?)" + rules.SECTOR_NOTE
@@ -37,21 +42,19 @@ def canonical_name(c: Column | str) -> Column:
 def raw_key(c: Column | str) -> Column:
     """Lower-case key on which cosmetic variants of a label meet."""
     key = F.replace(F.lower(text(c)), F.lit("&"), F.lit(" and "))
-    key = F.regexp_replace(key, r"[/\-–—_]+", " ")
-    key = F.regexp_replace(key, r"[^a-z0-9 ]+", "")
+    key = F.regexp_replace(F.translate(key, "/-–—_", " " * 5), r"[^a-z0-9 ]+", "")
     return F.trim(F.regexp_replace(key, r" +", " "))
 
 
+def has_key(c: Column | str) -> Column:
+    """Whether ``raw_key`` leaves anything of a text, without building the key."""
+    return F.lower(text(c)).rlike(r"[a-z0-9&]")
+
+
 def apply_aliases(key: Column, aliases: Mapping[str, str] = rules.CATEGORY_ALIASES) -> Column:
     """Replace listed keys; every other key stays as it is."""
-    by_target: dict[str, list[str]] = {}
-    for alias, target in aliases.items():
-        by_target.setdefault(target, []).append(alias)
-    out = None
-    for target, names in by_target.items():
-        test = key.isin(names)
-        out = F.when(test, target) if out is None else out.when(test, target)
-    return key if out is None else out.otherwise(key)
+    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return let(key, lambda k: F.coalesce(F.try_element_at(table, k), k))
 
 
 def norm_key(c: Column | str, aliases: Mapping[str, str] = rules.CATEGORY_ALIASES) -> Column:
@@ -64,12 +67,15 @@ def family_of(
     default: str = rules.DEFAULT_FAMILY,
 ) -> Column:
     """Family of a canonical key: the first pattern that occurs anywhere in it."""
-    key = text(key)
-    (name, pattern), *rest = families
-    out = F.when(key.rlike(pattern), name)
-    for name, pattern in rest:
-        out = out.when(key.rlike(pattern), name)
-    return out.otherwise(default)
+
+    def first_match(k: Column) -> Column:
+        (name, pattern), *rest = families
+        out = F.when(k.rlike(pattern), name)
+        for name, pattern in rest:
+            out = out.when(k.rlike(pattern), name)
+        return out.otherwise(default)
+
+    return let(text(key), first_match)
 
 
 def slug(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier import rules
-from dossier.functions.keys import col, strip, text
+from dossier.functions.keys import col, let, strip, text
 
 
 def _matches(c: Column | str, pattern: str) -> Column:
@@ -19,16 +19,22 @@ def parse_usd(c: Column | str) -> Column:
     NULL for a text that opens with a non-disclosure, that has no figure, or whose
     figure is above the ceiling for a single loss.
     """
-    amount = F.regexp_extract(col(c), rules.USD_AMOUNT, 1)
-    unit = F.lower(F.regexp_extract(col(c), rules.USD_AMOUNT, 2))
-    scale = (
-        F.when(unit.startswith("b"), 1e9)
-        .when(unit.startswith("m"), 1e6)
-        .when(unit.startswith("k") | unit.startswith("t"), 1e3)
-        .otherwise(1.0)
+    def scaled(part: Column) -> Column:
+        amount, unit = part["amount"], part["unit"]
+        scale = (
+            F.when(unit.startswith("b"), 1e9)
+            .when(unit.startswith("m"), 1e6)
+            .when(unit.startswith("k") | unit.startswith("t"), 1e3)
+            .otherwise(1.0)
+        )
+        return F.replace(amount, F.lit(","), F.lit("")).try_cast("double") * scale
+
+    parts = F.struct(
+        F.regexp_extract(col(c), rules.USD_AMOUNT, 1).alias("amount"),
+        F.lower(F.regexp_extract(col(c), rules.USD_AMOUNT, 2)).alias("unit"),
     )
-    value = F.replace(amount, F.lit(","), F.lit("")).try_cast("double") * scale
-    return F.when(~_matches(c, rules.NEGATED_DISCLOSURE) & (value <= rules.USD_CEILING), value)
+    value = let(let(parts, scaled), lambda v: F.when(v <= rules.USD_CEILING, v))
+    return F.when(F.contains(col(c), F.lit("$")) & ~_matches(c, rules.NEGATED_DISCLOSURE), value)
 
 
 def money_struct(c: Column | str) -> Column:

@@ -81,9 +81,18 @@ class Graph:
 
 
 def edge_rows(
-    df: DataFrame, source: Column | str, source_label: str, type: str, target: Column | str, target_label: str
+    df: DataFrame,
+    source: Column | str,
+    source_label: str,
+    type: str,
+    target: Column | str,
+    target_label: str,
+    complete: bool = False,
 ) -> DataFrame:
-    """Edges from two id expressions; rows that miss an end are dropped."""
+    """Edges from two id expressions; rows that miss an end are dropped.
+
+    ``complete`` says that no row can miss one, which saves the test.
+    """
     edges = df.select(
         col(source).cast("string").alias("from"),
         F.lit(source_label).alias("from_label"),
@@ -91,7 +100,7 @@ def edge_rows(
         col(target).cast("string").alias("to"),
         F.lit(target_label).alias("to_label"),
     )
-    return require(edges, "from", "to")
+    return edges if complete else require(edges, "from", "to")
 
 
 # --- construction -----------------------------------------------------------
@@ -99,9 +108,9 @@ def edge_rows(
 
 def category_nodes(industries: DataFrame, type: str) -> DataFrame:
     """Hazard or exposure nodes; the last label and description reported for a key count."""
-    rows = explode_categories(industries, [type])
-    named = require(rows.withColumn("id", fn.norm_key("category")), "id").select(
-        "id",
+    rows = explode_categories(industries, [type]).filter(fn.has_key("category"))
+    named = rows.select(
+        fn.norm_key("category").alias("id"),
         F.col("category").alias("name"),
         fn.clip("description", rules.CLIP["description"]).alias("description"),
         "_pos",
@@ -287,17 +296,17 @@ def victim_nodes(raw_postings: DataFrame) -> DataFrame:
 
 
 def _categories(industries: DataFrame, types: Sequence[str]) -> DataFrame:
-    rows = explode_categories(industries, types).withColumn("key", fn.norm_key("category"))
+    rows = explode_categories(industries, types).filter(fn.has_key("category"))
     label = F.when(F.col("type") == "hazard", "Hazard").otherwise("Exposure")
-    return require(rows, "key").withColumn("label", label)
+    return rows.withColumns({"key": fn.norm_key("category"), "label": label})
 
 
 def category_edges(industries: DataFrame, type: str) -> DataFrame:
     """FACES for hazards, EXPOSES for exposures."""
     rows = _categories(industries, [type])
     if type == "hazard":
-        return edge_rows(rows, "industry", "Industry", "FACES", "key", "Hazard")
-    return edge_rows(rows, "industry", "Industry", "EXPOSES", "key", "Exposure")
+        return edge_rows(rows, "industry", "Industry", "FACES", "key", "Hazard", complete=True)
+    return edge_rows(rows, "industry", "Industry", "EXPOSES", "key", "Exposure", complete=True)
 
 
 def subcategory_edges(industries: DataFrame) -> DataFrame:

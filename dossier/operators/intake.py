@@ -80,10 +80,10 @@ def intake_status(
     """
     known = industries.select("industry").distinct().withColumn("_known", F.lit(True))
     have = existing.select(victim_key("victim").alias("_victim")).distinct().withColumn("_have", F.lit(True))
+    if "company_key" not in records.columns:
+        records = records.withColumn("company_key", fn.company_key("victim"))
     rows = (
-        records.withColumns(
-            {"company_key": fn.company_key("victim"), "_victim": victim_key("victim")}
-        )
+        records.withColumn("_victim", victim_key("victim"))
         .join(known, "industry", "left")
         .join(have, "_victim", "left")
         .withColumn("status", gate(F.col("_known").isNotNull(), F.col("_have").isNotNull()))

@@ -1,15 +1,17 @@
 """Which texts contain which names, without comparing every text with every name.
 
-Each name is looked up by one anchor: a run of characters of it that few other names
-share. Texts are cut into runs of the same lengths and meet the anchors in an equi join;
-only these meetings are tested for containment. The result is exact for names of any
-length, and no text is shortened.
+A list of names of bounded size goes to every task, which finds all of them in one pass
+over each text. A longer list is joined: each name is looked up by one anchor, a run of
+characters of it that few other names share; texts are cut into runs of the same lengths
+and meet the anchors in an equi join, and only these meetings are tested. Both ways are
+exact for names of any length, and no text is shortened.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,13 @@ from dossier import functions as fn
 from dossier.operators.ranking import first_per
 from dossier.session import cut
 
+try:
+    import ahocorasick
+except ImportError:  # the join needs no such library
+    ahocorasick = None
+
 ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def _runs(text: Column, length: int) -> Column:
@@ -53,29 +60,46 @@ def contained_names(
     """Rows (keys, needle) where the lower-cased text contains the lower-cased name.
 
     ``keys`` must tell the texts apart. ``accept(text, needle)`` may narrow the matches.
-    The anchors are broadcast only when their measured size allows it; else texts and
-    anchors are shuffled on the anchor, carrying the keys alone.
+    The names are sent to the tasks only when their measured size allows it; else texts
+    and anchors are shuffled on the anchor, carrying the keys alone.
     """
     keys = list(keys)
     needles = names.select(F.lower(F.col(name)).alias("needle")).filter(F.length("needle") > 0)
-    anchors = cut(_anchors(needles.distinct()))
-    size = F.length("anchor")
-    measured = anchors.agg(
-        F.sum(F.octet_length("needle") + 64).alias("bytes"), F.collect_set(size).alias("lengths")
-    ).first()
+    needles = cut(needles.distinct())
     lowered = texts.select(*keys, F.lower(F.col(text)).alias("_text"))
+    test = F.lit(True) if accept is None else accept(F.col("_text"), F.col("needle"))
+    size = needles.agg(F.sum(F.octet_length("needle") + 8)).first()[0] or 0
+    if ahocorasick is not None and size <= broadcast_bytes:
+        found = F.explode(_finder([r[0] for r in needles.collect()])("_text")).alias("needle")
+        return lowered.select(*keys, "_text", found).filter(test).select(*keys, "needle")
+    anchors = cut(_anchors(needles))
+    lengths = anchors.agg(F.collect_set(F.length("anchor"))).first()[0]
     runs = F.array().cast("array<string>")
-    for n in sorted(measured["lengths"]):
+    for n in sorted(lengths):
         runs = F.concat(runs, _runs(F.col("_text"), n))
     runs = F.explode(F.array_distinct(runs)).alias("anchor")
-    test = F.contains("_text", F.col("needle"))
-    if accept is not None:
-        test = test & accept(F.col("_text"), F.col("needle"))
-    if (measured["bytes"] or 0) <= broadcast_bytes:
-        cells = lowered.select(*keys, "_text", runs)
-        return cells.join(F.broadcast(anchors), "anchor").filter(test).select(*keys, "needle")
     meetings = lowered.select(*keys, runs).join(anchors, "anchor").select(*keys, "needle")
-    return meetings.join(lowered, keys).filter(test).select(*keys, "needle")
+    return (
+        meetings.join(lowered, keys)
+        .filter(F.contains("_text", F.col("needle")) & test)
+        .select(*keys, "needle")
+    )
+
+
+def _finder(needles: list[str]):
+    """UDF from a text to the distinct needles in it."""
+
+    @F.arrow_udf("array<string>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = ahocorasick.Automaton()
+        for needle in needles:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        for batch in batches:
+            hits = (t and needles and list({n for _, n in automaton.iter(t)}) for t in batch.to_pylist())
+            yield pa.array([h or [] for h in hits], pa.list_(pa.string()))
+
+    return find
 
 
 def whole_word(text: Column, needle: Column) -> Column:

@@ -16,8 +16,8 @@ def category_members(industries: DataFrame) -> DataFrame:
     """One row per category an industry reports, with its canonical key."""
     return (
         explode_categories(industries)
+        .filter(fn.has_key("category"))
         .withColumn("key", fn.norm_key("category"))
-        .filter(F.col("key") != "")
     )
 
 
