@@ -21,7 +21,7 @@ from dossier.operators.tables import require
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(file, body) per file."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
 
 
