@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import functions as fn
@@ -64,14 +64,19 @@ def contained_names(
     and anchors are shuffled on the anchor, carrying the keys alone.
     """
     keys = list(keys)
-    needles = names.select(F.lower(F.col(name)).alias("needle")).filter(F.length("needle") > 0)
-    needles = cut(needles.distinct())
+    needles = cut(_needles(names, name).select("needle").distinct())
     lowered = texts.select(*keys, F.lower(F.col(text)).alias("_text"))
     test = F.lit(True) if accept is None else accept(F.col("_text"), F.col("needle"))
-    size = needles.agg(F.sum(F.octet_length("needle") + 8)).first()[0] or 0
-    if ahocorasick is not None and size <= broadcast_bytes:
-        found = F.explode(_finder([r[0] for r in needles.collect()])("_text")).alias("needle")
-        return lowered.select(*keys, "_text", found).filter(test).select(*keys, "needle")
+    if _fits(needles, broadcast_bytes):
+        listed = [r.needle for r in needles.collect()]
+        table = _numbered(texts.sparkSession, listed)
+        found = lowered.select(*keys, "_text", F.explode(_finder(listed)("_text")).alias("_n"))
+        return (
+            found.join(F.broadcast(table), "_n")
+            .withColumnRenamed("_name", "needle")
+            .filter(test)
+            .select(*keys, "needle")
+        )
     anchors = cut(_anchors(needles))
     lengths = anchors.agg(F.collect_set(F.length("anchor"))).first()[0]
     runs = F.array().cast("array<string>")
@@ -86,18 +91,33 @@ def contained_names(
     )
 
 
+def _needles(names: DataFrame, name: str) -> DataFrame:
+    return names.withColumn("needle", F.lower(F.col(name))).filter(F.length("needle") > 0)
+
+
+def _fits(needles: DataFrame, limit: int) -> bool:
+    """Whether a list of names is small enough to be held by every task."""
+    size = needles.agg(F.sum(F.octet_length("needle") + 8)).first()[0] or 0
+    return ahocorasick is not None and size <= limit
+
+
+def _numbered(spark: SparkSession, labels: list[str]) -> DataFrame:
+    """(number, label) of a list whose size ``_fits`` has checked."""
+    return spark.createDataFrame(list(enumerate(labels)), "_n int, _name string")
+
+
 def _finder(needles: list[str]):
-    """UDF from a text to the distinct needles in it."""
+    """UDF from a text to the numbers of the distinct needles in it."""
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("array<int>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = ahocorasick.Automaton()
-        for needle in needles:
-            automaton.add_word(needle, needle)
+        for number, needle in enumerate(needles):
+            automaton.add_word(needle, number)
         automaton.make_automaton()
         for batch in batches:
-            hits = (t and needles and list({n for _, n in automaton.iter(t)}) for t in batch.to_pylist())
-            yield pa.array([h or [] for h in hits], pa.list_(pa.string()))
+            hits = (list({n for _, n in automaton.iter(t)}) if t and needles else [] for t in batch.to_pylist())
+            yield pa.array(hits, pa.list_(pa.int32()))
 
     return find
 
@@ -118,18 +138,21 @@ def corroborate(
     order: str = "position",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Posts whose title mentions a victim, with the first such victim in list order."""
+    """Posts whose title mentions a victim, with the first such victim in list order.
+
+    A list of bounded size needs no shuffle of the posts.
+    """
     keys = list(keys)
-    listed = first_per(
-        names.select(F.col(name).alias("_name"), F.col(order).alias("_order")).withColumn(
-            "needle", F.lower("_name")
-        ),
-        "needle",
-        "_order",
-    )
-    found = contained_names(
-        posts.filter(fn.text(title) != ""), keys, title, names, name, broadcast_bytes=broadcast_bytes
-    )
+    listed = first_per(_needles(names, name), "needle", order)
+    listed = cut(listed.select("needle", F.col(name).alias("_name"), F.col(order).alias("_order")))
+    titled = posts.filter(fn.text(title) != "")
+    if _fits(listed, broadcast_bytes):
+        rows = listed.orderBy("_order", "needle").collect()
+        table = _numbered(posts.sparkSession, [r._name for r in rows])
+        first = F.array_min(_finder([r.needle for r in rows])(F.lower(F.col(title))))
+        found = titled.withColumn("_n", first).filter(F.col("_n").isNotNull())
+        return found.join(F.broadcast(table), "_n").drop("_n").withColumnRenamed("_name", "matched_victim")
+    found = contained_names(titled, keys, title, listed, "needle", broadcast_bytes=broadcast_bytes)
     first = (
         found.join(listed, "needle")
         .groupBy(*keys)

@@ -125,8 +125,13 @@ def distinct_sources(industries: DataFrame) -> DataFrame:
 # --- document tables --------------------------------------------------------
 
 
-def normalize_postings(raw: DataFrame, ingested_at: Column | None = None) -> DataFrame:
-    """Bulk postings in their 15 normalised columns; rows without a victim are dropped."""
+def normalize_postings(
+    raw: DataFrame, ingested_at: Column | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Bulk postings in their 15 normalised columns; rows without a victim are dropped.
+
+    ``keep`` names further columns to carry along, such as the feed position.
+    """
     filled = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
     stamp = F.current_timestamp().cast("string") if ingested_at is None else ingested_at
     return require(raw, "victim").select(
@@ -145,13 +150,17 @@ def normalize_postings(raw: DataFrame, ingested_at: Column | None = None) -> Dat
         filled("claim_url"),
         F.lit(rules.POSTING_SOURCE).alias("source"),
         stamp.alias("ingested_at"),
+        *keep,
     )
 
 
-def unique_postings(postings: DataFrame) -> DataFrame:
-    """One row per posting id, as a keyed load leaves them."""
-    rest = [c for c in postings.columns if c != "_id"]
-    return last_values(postings, "_id", rest, *rest)
+def unique_postings(postings: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per posting id, as a keyed load leaves them: the last by ``order``.
+
+    Without an order the values themselves decide, so that the result is the same in every run.
+    """
+    rest = [c for c in postings.columns if c not in ("_id", order)]
+    return last_values(postings, "_id", rest, *([order] if order else []), *rest)
 
 
 def incidents_table(industries: DataFrame, updated_at: Column | None = None) -> DataFrame:

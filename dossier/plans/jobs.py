@@ -31,7 +31,9 @@ def build_dataset(
 ) -> Dataset:
     """From research records and bulk postings to flat tables, six document tables and the graph."""
     industries = tables.dedupe_richest(records)
-    postings = tables.unique_postings(tables.normalize_postings(raw_postings))
+    postings = tables.unique_postings(
+        tables.normalize_postings(raw_postings, keep=["_pos"]), "_pos"
+    )
     incidents = tables.incidents_table(industries)
     summary = ins.sector_summary(raw_postings)
     documents = {
