@@ -330,6 +330,41 @@ def incident_edges(industries: DataFrame, type: str, strip_first: bool = False)
     return edge_rows(rows, "id", "Incident", "OCCURRED_IN", fn.clean_country("country"), "Country")
 
 
+def _edge(source: Column, source_label: Column | str, type: Column | str, target: Column, target_label: Column | str) -> Column:
+    parts = [source, source_label, type, target, target_label]
+    return F.struct(*[(F.lit(p) if isinstance(p, str) else p).alias(n) for n, p in zip(EDGE, parts, strict=True)])
+
+
+def all_category_edges(industries: DataFrame) -> DataFrame:
+    """FACES, EXPOSES and INCLUDES from one scan."""
+    rows = _categories(industries, ["hazard", "exposure"])
+    key, label = F.col("key"), F.col("label")
+    kind = F.when(F.col("type") == "hazard", "FACES").otherwise("EXPOSES")
+    subs = F.transform(
+        F.coalesce("subcategories", F.array().cast("array<string>")),
+        lambda s: _edge(key, label, "INCLUDES", F.concat(key, F.lit("::"), fn.norm_key(s)), "Subcategory"),
+    )
+    own = F.array(_edge(F.col("industry"), "Industry", kind, key, label))
+    return rows.select(F.explode(F.concat(own, subs)).alias("e")).select("e.*")
+
+
+def all_incident_edges(industries: DataFrame, strip_first: bool = False) -> DataFrame:
+    """Every edge of the incidents from one scan."""
+    id = F.col("id")
+    urls = F.filter(F.coalesce("sources", F.array().cast("array<string>")), lambda u: fn.is_url(u))
+    own = F.array(
+        _edge(F.col("industry"), "Industry", "HAD_INCIDENT", id, "Incident"),
+        _edge(id, "Incident", "HIT", F.col("victim"), "Company"),
+        _edge(id, "Incident", "OCCURRED_IN", fn.clean_country("country"), "Country"),
+    )
+    groups = F.transform(
+        fn.split_groups("group", strip_first), lambda g: _edge(id, "Incident", "PERPETRATED_BY", g, "Group")
+    )
+    cited = F.transform(urls, lambda u: _edge(id, "Incident", "CITED_BY", u, "Source"))
+    rows = _incidents(industries).select(F.explode(F.concat(own, groups, cited)).alias("e"))
+    return require(rows.select("e.*"), "from", "to")
+
+
 def statistic_edges(industries: DataFrame) -> DataFrame:
     return edge_rows(_statistics(industries), "industry", "Industry", "MEASURED_BY", "id", "Statistic")
 
@@ -383,8 +418,15 @@ def build_graph(
     if raw_postings is not None:
         nodes["Victim"] = lambda: victim_nodes(raw_postings)
         edges["ATTACKED_BY"] = lambda: attack_edges(raw_postings)
+
+    def every_edge() -> DataFrame:
+        parts = [all_category_edges(i), all_incident_edges(i, strip_first), statistic_edges(i)]
+        if raw_postings is not None:
+            parts.append(attack_edges(raw_postings))
+        return merge_edges(reduce(DataFrame.unionByName, parts))
+
     merged = Lazy({name: partial(_merged, build) for name, build in edges.items()})
-    return Graph(Lazy(nodes), lambda: reduce(DataFrame.unionByName, merged.values()), merged)
+    return Graph(Lazy(nodes), every_edge, merged)
 
 
 def _merged(build: Callable[[], DataFrame]) -> DataFrame:
@@ -518,57 +560,64 @@ def rematch(g: Graph, type: str, predicate: Column | Callable[[Column], Column])
     return edges.join(reach(edges).filter(test), "to", "left_semi").select(EDGE)
 
 
-def neighbours(g: Graph, ids: DataFrame) -> DataFrame:
-    """Undirected one-hop neighbours of the given nodes (label, id); nodes without any are kept."""
-    e = g.edges
-    both = e.select(
-        F.col("from_label").alias("label"),
-        F.col("from").alias("id"),
-        F.col("to_label").alias("nb_label"),
-        F.col("to").alias("nb_id"),
-    ).unionByName(
-        e.select(
-            F.col("to_label").alias("label"),
-            F.col("to").alias("id"),
-            F.col("from_label").alias("nb_label"),
-            F.col("from").alias("nb_id"),
-        )
-    )
-    return ids.select("label", "id").join(both, ["label", "id"], "left")
+def neighbours(g: Graph, ids: DataFrame, bounded: bool = False) -> DataFrame:
+    """Undirected one-hop neighbours of the given nodes (label, id); nodes without any are kept.
 
+    ``bounded`` says that the number of nodes has a proven bound, so that they can be broadcast.
+    """
+    asked = ids.select("label", "id")
+    return asked.join(_near(g, asked, bounded), ["label", "id"], "left")
 
-def display_names(g: Graph) -> DataFrame:
-    """(label, id, name) per node: its name, else its victim, else its id."""
 
-    def named(label: str, df: DataFrame) -> DataFrame:
-        parts = [c for c in ("name", "victim", "id") if c in df.columns]
-        return df.select(F.lit(label).alias("label"), "id", F.coalesce(*parts).alias("name"))
+def _near(g: Graph, asked: DataFrame, bounded: bool) -> DataFrame:
+    """Neighbours of the asked nodes: one scan of the edges, cut to those nodes at once."""
+    ends = lambda a, z: F.struct(
+        F.col(f"{a}_label").alias("label"),
+        F.col(a).alias("id"),
+        F.col(f"{z}_label").alias("nb_label"),
+        F.col(z).alias("nb_id"),
+    )
+    both = g.edges.select(F.explode(F.array(ends("from", "to"), ends("to", "from"))).alias("e")).select("e.*")
+    wanted = F.broadcast(asked) if bounded else asked
+    return both.join(wanted, ["label", "id"], "left_semi")
 
-    return reduce(DataFrame.unionByName, [named(k, df) for k, df in g.nodes.items()])
+
+def display_names(g: Graph) -> DataFrame:
+    """(label, id, name) of the nodes that have a name or a victim; all others go by their id."""
+    shown = {label: c for label, fields in schemas.NODE_FIELDS.items() for c in ("victim", "name") if c in fields}
+    shown["Victim"] = "name"
+    parts = [
+        g.nodes[label].select(F.lit(label).alias("label"), "id", F.col(c).alias("name"))
+        for label, c in shown.items()
+        if label in g.nodes
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def neighbour_context(g: Graph, ids: DataFrame, n: int = 6) -> DataFrame:
+def neighbour_context(g: Graph, ids: DataFrame, n: int = 6, bounded: bool = False) -> DataFrame:
     """Per node the first ``n`` distinct neighbour names; hubs are cut before the shuffle."""
-    near = neighbours(g, ids).filter(F.col("nb_id").isNotNull())
+    asked = ids.select("label", "id")
     names = display_names(g).withColumnsRenamed({"label": "nb_label", "id": "nb_id"})
-    distinct = near.join(names, ["nb_label", "nb_id"]).select("label", "id", "name").distinct()
+    near = _near(g, asked, bounded).join(names, ["nb_label", "nb_id"], "left")
+    distinct = near.select("label", "id", F.coalesce("name", "nb_id").alias("name")).distinct()
     lists = ranked_list(distinct, ["label", "id"], n, {"name": F.col("name")}, "name")
     empty = F.array().cast("array<string>")
-    return ids.select("label", "id").join(lists, ["label", "id"], "left").select(
+    return asked.join(lists, ["label", "id"], "left").select(
         "label", "id", F.coalesce(F.col("items.name"), empty).alias("linked")
     )
 
 
-def cited_sources(g: Graph, ids: DataFrame, n: int = 4) -> DataFrame:
+def cited_sources(g: Graph, ids: DataFrame, n: int = 4, bounded: bool = False) -> DataFrame:
     """Per node up to ``n`` source URLs: its own, then those of neighbouring incidents.
 
     A URL found both ways is listed twice, as the two lists are simply joined.
     """
+    asked = ids.select("label", "id")
     cited = g.of_type("CITED_BY")
     own = cited.select(
         F.col("from_label").alias("label"), F.col("from").alias("id"), F.col("to").alias("url")
-    ).join(ids.select("label", "id"), ["label", "id"], "left_semi")
-    near = neighbours(g, ids).filter(F.col("nb_label") == "Incident")
+    ).join(F.broadcast(asked) if bounded else asked, ["label", "id"], "left_semi")
+    near = _near(g, asked, bounded).filter(F.col("nb_label") == "Incident")
     via = near.join(
         cited.filter(F.col("from_label") == "Incident").select(
             F.col("from").alias("nb_id"), F.col("to").alias("url")
@@ -580,8 +629,7 @@ def cited_sources(g: Graph, ids: DataFrame, n: int = 4) -> DataFrame:
     )
     empty = F.array().cast("array<string>")
     return (
-        ids.select("label", "id")
-        .join(first(own).withColumnRenamed("items", "_own"), ["label", "id"], "left")
+        asked.join(first(own).withColumnRenamed("items", "_own"), ["label", "id"], "left")
         .join(first(via).withColumnRenamed("items", "_via"), ["label", "id"], "left")
         .select(
             "label",

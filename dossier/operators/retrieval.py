@@ -171,11 +171,14 @@ def top_evidence(hits: DataFrame, k: int = 6, id: str = "id") -> DataFrame:
 
 
 def expand_hits(hits: DataFrame, g: gr.Graph) -> DataFrame:
-    """Evidence of retrieved nodes: neighbour names, cited URLs, score to three digits."""
+    """Evidence of retrieved nodes: neighbour names, cited URLs, score to three digits.
+
+    Hits are the few rows a retrieval keeps, so they are broadcast against the edges.
+    """
     ids = hits.select("label", "id")
     return (
-        hits.join(gr.neighbour_context(g, ids, 6), ["label", "id"], "left")
-        .join(gr.cited_sources(g, ids, 4), ["label", "id"], "left")
+        hits.join(gr.neighbour_context(g, ids, 6, bounded=True), ["label", "id"], "left")
+        .join(gr.cited_sources(g, ids, 4, bounded=True), ["label", "id"], "left")
         .select(
             F.col("label").alias("type"), F.round("score", 3).alias("score"), "text", "linked", "urls"
         )
