@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dossier import functions as fn
 from dossier import rules
 from dossier.operators import graph as gr
-from dossier.operators.insights import coverage, count_by
+from dossier.operators.insights import coverage
 from dossier.operators.matching import contained_names, whole_word
 from dossier.operators.ranking import first_per, top_n, top_n_per
 from dossier.operators.search import by_group_prefix, by_sector, incidents_by_group, latest

@@ -8,12 +8,10 @@ whole tables; the SQL texts state the same rows for the oracle.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier import functions as fn
 from dossier import rules
 from dossier.operators.graph import Graph, build_graph
 

@@ -227,9 +227,10 @@ def upsert(spark, folder):
 
 
 def _event_stream(spark, folder):
+    """The events table as a stream, be it one file or a folder of files."""
     path = f"{folder}/events.parquet"
     schema = spark.read.parquet(path).schema
-    return loads.file_stream(spark, folder, schema, "parquet", pathGlobFilter="events.parquet")
+    return loads.file_stream(spark, f"{folder}/event[s].parquet", schema, "parquet")
 
 
 @query("append_new", "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossier import functions as fn
 from dossier.operators import insights as ins
 from dossier.operators import search, tables, taxonomy
 from dossier.plans.catalog import bindings as b
