@@ -106,22 +106,51 @@ def _numbered(spark: SparkSession, labels: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(labels)), "_n int, _name string")
 
 
-def _finder(needles: list[str]):
-    """UDF from a text to the numbers of the distinct needles in it."""
+def _finder(needles: list[str], as_text: bool = False):
+    """UDF from a text to the distinct needles in it, by number or as text."""
+    kind, arrow = ("array<string>", pa.string()) if as_text else ("array<int>", pa.int32())
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(kind)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = ahocorasick.Automaton()
         for number, needle in enumerate(needles):
-            automaton.add_word(needle, number)
+            automaton.add_word(needle, needle if as_text else number)
         automaton.make_automaton()
         for batch in batches:
             hits = (list({n for _, n in automaton.iter(t)}) if t and needles else [] for t in batch.to_pylist())
-            yield pa.array(hits, pa.list_(pa.int32()))
+            yield pa.array(hits, pa.list_(arrow))
 
     return find
 
 
+def longest_name(
+    texts: DataFrame,
+    keys: Sequence[str],
+    text: str,
+    names: DataFrame,
+    accept: Callable[[Column, Column], Column],
+    result: str,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Add the longest accepted name a text contains, NULL without one; equals by name.
+
+    A list of bounded size is searched row by row, without any shuffle of the texts.
+    """
+    keys = list(keys)
+    listed = cut(_needles(names, "name").select("needle").distinct())
+    if _fits(listed, broadcast_bytes):
+        find = _finder([r.needle for r in listed.collect()], as_text=True)
+        found = texts.withColumn("_text", F.lower(fn.text(text))).withColumn("_hits", find("_text"))
+        accepted = F.filter("_hits", lambda n: accept(F.col("_text"), n))
+        ranked = F.array_sort(F.transform(accepted, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
+        return found.withColumn(result, F.get(ranked, F.lit(0))["n"]).drop("_text", "_hits")
+    pairs = contained_names(texts, keys, text, listed, "needle", accept, broadcast_bytes)
+    longest = pairs.groupBy(*keys).agg(
+        F.min_by("needle", F.struct(-F.length("needle"), F.col("needle"))).alias(result)
+    )
+    return texts.join(longest, keys, "left")
+
+
 def whole_word(text: Column, needle: Column) -> Column:
     """The name stands alone in the text: no letter or digit touches it."""
     literal = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))

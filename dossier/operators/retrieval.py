@@ -14,9 +14,10 @@ from dossier import functions as fn
 from dossier import rules
 from dossier.operators import graph as gr
 from dossier.operators.insights import coverage
-from dossier.operators.matching import contained_names, whole_word
+from dossier.operators.matching import BROADCAST_BYTES, longest_name, whole_word
 from dossier.operators.ranking import first_per, top_n, top_n_per
 from dossier.operators.search import by_group_prefix, by_sector, incidents_by_group, latest
+from dossier.session import cut
 
 
 # --- routing ----------------------------------------------------------------
@@ -46,6 +47,7 @@ def detect_group(
     keys: Sequence[str],
     aliases: Mapping[str, str] = rules.GROUP_ALIASES,
     ordinary: Sequence[str] = rules.ORDINARY_WORD_GROUPS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``group``: the group a question names, or NULL.
 
@@ -62,15 +64,10 @@ def detect_group(
         ~needle.isin(list(ordinary)) | t.rlike(rules.GROUP_INTENT)
     )
     names = groups.filter(F.length("name") >= 3)
-    found = contained_names(questions, keys, "question", names, "name", meant)
-    longest = found.groupBy(*keys).agg(
-        F.min_by("needle", F.struct(-F.length("needle"), F.col("needle"))).alias("_found")
-    )
-    return (
-        questions.join(longest, list(keys), "left")
-        .withColumn("group", F.coalesce(alias, "_found") if alias is not None else F.col("_found"))
-        .drop("_found")
-    )
+    found = longest_name(questions, keys, "question", names, meant, "_found", broadcast_bytes)
+    return found.withColumn(
+        "group", F.coalesce(alias, "_found") if alias is not None else F.col("_found")
+    ).drop("_found")
 
 
 def route(questions: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,7 +147,7 @@ def vector_topk_by_type(
 
 def retrieve(vectors: DataFrame, query: Sequence[float], k: int = 6, **options) -> DataFrame:
     """Per-type retrieval; the best of all rows where no row has a listed type."""
-    hits = vector_topk_by_type(vectors, query, k=k, **options)
+    hits = cut(vector_topk_by_type(vectors, query, k=k, **options))
     if hits.isEmpty():
         id, type, text = (options.get(n, n) for n in ("id", "type", "text"))
         type = options.get("type", "label")

@@ -12,7 +12,6 @@ from dossier import rules
 from dossier.operators import graph as gr
 from dossier.operators import insights as ins
 from dossier.operators import intake, retrieval, tables, taxonomy
-from dossier.session import cut
 from dossier.sources import writers
 
 
@@ -101,8 +100,7 @@ def answer(
     if lane == "analytical" or vectors is None or question_vector is None:
         sector = routed["sectors"][0] if routed["sectors"] else None
         return "analytical", retrieval.analytical_evidence(postings, incidents, sector)
-    hits = cut(retrieval.retrieve(vectors, question_vector, k))
-    return lane, retrieval.expand_hits(hits, g)
+    return lane, retrieval.expand_hits(retrieval.retrieve(vectors, question_vector, k), g)
 
 
 def take_in(

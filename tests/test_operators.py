@@ -184,15 +184,17 @@ def test_contained_names_equal_brute_force(spark, limit):
     assert set(rows) == expected and len(rows) == len(expected)
 
 
-def test_group_detection(spark):
+@pytest.mark.parametrize("limit", [0, matching.BROADCAST_BYTES])
+def test_group_detection(spark, limit):
     asked = [
         "Attacks by LockBit 3.0?", "who is play", "Did Play hit them?", "akira and akira2", "xakira", "A+B\\E gang", "Noberus or play",
     ]
     q = spark.createDataFrame(list(enumerate(asked)), "question_id int, question string")
     groups = spark.createDataFrame([("play",), ("akira",), ("akira2",), ("lockbit3",), ("a+b\\e",), ("ak",)], "name string")
-    rows = rt.route(q, groups, ["question_id"]).orderBy("question_id").collect()
-    assert [r.group for r in rows] == ["lockbit3", None, "play", "akira2", None, "a+b\\e", "alphv"]
-    assert [r.lane for r in rows][:2] == ["entity", "semantic"]
+    found = rt.detect_group(q, groups, ["question_id"], broadcast_bytes=limit).orderBy("question_id")
+    assert [r.group for r in found.collect()] == ["lockbit3", None, "play", "akira2", None, "a+b\\e", "alphv"]
+    lanes = rt.route(q, groups, ["question_id"]).orderBy("question_id").collect()
+    assert [r.lane for r in lanes][:2] == ["entity", "semantic"]
 
 
 def test_vectors_and_evidence_order(spark):
