@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
 PIECE_BYTES = 2 << 20
 STRETCH = 1 << 17
 _R = 0x9E3779B97F4A7C15 | 1
@@ -145,3 +149,36 @@ def runs_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         total = total * np.uint64(_R) + hashes[i : i + count]
     return mix(total)
+
+
+class Members:
+    """A set of hashes that numpy asks in bulk: a small bit table first, then exactly."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 18) -> None:
+        self.sorted = np.unique(np.asarray(hashes, dtype=np.uint64))
+        self.shift = np.uint64(64 - bits)
+        self.maybe = np.zeros(1 << bits, dtype=bool)
+        self.maybe[self.sorted >> self.shift] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.maybe[hashes >> self.shift]
+        at = np.flatnonzero(out)
+        if len(at):
+            asked = hashes[at]
+            place = np.minimum(np.searchsorted(self.sorted, asked), len(self.sorted) - 1)
+            out[at] = self.sorted[place] == asked
+        return out
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it is installed, whatever their folder is."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(":"):
+        environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
+
+
+def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of a table, whatever its other columns are called."""
+    find_package(df.sparkSession)
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

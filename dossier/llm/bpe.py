@@ -31,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from dossier.llm.arrow_text import pieces
+from dossier.llm.arrow_text import numbered, pieces
 
 KEPT_WORDS = 300_000
 KEPT_CHARS = 48
@@ -395,7 +394,7 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    source = numbered(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

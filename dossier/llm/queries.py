@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe
+from dossier.llm import bpe, toxicity
 from dossier.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -17,3 +17,12 @@ def op2_bpe(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     made = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
     return made.select("doc_id", "n_tokens", "ids_sha256", F.col("decoded_sha256"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, folder):
+    """Score every document; the model never sees the held-out fifth of the labels."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scored = toxicity.score_texts(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
