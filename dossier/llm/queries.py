@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, toxicity
+from dossier.llm import bpe, pii, toxicity
 from dossier.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -26,3 +26,10 @@ def op10_toxicity(spark, folder):
     model = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     scored = toxicity.score_texts(docs, model)
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query("op4_pii")
+def op4_pii(spark, folder):
+    """Personal data in every document: pattern spans and those that the field adds."""
+    found = pii.find_spans(spark.read.parquet(f"{folder}/documents.parquet"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
