@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, pii, toxicity
+from dossier.llm import bpe, pii, toxicity, warc
 from dossier.llm.registry import QUERIES, SQL, query
+from dossier.session import shared_dir
 
 __all__ = ["QUERIES", "SQL"]
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS lead_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN lead_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN lead_id < page_id THEN lead_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
 
 @query("op2_bpe")
 def op2_bpe(spark, folder):
@@ -33,3 +45,11 @@ def op4_pii(spark, folder):
     """Personal data in every document: pattern spans and those that the field adds."""
     found = pii.find_spans(spark.read.parquet(f"{folder}/documents.parquet"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@query("op7_warc", OP7_SQL)
+def op7_warc(spark, folder):
+    """Write every page into archives, read them back, and return what the records say."""
+    path = f"{shared_dir(spark)}/warc-{uuid4().hex}"
+    warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
