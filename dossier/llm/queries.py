@@ -7,12 +7,20 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, pii, toxicity, warc
+from dossier.llm import bpe, pii, topk, toxicity, warc
 from dossier.llm.registry import QUERIES, SQL, query
 from dossier.session import shared_dir
 
 __all__ = ["QUERIES", "SQL"]
 
+OP6_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS n FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.n, c.n), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.n) = len(c.n) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
 OP7_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS lead_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
@@ -53,3 +61,10 @@ def op7_warc(spark, folder):
     path = f"{shared_dir(spark)}/warc-{uuid4().hex}"
     warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_topk", OP6_SQL)
+def op6_topk(spark, folder):
+    """The five best rows for every fiftieth vector."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
