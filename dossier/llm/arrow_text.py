@@ -140,15 +140,18 @@ def hash_text(word: str) -> int:
     return int(hash_words(data, np.array([0]), np.array([len(data)]))[0])
 
 
+def combine(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash for each row of several columns of hashes, in order."""
+    total = np.zeros(len(columns[0]), dtype=np.uint64)
+    for column in columns:
+        total = total * np.uint64(_R) + column
+    return mix(total)
+
+
 def runs_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     """The hash of every n consecutive words; empty when there are fewer."""
     count = len(hashes) - n + 1
-    if count <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(count, dtype=np.uint64)
-    for i in range(n):
-        total = total * np.uint64(_R) + hashes[i : i + count]
-    return mix(total)
+    return combine([hashes[i : i + count] for i in range(n)]) if count > 0 else np.zeros(0, dtype=np.uint64)
 
 
 class Members:

@@ -7,12 +7,26 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, pii, topk, toxicity, warc
+from dossier.llm import bpe, decontamination, pii, topk, toxicity, warc
 from dossier.llm.registry import QUERIES, SQL, query
 from dossier.session import shared_dir
 
 __all__ = ["QUERIES", "SQL"]
 
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[s : s + 9], ' ') AS g, least(10, len(w)) AS size
+  FROM i, unnest(generate_series(1, greatest(1, len(w) - 9))) AS t(s) WHERE len(w) > 0),
+dw AS (SELECT k, s, size, array_to_string(w[s : s + size - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT size FROM iw), unnest(generate_series(1, len(w) - size + 1)) AS t(s) WHERE len(w) >= size),
+h AS (SELECT k, s, dw.size, item_id FROM dw JOIN iw USING (g)),
+p AS (SELECT k, count(DISTINCT s + o) AS n_hit FROM h, unnest(generate_series(0, size - 1)) AS t(o) GROUP BY k),
+n AS (SELECT k, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT k, item_id::VARCHAR AS item_id FROM h) GROUP BY k)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p USING (k) LEFT JOIN n USING (k)
+"""
 OP6_SQL = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS n FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -68,3 +82,9 @@ def op6_topk(spark, folder):
     """The five best rows for every fiftieth vector."""
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op1_decontaminate", OP1_SQL)
+def op1_decontaminate(spark, folder):
+    """Which words of each document belong to windows of benchmark items."""
+    return decontamination.find_overlaps(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
