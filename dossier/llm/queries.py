@@ -7,7 +7,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontamination, pii, topk, toxicity, warc
+from dossier.llm import bpe, decontamination, near_dedup, pii, topk, toxicity, warc
 from dossier.llm.registry import QUERIES, SQL, query
 from dossier.session import shared_dir
 
@@ -88,3 +88,9 @@ def op6_topk(spark, folder):
 def op1_decontaminate(spark, folder):
     """Which words of each document belong to windows of benchmark items."""
     return decontamination.find_overlaps(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("op9_near_dedup")
+def op9_near_dedup(spark, folder):
+    """The component of each document over links of similarity 0.85 or more on three-word shingles."""
+    return near_dedup.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
