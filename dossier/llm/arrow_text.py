@@ -185,3 +185,18 @@ def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of a table, whatever its other columns are called."""
     find_package(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The places of hashes in a table of 2^bits bits."""
+    return hashes >> np.uint64(64 - bits)
+
+
+def bit_table(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of 2^bits bits with those of the column's hashes set; at most 2^bits numbers reach the driver, in bounded packs."""
+    words = df.select(F.shiftrightunsigned(column, 64 - bits).alias("slot")).distinct()
+    packs = words.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
+    found = packs.toArrow()
+    table = np.zeros(1 << (bits - 6), dtype=np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.arrow_text import ALNUM, Words, combine, mix, numbered, pieces, text_buffer, words_of
+from dossier.llm.arrow_text import ALNUM, Words, bit_table, combine, mix, numbered, pieces, slots, text_buffer, words_of
 from dossier.session import cut
 
 WINDOW = 10
@@ -26,10 +26,6 @@ WORD_BITS, WINDOW_BITS = 20, 22
 FLUSH = 200_000
 
 
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return hashes >> np.uint64(64 - bits)
-
-
 def _windows_at(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """The hash of the `size` words from each start."""
     return mix(combine([hashes[starts + i] for i in range(size)]) ^ np.uint64(size))
@@ -63,16 +59,6 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return source.mapInArrow(run, "item string, window string, hash long, words array<long>")
 
 
-def _bit_table(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A table of 2^bits bits with those of the column's hashes set; at most 2^bits numbers reach the driver, in bounded packs."""
-    words = df.select(F.shiftrightunsigned(column, 64 - bits).alias("slot")).distinct()
-    packs = words.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
-    found = packs.toArrow()
-    table = np.zeros(1 << (bits - 6), dtype=np.int64)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-
-
 def word_counts(docs: DataFrame, vocabulary: np.ndarray, bits: int = WORD_BITS) -> DataFrame:
     """(word, n): how often the words in the bit table occur in all documents; `docs` is (id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(vocabulary))  # of fixed size
@@ -86,7 +72,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray, bits: int = WORD_BITS)
 
         for batch in pieces(batches):
             hashes = words_of(*text_buffer(batch.column(1)), ALNUM).hash
-            new, n = np.unique(hashes[wanted[_slots(hashes, bits)]], return_counts=True)
+            new, n = np.unique(hashes[wanted[slots(hashes, bits)]], return_counts=True)
             both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
             keys, counts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
             if len(keys) > FLUSH:
@@ -108,7 +94,7 @@ def _scan(docs: DataFrame, prefixes: np.ndarray, windows: np.ndarray, sizes: lis
             words = words_of(*text_buffer(batch.column(1)), ALNUM)
             n = np.diff(words.first)
             hits: list[list] = [[] for _ in n]
-            at = np.flatnonzero(rare[_slots(words.hash, WORD_BITS)])
+            at = np.flatnonzero(rare[slots(words.hash, WORD_BITS)])
             text = np.searchsorted(words.first, at, side="right") - 1
             low, high = words.first[text], words.first[text + 1]
             for size in sizes:
@@ -118,7 +104,7 @@ def _scan(docs: DataFrame, prefixes: np.ndarray, windows: np.ndarray, sizes: lis
                 if not len(starts):
                     continue
                 gathered = _windows_at(words.hash, starts, size)
-                starts = starts[known[_slots(gathered, WINDOW_BITS)]]
+                starts = starts[known[slots(gathered, WINDOW_BITS)]]
                 for s, k in zip(starts.tolist(), (np.searchsorted(words.first, starts, side="right") - 1).tolist()):
                     hits[k].append({"start": s - int(words.first[k]), "size": size, "window": _text(words, s, s + size)})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(hits, kind)], ["id", "n_words", "hits"])
@@ -140,12 +126,12 @@ def find_overlaps(
     source = numbered(docs, id_col, text_col)
     windows = cut(item_windows(items, item_id, item_text, size))
     distinct = windows.select("window", "hash", "words").dropDuplicates(["window"])
-    vocabulary = _bit_table(windows.select(F.explode("words").alias("word")), "word", WORD_BITS)
+    vocabulary = bit_table(windows.select(F.explode("words").alias("word")), "word", WORD_BITS)
     counts = word_counts(source, vocabulary)
     ranked = distinct.select("window", F.explode("words").alias("word")).join(counts, "word", "left")
     prefixes = ranked.groupBy("window").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
     sizes = sorted(r[0] for r in distinct.select(F.size("words")).distinct().collect())  # at most `size` numbers
-    scanned = _scan(source, _bit_table(prefixes, "word", WORD_BITS), _bit_table(distinct, "hash", WINDOW_BITS), sizes)
+    scanned = _scan(source, bit_table(prefixes, "word", WORD_BITS), bit_table(distinct, "hash", WINDOW_BITS), sizes)
     scanned = cut(scanned.withColumn("row", F.monotonically_increasing_id()))
     hits = scanned.select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
     found = hits.join(windows.select("window", "item").distinct(), "window")

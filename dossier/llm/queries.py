@@ -7,7 +7,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontamination, near_dedup, pii, topk, toxicity, warc
+from dossier.llm import bpe, decontamination, line_dedup, near_dedup, pii, topk, toxicity, warc
 from dossier.llm.registry import QUERIES, SQL, query
 from dossier.session import shared_dir
 
@@ -94,3 +94,10 @@ def op1_decontaminate(spark, folder):
 def op9_near_dedup(spark, folder):
     """The component of each document over links of similarity 0.85 or more on three-word shingles."""
     return near_dedup.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark, folder):
+    """Every document without the lines whose template recurs."""
+    kept = line_dedup.drop_lines(spark.read.parquet(f"{folder}/documents.parquet"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
