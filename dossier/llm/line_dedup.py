@@ -4,8 +4,9 @@ A line is its white-space separated words, in lower case. Words that hold a digi
 variable fields. The tree has a level for the number of words and one for each of the first
 `DEPTH` words; its leaves hold lines that may be instances of one template. Within a leaf,
 a word stays part of the template where it is frequent at its place; every other word there
-is a variable field too. A template needs a share of constant words; lines that miss it
-keep their own words as their template, so prose that only begins alike is never merged.
+is a variable field too. A template needs a share of constant words, and more than the tree's path;
+lines that miss this keep their own words as their template, so prose that only begins
+alike is never merged.
 
 A template recurs if at least `least_texts` different texts have it. It stays in the text
 with the smallest id (the first copy of what many repeat) and its lines are dropped from
@@ -116,7 +117,7 @@ def recurring(source: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXT
     frequent = frequent.select("leaf", "place", "word", F.lit(True).alias("stays"))
     marked = placed.join(frequent, ["leaf", "place", "word"], "left").select("leaf", "template", "place", F.when(F.coalesce("stays", F.lit(False)), F.col("word")).alias("word"))
     merged = marked.groupBy("leaf", "template").agg(F.count("word").alias("constant"), F.count(F.lit(1)).alias("words"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("list"))
-    merged = merged.filter(F.col("constant") >= CONSTANT * F.col("words")).select("template", F.xxhash64("leaf", "list").alias("general"))
+    merged = merged.filter((F.col("constant") >= CONSTANT * F.col("words")) & (F.col("constant") > DEPTH)).select("template", F.xxhash64("leaf", "list").alias("general"))
     grouped = own.join(merged, "template", "left").withColumn("general", F.coalesce("general", "template"))
     totals = grouped.groupBy("general").agg(F.sum("n").alias("texts"), F.min("owner").alias("first")).filter(F.col("texts") >= least_texts)
     return grouped.join(totals, "general").select("template", F.col("first.unit").alias("owner")).distinct()

@@ -7,7 +7,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontamination, line_dedup, near_dedup, pii, topk, toxicity, warc
+from dossier.llm import bpe, decontamination, license_scan, line_dedup, near_dedup, pii, secret_scan, topk, toxicity, warc
 from dossier.llm.registry import QUERIES, SQL, query
 from dossier.session import shared_dir
 
@@ -101,3 +101,19 @@ def op3_line_dedup(spark, folder):
     """Every document without the lines whose template recurs."""
     kept = line_dedup.drop_lines(spark.read.parquet(f"{folder}/documents.parquet"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op5_secrets")
+def op5_secrets(spark, folder):
+    """Secrets in every document, as start:end in code points."""
+    found = secret_scan.scan_texts(spark.read.parquet(f"{folder}/documents.parquet"))
+    spans = F.array_join(F.transform("secrets", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return found.select("doc_id", "n_candidates", "n_secrets", spans.alias("spans"))
+
+
+@query("op8_licenses")
+def op8_licenses(spark, folder):
+    """License notices and texts in every document, as name:coverage:first word:end."""
+    found = license_scan.scan_texts(spark.read.parquet(f"{folder}/documents.parquet"))
+    spans = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["name"], x["coverage"], x["start"], x["end"])), ",")
+    return found.select("doc_id", "n_found", "best", spans.alias("licenses"))
