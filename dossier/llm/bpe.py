@@ -352,13 +352,13 @@ def vocabulary_of(body: bytes) -> Vocabulary:
     return _loaded[key]
 
 
-def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
-    """One row per input row: id, n_tokens, ids (array<int>), ids_sha256, decoded, decoded_sha256.
+def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and the named outputs: ids (array<int>), decoded (string).
 
     The vocabulary file is read by the driver and broadcast; its size is that of the
     vocabulary, never of the data. Null and empty texts have no tokens and decode to an
-    empty text. Repeated rows and null ids give a row each. With `ids=False` the two wide
-    columns stay out and a text of any length passes through in stretches.
+    empty text. Repeated rows and null ids give a row each. Without outputs a text of any
+    length passes through in stretches.
     """
     with open(vocabulary_path, "rb") as file:
         body = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -366,35 +366,34 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(body.value)
         for batch in pieces(batches):
-            rows: list[list] = [[] for _ in range(5 if ids else 3)]
+            counts, made_hex, back_hex, tokens, shown = [], [], [], [], []
             texts = [text or "" for text in batch.column(1).to_pylist()]
             for text, known in zip(texts, encode_together(texts, vocabulary)):
-                n, made, decoder = 0, hashlib.sha256(), Decoder(vocabulary)
-                back, tokens, shown = hashlib.sha256(), [], []
+                n, made, back, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(vocabulary)
+                parts = []
                 for packed in known or encode_stream(text, vocabulary):
                     made.update(packed)
-                    n += len(packed) // 4
-                    numbers = np.frombuffer(packed, dtype="<u4")
+                    numbers = np.frombuffer(packed, dtype="<i4")
+                    n += len(numbers)
+                    if "ids" in outputs:
+                        tokens.append(numbers)
                     for i in range(0, len(numbers), DECODE_IDS):
                         piece = decoder.feed(numbers[i : i + DECODE_IDS].tolist())
                         back.update(piece.encode())
-                        if ids:
-                            shown.append(piece)
-                    if ids:
-                        tokens.extend(numbers.tolist())
-                rest = decoder.end()
+                        if "decoded" in outputs:
+                            parts.append(piece)
+                parts.append(rest := decoder.end())
                 back.update(rest.encode())
-                values = [n, made.hexdigest(), back.hexdigest()] + ([tokens, "".join(shown) + rest] if ids else [])
-                for kept, value in zip(rows, values, strict=True):
-                    kept.append(value)
-            arrays = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                arrays += [pa.array(rows[3], pa.list_(pa.int32())), pa.array(rows[4], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                counts.append(n), made_hex.append(made.hexdigest()), back_hex.append(back.hexdigest()), shown.append("".join(parts))
+            columns = {"id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(made_hex, pa.string()), "decoded_sha256": pa.array(back_hex, pa.string())}
+            if "ids" in outputs:
+                ends = pa.array(np.cumsum([0, *counts]).astype(np.int32))
+                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *tokens])))
+            if "decoded" in outputs:
+                columns["decoded"] = pa.array(shown, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     source = numbered(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in outputs) + ", decoded string" * ("decoded" in outputs)
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -12,8 +12,9 @@ give components. Then only surviving pairs between different components, which c
 join them, are sent and verified, so no link that matters for a component is lost. A large
 bucket is dealt into blocks, and pairs of blocks are compared in separate tasks.
 
-The chance to lose a pair at the threshold is (1 - t^ROWS)^BANDS from the bands, some 4e-7
-at 0.85, and less than MISS per batch from the pruning.
+The chance to lose a pair at the threshold t is (1 - t^r)^b from b bands of r places, some
+4e-7 at 0.85 (25 bands of 5) and 8e-8 at 0.8 (31 bands of 4), and less than MISS per batch
+from the pruning.
 """
 
 from __future__ import annotations
@@ -30,13 +31,16 @@ from dossier.llm.arrow_text import DENSE, mix, numbered, pieces, runs_hash, text
 from dossier.llm.components import components
 from dossier.session import cut
 
-BANDS, ROWS = 25, 5
-PLACES = BANDS * ROWS
+PLACES = 125
 BATCH = 25
 MISS = 1e-6
 BLOCK = 512
 
 
+def rows_per_band(threshold: float) -> int:
+    return 5 if threshold >= 0.85 else 4 if threshold >= 0.75 else 3
+
+
 def multipliers(n: int = PLACES) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_24)
     return rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
@@ -97,7 +101,7 @@ def survivors(left: np.ndarray, right: np.ndarray, least: list[int], allowed: np
 # --- Spark ----------------------------------------------------------------------
 
 
-def _signed(source: DataFrame, size: int) -> DataFrame:
+def _signed(source: DataFrame, size: int, band_rows: int) -> DataFrame:
     """(id, n, set_hash, bands, places): the size of each set, a 128-bit name for it, its band keys and one byte per place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +115,11 @@ def _signed(source: DataFrame, size: int) -> DataFrame:
                     continue
                 names.append(set_name(shingles))
                 low = signature(shingles, a, b)
-                keys = np.zeros(BANDS, dtype=np.uint64)
-                for r in range(ROWS):
-                    keys = mix(keys ^ low[r::ROWS].astype(np.uint64))
-                bands.append((keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist())
+                rows = low[: PLACES // band_rows * band_rows].reshape(-1, band_rows).astype(np.uint64)
+                keys = np.arange(len(rows), dtype=np.uint64)
+                for r in range(band_rows):
+                    keys = mix(keys ^ rows[:, r])
+                bands.append(keys.view(np.int64).tolist())
                 places.append(low.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(places, pa.binary())],
@@ -224,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold = percent / 100
     source = numbered(docs, id_col, text_col)
     source = source.withColumn("id", F.col("id").cast("long"))
-    signed = cut(_signed(source, size))
+    signed = cut(_signed(source, size, rows_per_band(threshold)))
     named = signed.filter("set_hash IS NOT NULL AND id IS NOT NULL")
     # One representative per set: its smallest id.
     sets = named.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places"))

@@ -49,7 +49,7 @@ FROM p LEFT JOIN f USING (payload_digest)
 def op2_bpe(spark, folder):
     """Encode and decode every document with the byte-level vocabulary."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    made = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+    made = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), outputs=())
     return made.select("doc_id", "n_tokens", "ids_sha256", F.col("decoded_sha256"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.arrow_text import ALNUM, DENSE, LOWER, Members, hash_text, hash_words, numbered, pieces, text_buffer, word_places, words_of
+from dossier.llm.arrow_text import ALNUM, DENSE, LOWER, Members, find_package, hash_text, hash_words, numbered, pieces, text_buffer, word_places, words_of
 
 #: Bounds of what is learned from: labelled rows, rows that the lexicon is counted over, entries kept.
 SAMPLE_ROWS = 20_000
@@ -304,3 +304,17 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, score double, predicted int, features array<double>").withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text is not predicted to be toxic."""
+    find_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, place):
+            score = shared.value.score(features(*text_buffer(batch.column(place)), shared.value.lexicon))
+            yield batch.filter(pa.array(score < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
