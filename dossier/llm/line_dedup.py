@@ -136,7 +136,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = cut(_lines(source))
     gone = recurring(source, lines, least_texts)
     each = lines.dropDuplicates(["unit"]).select("unit", F.posexplode("templates").alias("line", "template")).filter("template IS NOT NULL")
-    drops = each.join(gone, "template").filter(F.col("unit") != F.col("owner")).groupBy("unit").agg(F.collect_set("line").alias("drops"))
+    # Written first, so that the join below reads both sides from their own shuffles and a text with very many copies can be split.
+    drops = cut(each.join(gone, "template").filter(F.col("unit") != F.col("owner")).groupBy("unit").agg(F.collect_set("line").alias("drops")))
     # The caller's columns travel in a struct, so that no name of theirs can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), unit.alias("unit"), F.col(f"`{text_col}`").cast("string").alias("text"))
     joined = rows.join(drops, "unit", "left")
