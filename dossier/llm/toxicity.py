@@ -317,4 +317,5 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             score = shared.value.score(features(*text_buffer(batch.column(place)), shared.value.lexicon))
             yield batch.filter(pa.array(score < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots could not be passed on
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
