@@ -1,45 +1,58 @@
 """Which texts contain which names, without comparing every text with every name.
 
-A list of names of bounded size goes to every task, which finds all of them in one pass
-over each text. A longer list is joined: each name is looked up by one anchor, a run of
-characters of it that few other names share; texts are cut into runs of the same lengths
-and meet the anchors in an equi join, and only these meetings are tested. Both ways are
-exact for names of any length, and no text is shortened.
+Each name is looked up by one anchor, a run of bytes of it that few other names share.
+Texts and anchors meet in an equi join, and only these meetings are tested. Before the
+join, a table of fixed size tells in each task which runs of a text can be an anchor at
+all, so a text sends a few rows and not one per character. This is exact for names of any
+length, no text is shortened, and rows with equal or missing keys are told apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier import functions as fn
 from dossier.operators.ranking import first_per
-from dossier.session import cut
-
-try:
-    import ahocorasick
-except ImportError:  # the join needs no such library
-    ahocorasick = None
+from dossier.session import cut, find_package
 
 ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
-BROADCAST_BYTES = 4 << 20
+TABLE_BITS = 20
+
+
+def _runs(text: bytes, length: int) -> np.ndarray:
+    """A hash of every run of ``length`` bytes."""
+    data = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    total = np.full(n, length, dtype=np.uint64)
+    for i in range(length):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + data[i : i + n] + np.uint64(1)
+    total = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return total ^ (total >> np.uint64(32))
 
 
-def _runs(text: Column, length: int) -> Column:
-    """Every run of ``length`` characters of a text, overlapping ones included."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
+def _longs(batches: Iterator[pa.Array], of: Callable[[bytes], np.ndarray]) -> Iterator[pa.Array]:
+    for batch in batches:
+        found = [np.unique(of((t or "").encode())).view(np.int64) for t in batch.to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+        yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found])))
 
 
 def _anchors(needles: DataFrame) -> DataFrame:
-    """(needle, anchor): per name its least shared run of the longest fitting length."""
-    runs, length = None, F.length("needle")
-    for n in ANCHOR_LENGTHS:
-        part = _runs(F.col("needle"), n)
-        runs = F.when(length >= n, part) if runs is None else runs.when(length >= n, part)
-    rows = needles.select("needle", F.explode(F.array_distinct(runs)).alias("anchor"))
+    """(needle, anchor): per name its least shared run of the longest length that fits."""
+    find_package(needles.sparkSession)
+
+    @F.arrow_udf("array<long>")
+    def runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _longs(batches, lambda t: _runs(t, next((n for n in ANCHOR_LENGTHS if n <= len(t)), 1)))
+
+    rows = needles.select("needle", F.explode(runs("needle")).alias("anchor"))
     shared = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("_names"))
     return (
         rows.join(shared, "anchor")
@@ -48,143 +61,102 @@ def _anchors(needles: DataFrame) -> DataFrame:
     )
 
 
-def contained_names(
-    texts: DataFrame,
-    keys: Sequence[str],
-    text: str,
-    names: DataFrame,
-    name: str = "name",
-    accept: Callable[[Column, Column], Column] | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Rows (keys, needle) where the lower-cased text contains the lower-cased name.
+def _possible(anchors: DataFrame):
+    """UDF from a text to those of its runs that may be anchors, by a table of 2^TABLE_BITS bits."""
+    slot = F.shiftrightunsigned("anchor", 64 - TABLE_BITS).cast("int")
+    slots = anchors.select(slot.alias("slot")).distinct().toArrow()  # at most 2^TABLE_BITS numbers
+    table = np.zeros(1 << TABLE_BITS, dtype=bool)
+    table[slots.column("slot").to_numpy()] = True
+    packed = anchors.sparkSession.sparkContext.broadcast(np.packbits(table))
 
-    ``keys`` must tell the texts apart. ``accept(text, needle)`` may narrow the matches.
-    The names are sent to the tasks only when their measured size allows it; else texts
-    and anchors are shuffled on the anchor, carrying the keys alone.
-    """
-    keys = list(keys)
-    needles = cut(_needles(names, name).select("needle").distinct())
-    lowered = texts.select(*keys, F.lower(F.col(text)).alias("_text"))
-    test = F.lit(True) if accept is None else accept(F.col("_text"), F.col("needle"))
-    if _fits(needles, broadcast_bytes):
-        listed = [r.needle for r in needles.collect()]
-        table = _numbered(texts.sparkSession, listed)
-        found = lowered.select(*keys, "_text", F.explode(_finder(listed)("_text")).alias("_n"))
-        return (
-            found.join(F.broadcast(table), "_n")
-            .withColumnRenamed("_name", "needle")
-            .filter(test)
-            .select(*keys, "needle")
-        )
-    anchors = cut(_anchors(needles))
-    lengths = anchors.agg(F.collect_set(F.length("anchor"))).first()[0]
-    runs = F.array().cast("array<string>")
-    for n in sorted(lengths):
-        runs = F.concat(runs, _runs(F.col("_text"), n))
-    runs = F.explode(F.array_distinct(runs)).alias("anchor")
-    meetings = lowered.select(*keys, runs).join(anchors, "anchor").select(*keys, "needle")
-    return (
-        meetings.join(lowered, keys)
-        .filter(F.contains("_text", F.col("needle")) & test)
-        .select(*keys, "needle")
-    )
+    @F.arrow_udf("array<long>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = np.unpackbits(packed.value).astype(bool)
 
+        def runs(text: bytes) -> np.ndarray:
+            every = [_runs(text, n) for n in ANCHOR_LENGTHS]
+            return np.concatenate([r[known[r >> np.uint64(64 - TABLE_BITS)]] for r in every])
 
-def _needles(names: DataFrame, name: str) -> DataFrame:
-    return names.withColumn("needle", F.lower(F.col(name))).filter(F.length("needle") > 0)
+        return _longs(batches, runs)
 
+    return find
 
-def _fits(needles: DataFrame, limit: int) -> bool:
-    """Whether a list of names is small enough to be held by every task."""
-    size = needles.agg(F.sum(F.octet_length("needle") + 8)).first()[0] or 0
-    return ahocorasick is not None and size <= limit
 
+def _needles(names: DataFrame, name: str) -> DataFrame:
+    return names.withColumn("needle", F.lower(F.col(name))).filter(F.length("needle") > 0)
 
-def _numbered(spark: SparkSession, labels: list[str]) -> DataFrame:
-    """(number, label) of a list whose size ``_fits`` has checked."""
-    return spark.createDataFrame(list(enumerate(labels)), "_n int, _name string")
 
+def _meetings(texts: DataFrame, text: str, needles: DataFrame, accept: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Rows of ``texts``, as ``_row``, with a number of their own and each accepted name in them."""
+    anchors = cut(_anchors(needles.select("needle").distinct()))
+    rows = texts.select(F.monotonically_increasing_id().alias("_id"), F.struct(*texts.columns).alias("_row"), F.lower(F.col(text)).alias("_text"))
+    runs = rows.select("*", F.explode(_possible(anchors)("_text")).alias("anchor"))
+    test = F.contains("_text", F.col("needle"))
+    if accept is not None:
+        test = test & accept(F.col("_text"), F.col("needle"))
+    return runs.join(anchors, "anchor").filter(test).select("_id", "_row", "needle")
 
-def _finder(needles: list[str], as_text: bool = False):
-    """UDF from a text to the distinct needles in it, by number or as text."""
-    kind, arrow = ("array<string>", pa.string()) if as_text else ("array<int>", pa.int32())
 
-    @F.arrow_udf(kind)
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = ahocorasick.Automaton()
-        for number, needle in enumerate(needles):
-            automaton.add_word(needle, needle if as_text else number)
-        automaton.make_automaton()
-        for batch in batches:
-            hits = (list({n for _, n in automaton.iter(t)}) if t and needles else [] for t in batch.to_pylist())
-            yield pa.array(hits, pa.list_(arrow))
+def contained_names(
+    texts: DataFrame,
+    keys: Sequence[str],
+    text: str,
+    names: DataFrame,
+    name: str = "name",
+    accept: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """Rows (keys, needle) where the lower-cased text contains the lower-cased name.
 
-    return find
+    Every row of ``texts`` stands for itself, whatever its keys are. ``accept(text,
+    needle)`` may narrow the matches.
+    """
+    found = _meetings(texts, text, _needles(names, name), accept)
+    return found.select(*[F.col("_row").getField(k).alias(k) for k in keys], "needle")
 
 
 def longest_name(
     texts: DataFrame,
-    keys: Sequence[str],
     text: str,
     names: DataFrame,
     accept: Callable[[Column, Column], Column],
     result: str,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add the longest accepted name a text contains, NULL without one; equals by name.
+    """Add the longest accepted name a text contains, NULL without one; equals by name."""
+    longest = F.min(F.when(F.col("needle").isNotNull(), F.struct((-F.length("needle")).alias("l"), F.col("needle").alias("n"))))
+    # A row without a name takes part with none, so that every row comes back once.
+    anchors = cut(_anchors(_needles(names, "name").select("needle").distinct()))
+    rows = texts.select(F.monotonically_increasing_id().alias("_id"), F.struct(*texts.columns).alias("_row"), F.lower(fn.text(text)).alias("_text"))
+    runs = rows.select("*", F.explode_outer(_possible(anchors)("_text")).alias("anchor"))
+    met = runs.join(anchors, "anchor", "left")
+    meant = F.contains("_text", F.col("needle")) & accept(F.col("_text"), F.col("needle"))
+    met = met.withColumn("needle", F.when(meant, F.col("needle")))
+    return met.groupBy("_id").agg(F.any_value("_row").alias("_row"), longest.alias("_best")).select("_row.*", F.col("_best.n").alias(result))
 
-    A list of bounded size is searched row by row, without any shuffle of the texts.
-    """
-    keys = list(keys)
-    listed = cut(_needles(names, "name").select("needle").distinct())
-    if _fits(listed, broadcast_bytes):
-        find = _finder([r.needle for r in listed.collect()], as_text=True)
-        found = texts.withColumn("_text", F.lower(fn.text(text))).withColumn("_hits", find("_text"))
-        accepted = F.filter("_hits", lambda n: accept(F.col("_text"), n))
-        ranked = F.array_sort(F.transform(accepted, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
-        return found.withColumn(result, F.get(ranked, F.lit(0))["n"]).drop("_text", "_hits")
-    pairs = contained_names(texts, keys, text, listed, "needle", accept, broadcast_bytes)
-    longest = pairs.groupBy(*keys).agg(
-        F.min_by("needle", F.struct(-F.length("needle"), F.col("needle"))).alias(result)
-    )
-    return texts.join(longest, keys, "left")
 
+def whole_word(text: Column, word: str) -> Column:
+    """The word stands alone in the text: no letter or digit touches it."""
+    quoted = word.replace("\\E", "\\E\\\\E\\Q")
+    return F.rlike(text, F.lit(f"(?<![a-z0-9])\\Q{quoted}\\E(?![a-z0-9])"))
 
-def whole_word(text: Column, needle: Column) -> Column:
-    """The name stands alone in the text: no letter or digit touches it."""
-    literal = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    pattern = F.concat(F.lit("(?<![a-z0-9])\\Q"), literal, F.lit("\\E(?![a-z0-9])"))
-    return F.rlike(text, pattern)
+
+def stands_alone(text: Column, needle: Column) -> Column:
+    """As ``whole_word`` for a name in a column: compares the characters beside each place."""
+    size = F.length(needle)
+    touches = lambda at: F.substring(text, at, F.lit(1)).rlike("[a-z0-9]")
+    here = lambda p: (F.substring(text, p, size) == needle) & ((p == 1) | ~touches(p - 1)) & ~touches(p + size)
+    return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), here)
 
 
 def corroborate(
     posts: DataFrame,
     names: DataFrame,
-    keys: Sequence[str],
     title: str = "post_title",
     name: str = "name",
     order: str = "position",
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Posts whose title mentions a victim, with the first such victim in list order.
-
-    A list of bounded size needs no shuffle of the posts.
-    """
-    keys = list(keys)
+    """Posts whose title mentions a victim, with the first such victim in list order."""
     listed = first_per(_needles(names, name), "needle", order)
     listed = cut(listed.select("needle", F.col(name).alias("_name"), F.col(order).alias("_order")))
-    titled = posts.filter(fn.text(title) != "")
-    if _fits(listed, broadcast_bytes):
-        rows = listed.orderBy("_order", "needle").collect()
-        table = _numbered(posts.sparkSession, [r._name for r in rows])
-        first = F.array_min(_finder([r.needle for r in rows])(F.lower(F.col(title))))
-        found = titled.withColumn("_n", first).filter(F.col("_n").isNotNull())
-        return found.join(F.broadcast(table), "_n").drop("_n").withColumnRenamed("_name", "matched_victim")
-    found = contained_names(titled, keys, title, listed, "needle", broadcast_bytes=broadcast_bytes)
-    first = (
-        found.join(listed, "needle")
-        .groupBy(*keys)
-        .agg(F.min_by("_name", "_order").alias("matched_victim"))
-    )
-    return posts.join(first, keys)
+    found = _meetings(posts.filter(fn.text(title) != ""), title, listed, None).join(listed, "needle")
+    first = found.groupBy("_id").agg(F.any_value("_row").alias("_row"), F.min_by("_name", "_order").alias("matched_victim"))
+    return first.select("_row.*", "matched_victim")

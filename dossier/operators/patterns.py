@@ -11,7 +11,7 @@ from dossier import functions as fn
 from dossier.operators import graph as gr
 from dossier.operators.graph import Graph, hop, path, path_rows, rows_of
 from dossier.operators.insights import sector_year
-from dossier.operators.ranking import paged_lists, top_n
+from dossier.operators.ranking import top_n
 
 __all__ = [
     "bowtie", "busiest_sample", "cross_sector_groups", "cross_sector_paths", "disclosed_costs",
@@ -148,17 +148,15 @@ def disclosed_costs(g: Graph, n: int = 25) -> DataFrame:
     )
 
 
-def exposure_inventory(g: Graph, industry: str, page_size: int = 10_000) -> DataFrame:
-    """One industry's exposures with their subcategory names."""
+def exposure_inventory(g: Graph, industry: str) -> DataFrame:
+    """One industry's exposures with their subcategory names, one row each."""
     exposes = hop(g, "Industry", "EXPOSES", "Exposure").filter(F.col("from") == industry)
     _, includes = gr.two_hops(exposes, hop(g, "Exposure", "INCLUDES", "Subcategory"))
     named = gr.with_target(g, includes, "Subcategory", F.col("name").alias("specific"))
     rows = named.select(F.col("from").alias("id"), "specific").join(
         g.nodes["Exposure"].select("id", F.col("name").alias("exposure")), "id"
     )
-    return paged_lists(rows, "exposure", {"specific": F.col("specific")}, page_size, salt=["id"]).select(
-        "exposure", "page", F.col("items.specific").alias("specifics")
-    )
+    return rows.select("exposure", "specific")
 
 
 def top_groups_graph(g: Graph, n: int = 25) -> DataFrame:

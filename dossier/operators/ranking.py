@@ -50,36 +50,3 @@ def ranked_list(
     bare = F.transform("items", lambda x: F.struct(*[x[k].alias(k) for k in values]))
     return lists.withColumn("items", bare)
 
-
-def paged_lists(
-    df: DataFrame,
-    keys: Keys,
-    values: Mapping[str, Column],
-    page_size: int = 10_000,
-    salt: Sequence[str] = (),
-) -> DataFrame:
-    """All values per key as sorted arrays ``items`` of about ``page_size`` entries.
-
-    Keys with more values than one page get several rows, numbered by ``page``: a hot
-    key is spread over many tasks and no array grows with the data. ``salt`` names
-    further columns that tell equal values apart, so that they spread as well.
-    """
-    keys = names(keys)
-    item = F.struct(*[c.alias(k) for k, c in values.items()])
-    df = df.select(*keys, item.alias("_item"), F.xxhash64(item, *salt).alias("_hash"))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    wide = sizes.filter(F.col("_n") > page_size).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.ceil(F.col("_n") / page_size).alias("_pages"),
-    )
-    match = None
-    for i, k in enumerate(keys):
-        test = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        match = test if match is None else match & test
-    page = F.pmod("_hash", F.coalesce("_pages", F.lit(1)))
-    return (
-        df.join(wide, match, "left")
-        .withColumn("page", page)
-        .groupBy(*keys, "page")
-        .agg(F.array_sort(F.collect_list("_item")).alias("items"))
-    )

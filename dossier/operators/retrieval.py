@@ -14,7 +14,7 @@ from dossier import functions as fn
 from dossier import rules
 from dossier.operators import graph as gr
 from dossier.operators.insights import coverage
-from dossier.operators.matching import BROADCAST_BYTES, longest_name, whole_word
+from dossier.operators.matching import longest_name, stands_alone, whole_word
 from dossier.operators.ranking import first_per, top_n, top_n_per
 from dossier.operators.search import by_group_prefix, by_sector, incidents_by_group, latest
 from dossier.session import cut
@@ -44,10 +44,8 @@ def known_groups(postings: DataFrame) -> DataFrame:
 def detect_group(
     questions: DataFrame,
     groups: DataFrame,
-    keys: Sequence[str],
     aliases: Mapping[str, str] = rules.GROUP_ALIASES,
     ordinary: Sequence[str] = rules.ORDINARY_WORD_GROUPS,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Add ``group``: the group a question names, or NULL.
 
@@ -58,19 +56,19 @@ def detect_group(
     text = F.lower(fn.text("question"))
     alias = None
     for word, canonical in aliases.items():
-        test = whole_word(text, F.lit(word))
+        test = whole_word(text, word)
         alias = F.when(test, canonical) if alias is None else alias.when(test, canonical)
-    meant = lambda t, needle: whole_word(t, needle) & (
+    meant = lambda t, needle: stands_alone(t, needle) & (
         ~needle.isin(list(ordinary)) | t.rlike(rules.GROUP_INTENT)
     )
     names = groups.filter(F.length("name") >= 3)
-    found = longest_name(questions, keys, "question", names, meant, "_found", broadcast_bytes)
+    found = longest_name(questions, "question", names, meant, "_found")
     return found.withColumn(
         "group", F.coalesce(alias, "_found") if alias is not None else F.col("_found")
     ).drop("_found")
 
 
-def route(questions: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+def route(questions: DataFrame, groups: DataFrame) -> DataFrame:
     """Add ``group`` and ``lane``: a named group first, then relation words, then counting words."""
     lane = (
         F.when(F.col("group").isNotNull(), "entity")
@@ -78,7 +76,7 @@ def route(questions: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataF
         .when(fn.text("question").rlike(rules.ANALYTICAL_QUESTION), "analytical")
         .otherwise("semantic")
     )
-    return detect_group(questions, groups, keys).withColumn("lane", lane)
+    return detect_group(questions, groups).withColumn("lane", lane)
 
 
 # --- vectors ----------------------------------------------------------------

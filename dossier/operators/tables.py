@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier import functions as fn
 from dossier import rules, schemas
-from dossier.operators.ranking import first_per, last_values, paged_lists
+from dossier.operators.ranking import first_per, last_values
 
 
 def position(df: DataFrame) -> Column:
@@ -229,16 +229,10 @@ def resolve_sector(industries: DataFrame, sectors: DataFrame) -> DataFrame:
     )
 
 
-def with_incident_ids(industries: DataFrame, incidents: DataFrame, page_size: int = 10_000) -> DataFrame:
-    """Industries with the ids of their incidents, in pages where the list is long."""
-    lists = paged_lists(incidents, "industry_id", {"id": F.col("_id")}, page_size).select(
-        "industry_id", F.col("page").alias("ids_page"), F.col("items.id").alias("incident_ids")
-    )
-    return (
-        industries.withColumn("industry_id", fn.slug("industry"))
-        .join(lists, "industry_id", "left")
-        .withColumn("incident_ids", F.coalesce("incident_ids", F.array().cast("array<string>")))
-    )
+def with_incident_ids(industries: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Industries with the ids of their incidents: one row per incident, and one without id where there is none."""
+    ids = incidents.select("industry_id", F.col("_id").alias("incident_id"))
+    return industries.withColumn("industry_id", fn.slug("industry")).join(ids, "industry_id", "left")
 
 
 def industries_table(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier import functions as fn
-from dossier.operators.ranking import last_values, paged_lists
+from dossier.operators.ranking import last_values
 from dossier.operators.tables import explode_categories
 
 
@@ -40,8 +40,7 @@ def _per_industry(members: DataFrame) -> DataFrame:
 def taxonomy(industries: DataFrame) -> DataFrame:
     """Merged categories: longest description, member and industry reach, subcategory count.
 
-    The member lists are the rows of ``category_members``; ``taxonomy_members`` gives them
-    as arrays.
+    The members are the rows of ``taxonomy_members``.
     """
     return (
         _per_industry(category_members(industries))
@@ -65,20 +64,16 @@ def taxonomy(industries: DataFrame) -> DataFrame:
     )
 
 
-def taxonomy_members(industries: DataFrame, page_size: int = 10_000) -> DataFrame:
-    """Member arrays per category, in pages where a category has many."""
-    return paged_lists(
-        category_members(industries),
-        ["type", "key"],
-        {
-            "industry_id": fn.slug("industry"),
-            "industry": F.col("industry"),
-            "label_as_reported": F.col("category"),
-            "subcategories": F.coalesce("subcategories", F.array().cast("array<string>")),
-        },
-        page_size,
-        salt=["_pos", "slot"],
-    ).withColumnRenamed("items", "industries")
+def taxonomy_members(industries: DataFrame) -> DataFrame:
+    """The members of each category, one row each."""
+    return category_members(industries).select(
+        "type",
+        "key",
+        fn.slug("industry").alias("industry_id"),
+        "industry",
+        F.col("category").alias("label_as_reported"),
+        F.coalesce("subcategories", F.array().cast("array<string>")).alias("subcategories"),
+    )
 
 
 def index_cells(industries: DataFrame) -> DataFrame:
@@ -107,10 +102,6 @@ def category_index(industries: DataFrame) -> DataFrame:
     )
 
 
-def by_reach(index: DataFrame) -> DataFrame:
-    return index.orderBy(F.desc("reach"), "name")
-
-
 def family_rollup(cells: DataFrame, type: str = "hazard") -> DataFrame:
     """Families of one category kind: distinct industries, distinct labels, subcategories.
 
@@ -140,27 +131,16 @@ def family_rollup(cells: DataFrame, type: str = "hazard") -> DataFrame:
     )
 
 
-def family_labels(cells: DataFrame, type: str = "hazard", page_size: int = 10_000) -> DataFrame:
-    """Member labels per family, in pages where a family has many."""
-    rows = cells.filter(F.col("type") == type).select(fn.family_of("key").alias("family"), "key")
-    return paged_lists(rows.distinct(), "family", {"key": F.col("key")}, page_size).select(
-        "family", "page", F.col("items.key").alias("labels")
-    )
+def family_labels(cells: DataFrame, type: str = "hazard") -> DataFrame:
+    """The labels of each family, one row per family and label."""
+    rows = cells.filter(F.col("type") == type).select(fn.family_of("key").alias("family"), F.col("key").alias("label"))
+    return rows.distinct()
 
 
-def family_subcategories(cells: DataFrame, type: str = "hazard", page_size: int = 10_000) -> DataFrame:
-    """Every subcategory text per family, in pages where a family has many."""
-    rows = cells.filter(F.col("type") == type).select(
-        fn.family_of("key").alias("family"),
-        "key",
-        "industry",
-        F.posexplode("subcategories").alias("slot", "sub"),
-    )
-    return paged_lists(
-        rows, "family", {"sub": F.col("sub")}, page_size, salt=["key", "industry", "slot"]
-    ).select(
-        "family", "page", F.col("items.sub").alias("subcategories")
-    )
+def family_subcategories(cells: DataFrame, type: str = "hazard") -> DataFrame:
+    """Every subcategory text of each family, one row per mention."""
+    rows = cells.filter(F.col("type") == type)
+    return rows.select(fn.family_of("key").alias("family"), F.explode("subcategories").alias("subcategory"))
 
 
 def singletons(index: DataFrame) -> DataFrame:
@@ -170,19 +150,13 @@ def singletons(index: DataFrame) -> DataFrame:
     )
 
 
-def presence_matrix(
-    cells: DataFrame, row: str, column: str, axis: Sequence[str] | None = None, max_axis: int = 5_000
-) -> DataFrame:
+def presence_matrix(cells: DataFrame, row: str, column: str, axis: Sequence[str]) -> DataFrame:
     """Row x column presence flags with the empty cells filled in, in long form.
 
-    The column axis becomes the columns of a pivot, so its size is checked. A wider axis
-    has no readable matrix; its full content is ``cells`` itself.
+    The column axis is the caller's list, so its size is that of the request and not of
+    the data; cells outside it take no part. Rows come from the data, NULL included.
     """
-    if axis is None:
-        found = cells.select(column).distinct().limit(max_axis + 1).collect()
-        axis = sorted(r[0] for r in found if r[0] is not None)
-    if len(axis) > max_axis:
-        raise ValueError(f"more than {max_axis} values of {column}: use the cells themselves")
-    wide = cells.groupBy(row).pivot(column, list(axis)).agg(F.lit(1))
-    flags = wide.na.fill(0, list(axis))
-    return flags.unpivot([row], list(axis), column, "present")
+    values = F.array(*[F.lit(x) for x in axis]) if axis else F.array().cast("array<string>")
+    found = cells.groupBy(row).agg(F.collect_set(F.when(F.col(column).isin(list(axis)), F.col(column))).alias("_found"))
+    each = found.select(row, "_found", F.explode(values).alias(column))
+    return each.select(row, column, F.array_contains("_found", F.col(column)).cast("int").alias("present"))

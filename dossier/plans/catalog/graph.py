@@ -505,13 +505,12 @@ def disclosed_costs(spark, folder):
 
 @query(
     "exposure_inventory",
-    f"""{G} SELECT x.name AS exposure, string_agg(s.name, '|' ORDER BY s.name) AS specifics FROM edges e JOIN cat_nodes x ON x.id = e."to" AND x.type = 'exposure'
+    f"""{G} SELECT x.name AS exposure, s.name AS specific FROM edges e JOIN cat_nodes x ON x.id = e."to" AND x.type = 'exposure'
       JOIN edges i ON i.type = 'INCLUDES' AND i.from_label = 'Exposure' AND i."from" = e."to" JOIN sub_nodes s ON s.id = i."to"
-    WHERE e.type = 'EXPOSES' AND e."from" = '{A}' GROUP BY 1""",
+    WHERE e.type = 'EXPOSES' AND e."from" = '{A}'""",
 )
 def exposure_inventory(spark, folder):
-    rows = pt.exposure_inventory(b.graph(spark, folder), A)
-    return rows.select("exposure", F.array_join("specifics", "|").alias("specifics"))
+    return pt.exposure_inventory(b.graph(spark, folder), A)
 
 
 @query(

@@ -262,7 +262,7 @@ def to_incidents(spark, folder):
 # --- names in texts -------------------------------------------------------------
 
 _NAMES = """names AS (SELECT item_id * 1000 + i AS position, s AS name FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s,
-      generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM benchmark) WHERE length(s) >= 12
+      generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM benchmark) WHERE length(s) > 0
     UNION ALL SELECT 100000000 + n_nationkey, n_name FROM nation UNION ALL SELECT 200000000, 'thth'),
   firsts AS (SELECT lower(name) AS needle, arg_min(name, position) AS name, min(position) AS position FROM names GROUP BY 1)"""
 
@@ -276,7 +276,7 @@ def _names(spark, folder):
         (F.col("n_nationkey") + 100_000_000).cast("long").alias("position"), F.col("n_name").alias("name")
     )
     short = nations.limit(1).select(F.lit(200_000_000).cast("long").alias("position"), F.lit("thth").alias("name"))
-    return sentences.filter(F.length("name") >= 12).unionByName(nations).unionByName(short)
+    return sentences.filter(F.length("name") > 0).unionByName(nations).unionByName(short)
 
 
 @query(
@@ -288,16 +288,6 @@ def contained_names(spark, folder):
     return matching.contained_names(d, ["doc_id"], "text", _names(spark, folder))
 
 
-@query(
-    "contained_names_shuffled",
-    f"""WITH {_NAMES} SELECT doc_id, needle FROM documents JOIN firsts ON contains(lower(text), needle)""",
-)
-def contained_names_shuffled(spark, folder):
-    """The same where the names are too many to broadcast."""
-    d = b.table(spark, folder, "documents")
-    return matching.contained_names(d, ["doc_id"], "text", _names(spark, folder), broadcast_bytes=0)
-
-
 @query(
     "corroborate",
     f"""WITH {_NAMES} SELECT doc_id, arg_min(name, position) AS matched_victim FROM documents JOIN firsts ON contains(lower(text), needle) GROUP BY 1""",
@@ -305,5 +295,5 @@ def contained_names_shuffled(spark, folder):
 def corroborate(spark, folder):
     d = b.table(spark, folder, "documents")
     names = _names(spark, folder).groupBy("name").agg(F.min("position").alias("position"))
-    rows = matching.corroborate(d, names, ["doc_id"], title="text")
+    rows = matching.corroborate(d, names, title="text")
     return rows.select("doc_id", "matched_victim")

@@ -51,7 +51,7 @@ def _detected() -> str:
 @query("detect_group", f"""{_detected()} SELECT question_id, "group" FROM det""")
 def detect_group(spark, folder):
     groups = rt.known_groups(tables.normalize_postings(b.raw_postings(spark, folder)))
-    return rt.detect_group(b.questions(spark, folder), groups, ["question_id"]).select("question_id", "group")
+    return rt.detect_group(b.questions(spark, folder), groups).select("question_id", "group")
 
 
 @query(
@@ -62,7 +62,7 @@ def detect_group(spark, folder):
 )
 def route(spark, folder):
     groups = rt.known_groups(tables.normalize_postings(b.raw_postings(spark, folder)))
-    return rt.route(b.questions(spark, folder), groups, ["question_id"]).select("question_id", "lane")
+    return rt.route(b.questions(spark, folder), groups).select("question_id", "lane")
 
 
 # --- vectors ------------------------------------------------------------------

@@ -164,19 +164,14 @@ def with_differentiators(spark, folder):
 
 @query(
     "with_incident_ids",
-    f"""WITH {b.INCIDENTS}, ids AS (SELECT {b.sql_slug("industry")} AS industry_id, {b.sql_slug("industry")} || '--' || {b.sql_slug("victim")} AS id
+    f"""WITH {b.INCIDENTS}, ids AS (SELECT {b.sql_slug("industry")} AS industry_id, {b.sql_slug("industry")} || '--' || {b.sql_slug("victim")} AS incident_id
       FROM incs WHERE victim <> '')
-    SELECT i.industry_id AS industry_id, count(id) AS n, sha1(string_agg(id, '|' ORDER BY id)) AS ids_sha
-    FROM (SELECT DISTINCT {b.sql_slug("industry")} AS industry_id FROM p) i LEFT JOIN ids USING (industry_id) GROUP BY 1""",
+    SELECT industry_id, incident_id FROM (SELECT DISTINCT industry, {b.sql_slug("industry")} AS industry_id FROM p) i LEFT JOIN ids USING (industry_id)""",
 )
 def with_incident_ids(spark, folder):
     records = b.records(spark, folder)
     rows = tables.with_incident_ids(records.select("industry").distinct(), tables.incidents_table(records))
-    return rows.select(
-        "industry_id",
-        F.size("incident_ids").cast("long").alias("n"),
-        F.sha1(joined("incident_ids")).alias("ids_sha"),
-    )
+    return rows.select("industry_id", "incident_id")
 
 
 @query(
@@ -238,18 +233,11 @@ def taxonomy_query(spark, folder):
 
 @query(
     "taxonomy_members",
-    f"""{_KEYED} SELECT type, key, count(*) AS members, sha1(string_agg({b.sql_slug("industry")} || ':' || category || ':' || array_to_string(subs, '+'), '|'
-      ORDER BY {b.sql_slug("industry")}, industry, category, array_to_string(subs, '+'))) AS members_sha FROM k GROUP BY type, key""",
+    f"""{_KEYED} SELECT type, key, {b.sql_slug("industry")} AS industry_id, industry, category AS label_as_reported, array_to_string(subs, '+') AS subcategories FROM k""",
 )
 def taxonomy_members(spark, folder):
     rows = taxonomy.taxonomy_members(b.records(spark, folder))
-    told = F.transform(
-        "industries",
-        lambda m: F.concat(
-            m["industry_id"], F.lit(":"), m["label_as_reported"], F.lit(":"), F.array_join(m["subcategories"], "+")
-        ),
-    )
-    return rows.select("type", "key", F.size(told).cast("long").alias("members"), F.sha1(joined(told)).alias("members_sha"))
+    return rows.withColumn("subcategories", joined("subcategories", "+"))
 
 
 @query(
@@ -285,23 +273,18 @@ def family_rollup(spark, folder):
 
 @query(
     "family_labels",
-    f"""{_CELLS} SELECT {b.sql_family("key")} AS family, string_agg(DISTINCT key, '|' ORDER BY key) AS labels FROM cells WHERE type = 'hazard' GROUP BY 1""",
+    f"""{_CELLS} SELECT DISTINCT {b.sql_family("key")} AS family, key AS label FROM cells WHERE type = 'hazard'""",
 )
 def family_labels(spark, folder):
-    rows = taxonomy.family_labels(taxonomy.index_cells(b.records(spark, folder)))
-    return rows.select("family", joined("labels").alias("labels"))
+    return taxonomy.family_labels(taxonomy.index_cells(b.records(spark, folder)))
 
 
 @query(
     "family_subcategories",
-    f"""{_CELLS}, s AS (SELECT {b.sql_family("key")} AS family, unnest(subs) AS sub FROM cells WHERE type = 'hazard')
-    SELECT family, count(*) AS n, sha1(string_agg(sub, '|' ORDER BY sub)) AS subs_sha FROM s GROUP BY 1""",
+    f"""{_CELLS} SELECT {b.sql_family("key")} AS family, unnest(subs) AS subcategory FROM cells WHERE type = 'hazard'""",
 )
 def family_subcategories(spark, folder):
-    rows = taxonomy.family_subcategories(taxonomy.index_cells(b.records(spark, folder)))
-    return rows.select(
-        "family", F.size("subcategories").cast("long").alias("n"), F.sha1(joined("subcategories")).alias("subs_sha")
-    )
+    return taxonomy.family_subcategories(taxonomy.index_cells(b.records(spark, folder)))
 
 
 @query(
@@ -316,12 +299,13 @@ def singletons(spark, folder):
 @query(
     "presence_matrix",
     f"""{_CELLS} SELECT c.key AS key, i.industry AS industry, CAST(count(x.key) AS INTEGER) AS present
-    FROM (SELECT DISTINCT key FROM cells WHERE type = 'exposure') c CROSS JOIN (SELECT DISTINCT industry FROM cells WHERE type = 'exposure') i
+    FROM (SELECT DISTINCT key FROM cells WHERE type = 'exposure') c CROSS JOIN (SELECT 'Brand#' || x || y || ' Works' AS industry FROM range(1, 6) a(x), range(1, 6) b(y)) i
       LEFT JOIN (SELECT * FROM cells WHERE type = 'exposure') x ON x.key = c.key AND x.industry = i.industry GROUP BY 1, 2""",
 )
 def presence_matrix(spark, folder):
     cells = taxonomy.index_cells(b.records(spark, folder)).filter("type = 'exposure'")
-    return taxonomy.presence_matrix(cells, "key", "industry")
+    axis = [f"Brand#{x}{y} Works" for x in range(1, 6) for y in range(1, 6)]
+    return taxonomy.presence_matrix(cells, "key", "industry", axis)
 
 
 # --- searches and filters -------------------------------------------------------

@@ -86,7 +86,7 @@ def answer(
     asked = spark.createDataFrame([(0, question)], "question_id long, question string")
     groups = retrieval.known_groups(postings)
     routed = (
-        retrieval.route(asked, groups, ["question_id"])
+        retrieval.route(asked, groups)
         .withColumn("industries", retrieval.hints("question", rules.INDUSTRY_HINTS))
         .withColumn("sectors", retrieval.hints("question", rules.SECTOR_HINTS))
         .first()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,10 +35,14 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only for a local session without one."""
+    """The shared folder that the cluster or the caller has named.
+
+    Only a local session, whose tasks all run in the driver's process, gets one of its own
+    where none is named; anywhere else a missing name is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="dossier-")
     if not spark.sparkContext.getCheckpointDir():
@@ -44,6 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it is installed, whatever their folder is."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a small intermediate result that several branches read to the shared folder."""
     shared_dir(df.sparkSession)

@@ -1,14 +1,11 @@
-"""Corroboration equals a walk over the list, whichever way the names travel."""
+"""Corroboration equals a walk over the list."""
 
 import random
 
-import pytest
-
 from dossier.operators import matching
 
 
-@pytest.mark.parametrize("limit", [0, matching.BROADCAST_BYTES])
-def test_first_name_in_list_order(spark, limit):
+def test_first_name_in_list_order(spark):
     random.seed(3)
     word = lambda n: "".join(random.choices("aBc ", k=n))
     titles = [(i, word(random.randint(0, 12))) for i in range(120)] + [(500, None)]
@@ -20,5 +17,5 @@ def test_first_name_in_list_order(spark, limit):
             expected[i] = hit.lower()
     posts = spark.createDataFrame(titles, "i int, post_title string")
     listed = spark.createDataFrame(list(enumerate(names)), "position int, name string")
-    got = matching.corroborate(posts, listed, ["i"], broadcast_bytes=limit)
+    got = matching.corroborate(posts, listed)
     assert {r.i: r.matched_victim.lower() for r in got.collect()} == expected

@@ -69,15 +69,13 @@ def test_graph_of_one_incident(spark):
     assert gr.resolve_edges(g.edges, g.node_keys()).count() == len(rows)
 
 
-def test_pages_split_a_hot_key(spark):
-    df = spark.range(5000).select(F.lit("hot").alias("k"), "id").unionByName(
-        spark.range(3).select(F.lit("cold").alias("k"), "id")
-    )
-    rows = ranking.paged_lists(df, "k", {"id": F.col("id")}, page_size=500).collect()
-    hot = [[i.id for i in r["items"]] for r in rows if r.k == "hot"]
-    assert len(hot) == 10 and max(map(len, hot)) < 700
-    assert sorted(sum(hot, [])) == list(range(5000)) and all(p == sorted(p) for p in hot)
-    assert [r.page for r in rows if r.k == "cold"] == [0]
+def test_long_lists_are_rows(spark):
+    many = [category("H" + str(i % 3), "", [f"s{i}"]) for i in range(12)]
+    rows = taxonomy.taxonomy_members(industries(spark, *[(f"I{k}", many, [], []) for k in range(1000)]))
+    assert rows.count() == 12_000 and rows.filter("industry_id = 'i7'").count() == 12
+    ids = spark.range(12_000).selectExpr("'x' AS industry_id", "concat('x--', id) AS _id")
+    both = tables.with_incident_ids(spark.createDataFrame([("X",), ("Y",)], "industry string"), ids)
+    assert sorted((r.industry_id, r["count"]) for r in both.groupBy("industry_id").count().collect()) == [("x", 12_000), ("y", 1)]
 
 
 def test_rank_filters_limit_before_the_shuffle(spark):
@@ -100,12 +98,13 @@ def test_heatmap_fills_empty_cells(spark):
     assert cells == {("a", "s"): 2, ("a", "t"): 0, ("a", "u"): 0}
 
 
-def test_presence_matrix_checks_its_axis(spark):
-    df = spark.createDataFrame([("k", "x"), ("l", "y")], "key string, industry string")
-    rows = {(r.key, r.industry): r.present for r in taxonomy.presence_matrix(df, "key", "industry").collect()}
-    assert rows == {("k", "x"): 1, ("k", "y"): 0, ("l", "x"): 0, ("l", "y"): 1}
-    with pytest.raises(ValueError):
-        taxonomy.presence_matrix(df, "key", "industry", max_axis=1)
+def test_presence_matrix_fills_the_given_axis(spark):
+    df = spark.createDataFrame([("k", "x"), ("l", "y"), ("l", "y"), (None, "z"), ("k", None)], "key string, industry string")
+    rows = sorted(((r.key, r.industry, r.present) for r in taxonomy.presence_matrix(df, "key", "industry", ["x", "y"]).collect()), key=repr)
+    assert rows == sorted([("k", "x", 1), ("k", "y", 0), ("l", "x", 0), ("l", "y", 1), (None, "x", 0), (None, "y", 0)], key=repr)
+    wide = [f"c{i}" for i in range(6000)]
+    assert taxonomy.presence_matrix(df, "key", "industry", wide).count() == 3 * 6000
+    assert taxonomy.presence_matrix(df, "key", "industry", []).count() == 0
 
 
 def test_upsert_is_idempotent(spark):
@@ -171,29 +170,42 @@ def test_intake_equals_one_by_one(spark, seed):
     assert {r._pos: r.status for r in got} == _sequential(records, {"X"}, {"old"})
 
 
-@pytest.mark.parametrize("limit", [0, matching.BROADCAST_BYTES])
-def test_contained_names_equal_brute_force(spark, limit):
+def test_contained_names_equal_brute_force(spark):
     random.seed(7)
     word = lambda n: "".join(random.choices("abé .-", k=n))
     texts = [(i, word(random.randint(0, 60))) for i in range(80)] + [(99, None)]
     names = {word(n) for n in (1, 1, 2, 3, 4, 5, 7, 8, 9, 16, 17) for _ in range(4)} | {t[3:25].upper() for _, t in texts[:20]}
     expected = {(i, n.lower()) for i, t in texts if t for n in names if n and n.lower() in t.lower()}
     df = spark.createDataFrame(texts, "i int, t string")
-    got = matching.contained_names(df, ["i"], "t", spark.createDataFrame([(n,) for n in names], "name string"), broadcast_bytes=limit)
+    got = matching.contained_names(df, ["i"], "t", spark.createDataFrame([(n,) for n in names], "name string"))
     rows = [(r.i, r.needle) for r in got.collect()]
     assert set(rows) == expected and len(rows) == len(expected)
 
 
-@pytest.mark.parametrize("limit", [0, matching.BROADCAST_BYTES])
-def test_group_detection(spark, limit):
+def test_names_where_keys_repeat_or_are_missing(spark):
+    posts = spark.createDataFrame([(1, "alpha one"), (1, "beta two"), (None, "alpha x"), (2, None), (3, "")], "i int, t string")
+    names = spark.createDataFrame([("beta", 1), ("alpha", 2)], "name string, position int")
+    found = matching.contained_names(posts, ["i"], "t", names).collect()
+    assert sorted(((r.i, r.needle) for r in found), key=repr) == [(1, "alpha"), (1, "beta"), (None, "alpha")]
+    told = matching.corroborate(posts, names, title="t").collect()
+    assert sorted(((r.i, r.t, r.matched_victim) for r in told), key=repr) == [(1, "alpha one", "alpha"), (1, "beta two", "beta"), (None, "alpha x", "alpha")]
+
+
+def test_stands_alone_looks_at_every_place(spark):
+    rows = [("akira2 akira", "akira", True), ("xakira akira2", "akira", False), ("a+b", "+", False), ("a + b", "+", True), ("play", "play", True), ("", "a", False), ("é-play-é", "play", True)]
+    df = spark.createDataFrame(rows, "t string, n string, wanted boolean")
+    assert df.filter(matching.stands_alone(F.col("t"), F.col("n")) != F.col("wanted")).count() == 0
+
+
+def test_group_detection(spark):
     asked = [
         "Attacks by LockBit 3.0?", "who is play", "Did Play hit them?", "akira and akira2", "xakira", "A+B\\E gang", "Noberus or play",
     ]
     q = spark.createDataFrame(list(enumerate(asked)), "question_id int, question string")
     groups = spark.createDataFrame([("play",), ("akira",), ("akira2",), ("lockbit3",), ("a+b\\e",), ("ak",)], "name string")
-    found = rt.detect_group(q, groups, ["question_id"], broadcast_bytes=limit).orderBy("question_id")
+    found = rt.detect_group(q, groups).orderBy("question_id")
     assert [r.group for r in found.collect()] == ["lockbit3", None, "play", "akira2", None, "a+b\\e", "alphv"]
-    lanes = rt.route(q, groups, ["question_id"]).orderBy("question_id").collect()
+    lanes = rt.route(q, groups).orderBy("question_id").collect()
     assert [r.lane for r in lanes][:2] == ["entity", "semantic"]
 
 

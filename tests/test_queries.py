@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from dossier.plans.catalog import QUERIES, SQL
 from oracle_check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
 AGREE = """counts_by_dimension heatmap sector_summary top_groups coverage costliest taxonomy presence_matrix
 family_rollup norm_key split_groups parse_usd host_of strip_html incidents_table normalize_postings cross_sector_groups
 only_in shared_targets hazard_reach rematch cited_sources resolve_edges merge_nodes exposure_inventory intake_status
-corroborate contained_names_shuffled route vector_topk_by_type entity_evidence validate check_ids upsert postings_csv
+corroborate contained_names taxonomy_members family_labels family_subcategories with_incident_ids route vector_topk_by_type entity_evidence validate check_ids upsert postings_csv
 journal_records replace_by_key""".split()
 
 
@@ -28,7 +29,7 @@ def test_agrees_with_sql(spark, db, name):
 
 
 def test_every_query_has_sql_or_is_approximate():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"distinct_counts_approximate"}
+    assert set(QUERIES) - set(SQL) == {"distinct_counts_approximate"}
 
 
 def test_flagship(spark):
@@ -36,7 +37,7 @@ def test_flagship(spark):
     assert df.columns == ["group", "industries", "incidents"] and df.count() == 20
 
 
-@pytest.mark.parametrize("name", ["heatmap", "cross_sector_groups", "intake_status", "contained_names_shuffled", "route", "neighbour_context"])
+@pytest.mark.parametrize("name", ["heatmap", "cross_sector_groups", "intake_status", "contained_names", "route", "neighbour_context"])
 def test_no_pairing_of_everything(spark, name):
     text = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
