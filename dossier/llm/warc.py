@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.arrow_text import find_package
+from dossier.session import cut
 
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 100
@@ -136,27 +137,33 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, html, digest, refers_to): which pages repeat another page's payload.
+    """(page_id, url, html, digest, refers_to): which pages repeat another page's payload, dealt into archives.
 
     Ties on the payload go to the smallest id; rows that repeat an id and payload are
     revisits of each other only if another row has a smaller id, otherwise both are
-    responses. Rows without id are responses. Null html is an empty payload.
+    responses. Rows without id are responses. Null html is an empty payload. The groups are
+    found on digests alone; payloads are shuffled once, by id, into archives of a mean size.
     """
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"),
-    ).withColumn("digest", F.sha2(F.col("html"), 256))
-    large = F.octet_length("html") >= LEAST_BYTES
-    firsts = rows.filter(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(firsts, "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    )
+    digest = F.sha2(F.col("html"), 256)
+    short = cut(rows.select("page_id", digest.alias("digest"), F.octet_length("html").alias("bytes")))
+    large = short.filter((F.col("bytes") >= LEAST_BYTES) & F.col("page_id").isNotNull())
+    firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    refers = large.join(firsts, "digest").filter("first < page_id").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    archives = max(1, -(-(short.agg(F.sum("bytes")).first()[0] or 0) // ARCHIVE_BYTES))
+    known = rows.filter("page_id IS NOT NULL").repartition(archives, "page_id").withColumn("digest", digest)
+    nameless = rows.filter("page_id IS NULL").select("*", digest.alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    joined = known.join(refers.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "refers_to"))).alias("of")), "page_id", "left")
+    return joined.select("page_id", "url", "html", "digest", F.try_element_at("of", F.col("digest")).alias("refers_to")).unionByName(nameless)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write one record per page into archives under `path`; an empty table writes no record."""
     find_package(pages.sparkSession)
-    rows = marked(pages, id_col, url_col, html_col).hint("rebalance")
-    frames = rows.mapInArrow(_frames, "frame binary")
+    frames = marked(pages, id_col, url_col, html_col).mapInArrow(_frames, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", SEPARATOR).text(path)
 
 
