@@ -58,7 +58,7 @@ def filer_name(source: Column | str = "_source") -> Column:
 
 
 def insights_view(insights: DataFrame) -> DataFrame:
-    """The insight row under its public column names."""
+    """The insight row under its public column names; panels that grow with the data are tables of their own."""
 
     def money(c: str) -> Column:
         return F.transform(
@@ -75,11 +75,9 @@ def insights_view(insights: DataFrame) -> DataFrame:
         F.col("total_victims").alias("total"),
         F.col("group_count").alias("groupCount"),
         F.col("country_count").alias("countryCount"),
-        F.col("by_sector").alias("bySector"),
         F.col("by_year").alias("byYear"),
         F.col("top_groups").alias("topGroups"),
         F.col("top_countries").alias("topCountries"),
-        "heatmap",
         "coverage",
         money("costliest").alias("financial"),
         money("largest_ransoms").alias("ransom"),

@@ -204,13 +204,18 @@ def group_mentions(industries: DataFrame, strip_first: bool = False) -> DataFram
     )
 
 
+def _bulk_groups(raw_postings: DataFrame) -> DataFrame:
+    """Postings that name a victim and a group. A bulk group's id is its name as posted, as node and as edge end."""
+    named = lambda c: fn.strip(fn.text(c)) != ""
+    return raw_postings.filter(named("victim") & named("group"))
+
+
 def group_nodes(
     industries: DataFrame, raw_postings: DataFrame | None = None, strip_first: bool = False
 ) -> DataFrame:
     ids = group_mentions(industries, strip_first).select(F.col("name").alias("id"))
     if raw_postings is not None:
-        bulk = require(raw_postings, "victim").select(fn.strip("group").alias("id"))
-        ids = ids.unionByName(bulk)
+        ids = ids.unionByName(_bulk_groups(raw_postings).select(F.col("group").alias("id")))
     return require(ids, "id").distinct()
 
 
@@ -370,9 +375,7 @@ def statistic_edges(industries: DataFrame) -> DataFrame:
 
 
 def attack_edges(raw_postings: DataFrame) -> DataFrame:
-    rows = raw_postings.filter(
-        (fn.strip(fn.text("victim")) != "") & (fn.strip(fn.text("group")) != "")
-    )
+    rows = _bulk_groups(raw_postings)
     victim = F.concat("victim", F.lit("::"), fn.text("activity"))
     return edge_rows(rows, victim, "Victim", "ATTACKED_BY", "group", "Group")
 

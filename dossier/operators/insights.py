@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -315,20 +317,12 @@ def insight_panels(raw: DataFrame, postings: DataFrame, incidents: DataFrame) ->
     }
 
 
-def insights(
-    raw: DataFrame, postings: DataFrame, incidents: DataFrame, max_rows: int = 10_000
-) -> DataFrame:
-    """The panels packed into one row.
+def insights(panels: Mapping[str, DataFrame]) -> DataFrame:
+    """The panels of fixed length, packed into one row.
 
-    Most panels are short by definition. The sector and industry panels grow with the
-    number of sectors and industries, so their size is checked; beyond ``max_rows`` the
-    panel tables of ``insight_panels`` are the form to use.
+    The sector and industry panels grow with the number of sectors and industries and stay
+    tables: ``by_sector``, ``heatmap`` and ``coverage_by_industry`` of ``insight_panels``.
     """
-    panels = insight_panels(raw, postings, incidents)
-    for name in ("by_sector", "heatmap", "coverage_by_industry"):
-        panels[name] = cut(panels[name])
-        if panels[name].count() > max_rows:
-            raise ValueError(f"panel {name} has more than {max_rows} rows: use insight_panels")
 
     def packed(name: str, *order: Column) -> Column:
         panel = panels[name]
@@ -342,13 +336,10 @@ def insights(
         F.lit("current").alias("_id"),
         F.current_timestamp().cast("string").alias("generated_at"),
         "*",
-        packed("by_sector", desc("n"), F.col("sector")),
         packed("by_year", F.col("year")),
         packed("top_groups", desc("n"), F.col("group")),
         packed("top_countries", desc("n"), F.col("country")),
-        packed("heatmap", desc("group_n"), F.col("group"), desc("sector_n"), F.col("sector_key")),
         packed("coverage", F.col("slot")),
-        packed("coverage_by_industry", desc("incidents"), F.col("industry")),
         packed("costliest", desc("usd"), F.col("victim")),
         packed("largest_ransoms", desc("usd"), F.col("victim")),
     )

@@ -143,3 +143,9 @@ def cross_check(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> Da
     return a.join(b, key, "full").select(key, zero("left_n"), zero("right_n")).withColumn(
         "diff", F.col("left_n") - F.col("right_n")
     )
+
+
+def check_vectors(vectors: DataFrame, size: int, id: str = "id") -> DataFrame:
+    """Vectors that cannot be scored against queries of a size: missing, of another length, or with a missing number."""
+    broken = F.col("embedding").isNull() | (F.size("embedding") != size) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return vectors.filter(broken).select(id, F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"))

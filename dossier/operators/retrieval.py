@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,21 +99,25 @@ def similarity(query: Sequence[float]) -> Column:
     """Dot product of the ``embedding`` column with one query vector: cosine for unit vectors.
 
     Each Arrow batch is scored as one matrix product, several times faster than folding
-    the array element by element.
+    the array element by element. A vector that is missing, of another length, or holds a
+    missing or undefined number has no score.
     """
     q = np.asarray(query, dtype=np.float64)
 
     @F.arrow_udf("double")
     def score(vectors: pa.Array) -> pa.Array:
-        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), len(q))
-        return pa.array(matrix.astype(np.float64) @ q)
+        fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), len(q)), False)
+        matrix = vectors.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(q))
+        out = np.full(len(vectors), np.nan)
+        out[fits.to_numpy(zero_copy_only=False)] = matrix.astype(np.float64) @ q
+        return pa.array(out, mask=np.isnan(out))
 
     return score("embedding")
 
 
 def vector_topk(vectors: DataFrame, query: Sequence[float], n: int, id: str = "id") -> DataFrame:
-    """The n most similar rows, exact; only the best n of every task are exchanged."""
-    scored = vectors.filter(F.size("embedding") == len(query)).withColumn("score", similarity(query))
+    """The n most similar rows, exact; rows without a score come last. Only the best n of every task are exchanged."""
+    scored = vectors.withColumn("score", similarity(query))
     return top_n(scored.drop("embedding"), n, F.desc("score"), id)
 
 
@@ -126,9 +131,7 @@ def vector_topk_by_type(
     text: str = "text",
 ) -> DataFrame:
     """Best rows of every type, merged: duplicates by text start dropped, best max(k, 8) kept."""
-    scored = vectors.filter(F.size("embedding") == len(query)).select(
-        type, id, text, similarity(query).alias("score")
-    )
+    scored = vectors.select(type, id, text, similarity(query).alias("score"))
     kind = F.lower(F.col(type).cast("string"))
     order = list(quotas)
     quota, slot = F.lit(0), F.lit(len(order))

@@ -45,7 +45,7 @@ _node(
     "group_nodes",
     "Group",
     f"""{G} SELECT DISTINCT id FROM (SELECT "to" AS id FROM edges WHERE type = 'PERPETRATED_BY'
-      UNION ALL SELECT trim("group") FROM raw WHERE victim <> '') WHERE id <> ''""",
+      UNION ALL SELECT "group" FROM raw WHERE trim(victim) <> '' AND trim("group") <> '')""",
 )
 _node("country_nodes", "Country", f"""{G} SELECT DISTINCT "to" AS id FROM edges WHERE type = 'OCCURRED_IN'""")
 _node(
@@ -531,3 +531,16 @@ def year_of_victims(spark, folder):
     return pt.sector_year(gr.victim_nodes(b.raw_postings(spark, folder)))
 
 
+
+
+@query(
+    "edges_meet_nodes",
+    f"""{G} SELECT type, count(*) AS edges, count(*) AS resolved FROM edges GROUP BY 1""",
+)
+def edges_meet_nodes(spark, folder):
+    """Every edge type against the graph's own nodes: none is left without its ends."""
+    g = b.graph(spark, folder)
+    n = F.count(F.lit(1))
+    found = gr.resolve_edges(g.edges, g.node_keys()).groupBy("type").agg(n.alias("resolved"))
+    counts = g.edges.groupBy("type").agg(n.alias("edges")).join(found, "type", "left")
+    return counts.select("type", "edges", F.coalesce("resolved", F.lit(0).cast("long")).alias("resolved"))

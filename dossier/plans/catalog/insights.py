@@ -218,18 +218,19 @@ def classified_only(spark, folder):
     "insights",
     f"""WITH {b.POSTINGS}{b.INCIDENTS.replace(b._PARTS, "," + b._PARTS)},
       g AS (SELECT "group", count(*) AS n FROM postings WHERE "group" IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15),
+      c AS (SELECT country, count(*) AS n FROM postings WHERE country IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 12),
       y AS (SELECT "year", count(*) AS n FROM postings WHERE "year" IS NOT NULL GROUP BY 1)
     SELECT (SELECT count(*) FROM postings) AS total, (SELECT count(DISTINCT "group") FROM postings) AS "groupCount",
       (SELECT count(DISTINCT country) FROM postings) AS "countryCount", (SELECT count(*) FROM incs WHERE victim <> '') AS incidents,
       (SELECT string_agg("group" || '=' || n, '|' ORDER BY n DESC, "group") FROM g) AS "topGroups",
-      (SELECT string_agg("year" || '=' || n, '|' ORDER BY "year") FROM y) AS "byYear",
-      (SELECT count(DISTINCT sector_key) FROM postings) AS sectors""",
+      (SELECT string_agg(country || '=' || n, '|' ORDER BY n DESC, country) FROM c) AS "topCountries",
+      (SELECT string_agg("year" || '=' || n, '|' ORDER BY "year") FROM y) AS "byYear" """,
 )
 def insights(spark, folder):
     """The packed insight row under its public names."""
     raw = b.raw_postings(spark, folder)
-    row = ins.insights(raw, tables.normalize_postings(raw), incidents_of(spark, folder))
-    view = fn.insights_view(row.withColumn("coverage", F.col("coverage")))
+    panels = ins.insight_panels(raw, tables.normalize_postings(raw), incidents_of(spark, folder))
+    view = fn.insights_view(ins.insights(panels))
     told = lambda c, name: F.array_join(
         F.transform(c, lambda x: F.concat(x[name].cast("string"), F.lit("="), x["n"].cast("string"))), "|"
     )
@@ -239,6 +240,6 @@ def insights(spark, folder):
         "countryCount",
         F.get("coverage", F.lit(0))["total"].alias("incidents"),
         told("topGroups", "group").alias("topGroups"),
+        told("topCountries", "country").alias("topCountries"),
         told("byYear", "year").alias("byYear"),
-        F.size("bySector").cast("long").alias("sectors"),
     )

@@ -180,24 +180,26 @@ def write_sources(spark, folder):
 
 @query(
     "graph_files",
-    f"""WITH {b.GRAPH} SELECT 'rels' AS kind, type AS name, count(*) AS n FROM edges WHERE type IN ('FACES', 'EXPOSES', 'MEASURED_BY') GROUP BY 2
-    UNION ALL SELECT 'nodes', CASE type WHEN 'hazard' THEN 'Hazard' ELSE 'Exposure' END, count(*) FROM cat_nodes GROUP BY type""",
+    f"""WITH {b.GRAPH} SELECT 'rels' AS kind, type AS name, "from" AS one, "to" AS two FROM edges
+    UNION ALL SELECT 'nodes', CASE type WHEN 'hazard' THEN 'Hazard' ELSE 'Exposure' END, id, '' FROM cat_nodes
+    UNION ALL SELECT 'nodes', 'Subcategory', id, '' FROM sub_nodes
+    UNION ALL SELECT DISTINCT 'nodes', 'Victim', victim || '::' || activity, '' FROM raw WHERE trim(victim) <> ''
+    UNION ALL SELECT DISTINCT 'nodes', 'Company', victim, '' FROM named
+    UNION ALL SELECT DISTINCT 'nodes', 'Group', id, '' FROM (SELECT "to" AS id FROM edges WHERE type = 'PERPETRATED_BY'
+      UNION ALL SELECT "group" FROM raw WHERE trim(victim) <> '' AND trim("group") <> '')
+    UNION ALL SELECT DISTINCT 'nodes', 'Country', "to", '' FROM edges WHERE type = 'OCCURRED_IN'""",
 )
 def graph_files(spark, folder):
-    """Category nodes and three edge types written as CSV and read back as a graph."""
-    from dossier.operators.graph import Graph
-
+    """The whole graph written as CSV and read back: all its edges, and the nodes of seven labels."""
     g = b.graph(spark, folder)
-    kept = ("FACES", "EXPOSES", "MEASURED_BY")
-    part = Graph({k: g.nodes[k] for k in ("Hazard", "Exposure")}, g.of_type(kept))
     path = new_folder(spark)
-    writers.write_nodes(part, path)
-    writers.write_edges(part, path)
+    writers.write_nodes(g, path)
+    writers.write_edges(g, path)
     back = readers.read_graph(spark, path)
-    n = F.count(F.lit(1)).alias("n")
-    edges = back.edges.groupBy(F.lit("rels").alias("kind"), F.col("type").alias("name")).agg(n)
-    nodes = back.node_keys().groupBy(F.lit("nodes").alias("kind"), F.col("label").alias("name")).agg(n)
-    return edges.unionByName(nodes)
+    edges = back.edges.select(F.lit("rels").alias("kind"), F.col("type").alias("name"), F.col("from").alias("one"), F.col("to").alias("two"))
+    labels = ["Hazard", "Exposure", "Subcategory", "Victim", "Company", "Group", "Country"]
+    nodes = back.node_keys().filter(F.col("label").isin(labels))
+    return edges.unionByName(nodes.select(F.lit("nodes").alias("kind"), F.col("label").alias("name"), F.col("id").alias("one"), F.lit("").alias("two")))
 
 
 @query(
@@ -219,8 +221,7 @@ def upsert(spark, folder):
             "o_orderkey",
         )
     )
-    last = writers.first_per(updates, "c_custkey", F.desc("o_orderkey")).drop("o_orderkey")
-    return writers.upsert(base, last, "c_custkey")
+    return writers.upsert(base, updates, "c_custkey", F.desc("o_orderkey"))
 
 
 # --- streaming ------------------------------------------------------------------
@@ -243,6 +244,16 @@ def append_new(spark, folder):
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
+def _landed_in_order(spark, folder):
+    """The events as a stream of two micro-batches, earlier ids first."""
+    path = new_folder(spark)
+    events = b.table(spark, folder, "events")
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    for late in (False, True):
+        events.filter((F.col("event_id") > half) == F.lit(late)).coalesce(1).write.mode("append").parquet(path)
+    return loads.file_stream(spark, path, events.schema, "parquet", maxFilesPerTrigger="1")
+
+
 @query(
     "replace_by_key",
     "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1",
@@ -250,30 +261,17 @@ def append_new(spark, folder):
 def replace_by_key(spark, folder):
     """The last event per user over all batches of a keyed load."""
     path = new_folder(spark)
-    loads.replace_by_key(_event_stream(spark, folder), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    loads.replace_by_key(_landed_in_order(spark, folder), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     rows = loads.current_rows(spark, f"{path}/out", "user_id", F.desc("event_id"))
     return rows.select("user_id", "event_type", "event_id")
 
 
-@query("first_per_victim", "SELECT DISTINCT 'user ' || user_id AS victim_key FROM events")
+@query("first_per_victim", "SELECT 'user ' || user_id AS victim_key, min(event_id) AS event_id FROM events GROUP BY 1")
 def first_per_victim(spark, folder):
-    """One record per user over the life of the stream."""
+    """The first record of each user over two micro-batches."""
     path = new_folder(spark)
-    stream = _event_stream(spark, folder).withColumn(
+    stream = _landed_in_order(spark, folder).withColumn(
         "victim", F.concat(F.lit(" User "), F.col("user_id").cast("string"))
     )
-    first = loads.first_per_victim(stream, keep=["event_id"])
-    loads.append_new(first, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("victim_key")
-
-
-@query(
-    "sector_counts_of_files",
-    f"""WITH {b.RAW_POSTINGS} SELECT activity AS sector, count(*) AS n FROM raw WHERE activity <> '' GROUP BY 1""",
-)
-def sector_counts_of_files(spark, folder):
-    """Per-sector counts of a feed written by sector and read back."""
-    path = new_folder(spark)
-    writers.write_by_sector(b.raw_postings(spark, folder), path)
-    schema = T.StructType([T.StructField("activity", T.StringType())])
-    return ins.classified_only(ins.year_pull_by_sector(spark.read.schema(schema).json(path)))
+    loads.first_per_victim(stream, f"{path}/out", f"{path}/checkpoint", "event_id").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("victim_key", "event_id")

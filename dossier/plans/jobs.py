@@ -23,6 +23,7 @@ class Dataset:
     documents: dict[str, DataFrame]
     flat: dict[str, DataFrame]
     graph: gr.Graph
+    raw_postings: DataFrame
 
 
 def build_dataset(
@@ -35,12 +36,14 @@ def build_dataset(
     )
     incidents = tables.incidents_table(industries)
     summary = ins.sector_summary(raw_postings)
+    panels = ins.insight_panels(raw_postings, postings, incidents)
     documents = {
         "industries": tables.industries_table(industries, synthesis, summary),
         "incidents": incidents,
         "victims": postings,
         "taxonomy": taxonomy.taxonomy(industries),
-        "insights": ins.insights(raw_postings, postings, incidents),
+        "insights": ins.insights(panels),
+        **{f"insights_{name}": panels[name] for name in ("by_sector", "heatmap", "coverage_by_industry")},
     }
     if synthesis is not None:
         documents["synthesis"] = synthesis.select(
@@ -54,7 +57,7 @@ def build_dataset(
         "aggregate_stats": tables.stats_flat(industries),
         "taxonomy_members": taxonomy.category_members(industries).drop("_pos", "slot"),
     }
-    return Dataset(industries, documents, flat, gr.build_graph(industries, synthesis, raw_postings))
+    return Dataset(industries, documents, flat, gr.build_graph(industries, synthesis, raw_postings), raw_postings)
 
 
 def write_dataset(data: Dataset, out: str) -> None:
@@ -67,6 +70,7 @@ def write_dataset(data: Dataset, out: str) -> None:
     writers.write_sources(data.industries, f"{out}/flat/sources")
     writers.write_nodes(data.graph, f"{out}/graph")
     writers.write_edges(data.graph, f"{out}/graph")
+    writers.write_bulk_csv(data.raw_postings, f"{out}/graph/bulk_victims.csv")
 
 
 def answer(

@@ -163,6 +163,7 @@ NODE_FIELDS = {
     "Statistic": ["id", "metric", "value", "source", "source_url", "scope"],
     "Source": ["id", "host"],
     "Theme": ["id", "name", "kind"],
+    "Victim": ["id", "name", "sector", "attackdate", "country", "domain", "has_press"],
 }
 INTEGER_NODE_FIELDS = {"incident_count", "source_count"}
 

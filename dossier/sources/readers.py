@@ -186,6 +186,7 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
                     raise
                 continue
             rows = df.select("from", "from_label", F.lit(type).alias("type"), "to", "to_label")
-            by_type[type] = merge_edges(rows)
+            both = by_type[type].unionByName(rows) if type in by_type else rows
+            by_type[type] = merge_edges(both)
     none = spark.createDataFrame([], schemas.EDGE)
     return Graph(nodes, lambda: reduce(DataFrame.unionByName, by_type.values(), none), by_type)

@@ -13,6 +13,8 @@ from dossier.operators.graph import Graph
 from dossier.operators.ranking import first_per
 from dossier.operators.tables import distinct_sources, require
 
+#: Tasks that write one folder.
+FOLDER_PARTS = 4
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
@@ -46,10 +48,16 @@ def write_collections(tables: Mapping[str, DataFrame], out: str, format: str = "
         writer.format(format).save(f"{out}/{name}")
 
 
+def _dealt(df: DataFrame, folder: str) -> DataFrame:
+    """Rows of one output folder in few tasks, a large folder in FOLDER_PARTS of them."""
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(FOLDER_PARTS))
+    return df.repartition(F.col(folder), part)
+
+
 def write_by_sector(raw: DataFrame, out: str, format: str = "json") -> None:
     """Postings in one folder per sector slug; a large sector becomes several files."""
     df = raw.withColumn("sector_slug", fn.sector_slug("activity")).drop("_pos")
-    writer = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    writer = _dealt(df, "sector_slug").write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     writer.partitionBy("sector_slug").format(format).save(out)
 
 
@@ -67,7 +75,7 @@ def write_nodes(g: Graph, out: str) -> None:
 def write_edges(g: Graph, out: str) -> None:
     """Edge files in one folder per type, written in one pass."""
     columns = ["type", "from", "from_label", "to", "to_label"]
-    _csv(as_text(g.edges.select(columns))).partitionBy("type").csv(f"{out}/rels")
+    _csv(_dealt(as_text(g.edges.select(columns)), "type")).partitionBy("type").csv(f"{out}/rels")
 
 
 def bulk_victims(raw: DataFrame) -> DataFrame:
@@ -92,7 +100,11 @@ def write_bulk_csv(raw: DataFrame, path: str) -> None:
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str, *order: Column | str) -> DataFrame:
-    """Replace whole rows by key; the last update per key counts. Applying it twice changes nothing."""
-    rank = order or [F.desc(c) for c in updates.columns if c != key]
-    last = first_per(updates, key, *rank)
+    """Replace whole rows by key; the first update per key in the given order counts. Applying it twice changes nothing.
+
+    The order may use columns of ``updates`` that ``base`` does not have.
+    """
+    if not order:
+        raise ValueError("name the order that tells which update of a key counts")
+    last = first_per(updates, key, *order).select(*base.columns)
     return base.join(last.select(key), key, "left_anti").unionByName(last)

@@ -65,11 +65,29 @@ def compact(spark: SparkSession, out: str, target: str, key: str, *order: Column
     current_rows(spark, out, key, *order).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
-def first_per_victim(stream: DataFrame, victim: str = "victim", keep: Sequence[str] | None = None) -> DataFrame:
-    """First record per victim over the life of the stream.
+def first_per_victim(
+    stream: DataFrame, out: str, checkpoint: str, *order: Column | str, victim: str = "victim"
+) -> StreamingQuery:
+    """First record per victim over the life of the stream, as a log of new victims per micro-batch.
 
-    The rule has no time limit, so neither has the state: it holds one key per victim.
+    Within a batch the given order decides, between batches the earlier one. A repeated
+    batch overwrites its folder and does not look at it, so it comes out the same.
     """
-    keyed = stream.withColumn("victim_key", victim_key(victim)).filter(F.col("victim_key") != "")
-    first = keyed.dropDuplicates(["victim_key"])
-    return first if keep is None else first.select("victim_key", *keep)
+    if not order:
+        raise ValueError("name the order that tells which record of a victim is the first")
+
+    def land(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keyed = batch.withColumn("victim_key", victim_key(victim)).filter(F.col("victim_key") != "")
+        first = first_per(keyed, "victim_key", *order)
+        if number > 0:
+            known = spark.read.schema("victim_key string, batch long").parquet(out).filter(F.col("batch") < number)
+            first = first.join(known.select("victim_key"), "victim_key", "left_anti")
+        first.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (
+        stream.writeStream.foreachBatch(land)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

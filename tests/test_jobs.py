@@ -3,6 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from dossier.operators import graph as gr
 from dossier.operators import tables
 from dossier.plans import jobs
 from dossier.plans.catalog import bindings as b
@@ -29,7 +30,10 @@ def test_build_and_write(spark, data, tmp_path):
     assert docs["taxonomy"].agg(F.sum("reach")).first()[0] == spark.read.parquet(f"{tmp_path}/documents/taxonomy_members").count()
     back = readers.read_graph(spark, f"{tmp_path}/graph")
     assert back.of_type("FACES").count() == data.graph.of_type("FACES").count()
-    assert (tmp_path / "flat" / "incidents.csv").exists()
+    assert (tmp_path / "flat" / "incidents.csv").exists() and (tmp_path / "graph" / "bulk_victims.csv").exists()
+    attacks = back.of_type("ATTACKED_BY")
+    assert gr.resolve_edges(attacks, back.node_keys()).count() == attacks.count() > 0
+    assert docs["insights_heatmap"].count() > 0 and "heatmap" not in docs["insights"].columns
 
 
 def test_answers(spark):

@@ -110,8 +110,8 @@ def test_presence_matrix_fills_the_given_axis(spark):
 def test_upsert_is_idempotent(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k int, v string")
-    once = writers.upsert(base, new, "k")
-    twice = writers.upsert(once, new, "k")
+    once = writers.upsert(base, new, "k", F.desc("v"))
+    twice = writers.upsert(once, new, "k", F.desc("v"))
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [(1, "a"), (2, "d"), (3, "e")]
 
 
@@ -217,6 +217,14 @@ def test_vectors_and_evidence_order(spark):
     assert [r.id for r in rt.vector_topk(v, [0.0, 1.0], 2).collect()] == [5, 4]
 
 
+def test_vectors_that_do_not_fit_have_no_score(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [None, 1.0]), (5, [0.5, 0.5]), (6, [])]
+    v = spark.createDataFrame(rows, "id int, embedding array<double>")
+    hits = rt.vector_topk(v, [1.0, 0.0], 6).collect()
+    assert [(r.id, r.score) for r in hits] == [(1, 1.0), (5, 0.5), (2, None), (3, None), (4, None), (6, None)]
+    assert sorted((r.id, r["size"]) for r in quality.check_vectors(v, 2).collect()) == [(2, 1), (3, None), (4, 2), (6, 0)]
+
+
 def test_bulk_victims_merge(spark):
     rows = [("V", "S", "g", "2020", 1), ("V", "S", "h", "2021", 2), ("V", "T", " ", "2022", 3)]
     df = spark.createDataFrame(rows, "victim string, activity string, `group` string, attackdate string, _pos int")
