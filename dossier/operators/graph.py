@@ -563,16 +563,17 @@ def rematch(g: Graph, type: str, predicate: Column | Callable[[Column], Column])
     return edges.join(reach(edges).filter(test), "to", "left_semi").select(EDGE)
 
 
-def neighbours(g: Graph, ids: DataFrame, bounded: bool = False) -> DataFrame:
+def neighbours(g: Graph, ids: DataFrame) -> DataFrame:
     """Undirected one-hop neighbours of the given nodes (label, id); nodes without any are kept.
 
-    ``bounded`` says that the number of nodes has a proven bound, so that they can be broadcast.
+    The neighbours stand on the left of a right join, the side that adaptive execution can
+    split, so a hub's neighbours are spread over tasks.
     """
     asked = ids.select("label", "id")
-    return asked.join(_near(g, asked, bounded), ["label", "id"], "left")
+    return _near(g, asked).join(asked, ["label", "id"], "right")
 
 
-def _near(g: Graph, asked: DataFrame, bounded: bool) -> DataFrame:
+def _near(g: Graph, asked: DataFrame) -> DataFrame:
     """Neighbours of the asked nodes: one scan of the edges, cut to those nodes at once."""
     ends = lambda a, z: F.struct(
         F.col(f"{a}_label").alias("label"),
@@ -581,8 +582,7 @@ def _near(g: Graph, asked: DataFrame, bounded: bool) -> DataFrame:
         F.col(z).alias("nb_id"),
     )
     both = g.edges.select(F.explode(F.array(ends("from", "to"), ends("to", "from"))).alias("e")).select("e.*")
-    wanted = F.broadcast(asked) if bounded else asked
-    return both.join(wanted, ["label", "id"], "left_semi")
+    return both.join(asked, ["label", "id"], "left_semi")
 
 
 def display_names(g: Graph) -> DataFrame:
@@ -597,11 +597,11 @@ def display_names(g: Graph) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def neighbour_context(g: Graph, ids: DataFrame, n: int = 6, bounded: bool = False) -> DataFrame:
+def neighbour_context(g: Graph, ids: DataFrame, n: int = 6) -> DataFrame:
     """Per node the first ``n`` distinct neighbour names; hubs are cut before the shuffle."""
     asked = ids.select("label", "id")
     names = display_names(g).withColumnsRenamed({"label": "nb_label", "id": "nb_id"})
-    near = _near(g, asked, bounded).join(names, ["nb_label", "nb_id"], "left")
+    near = _near(g, asked).join(names, ["nb_label", "nb_id"], "left")
     distinct = near.select("label", "id", F.coalesce("name", "nb_id").alias("name")).distinct()
     lists = ranked_list(distinct, ["label", "id"], n, {"name": F.col("name")}, "name")
     empty = F.array().cast("array<string>")
@@ -610,7 +610,7 @@ def neighbour_context(g: Graph, ids: DataFrame, n: int = 6, bounded: bool = Fals
     )
 
 
-def cited_sources(g: Graph, ids: DataFrame, n: int = 4, bounded: bool = False) -> DataFrame:
+def cited_sources(g: Graph, ids: DataFrame, n: int = 4) -> DataFrame:
     """Per node up to ``n`` source URLs: its own, then those of neighbouring incidents.
 
     A URL found both ways is listed twice, as the two lists are simply joined.
@@ -619,8 +619,8 @@ def cited_sources(g: Graph, ids: DataFrame, n: int = 4, bounded: bool = False) -
     cited = g.of_type("CITED_BY")
     own = cited.select(
         F.col("from_label").alias("label"), F.col("from").alias("id"), F.col("to").alias("url")
-    ).join(F.broadcast(asked) if bounded else asked, ["label", "id"], "left_semi")
-    near = _near(g, asked, bounded).filter(F.col("nb_label") == "Incident")
+    ).join(asked, ["label", "id"], "left_semi")
+    near = _near(g, asked).filter(F.col("nb_label") == "Incident")
     via = near.join(
         cited.filter(F.col("from_label") == "Incident").select(
             F.col("from").alias("nb_id"), F.col("to").alias("url")

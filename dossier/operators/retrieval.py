@@ -169,14 +169,11 @@ def top_evidence(hits: DataFrame, k: int = 6, id: str = "id") -> DataFrame:
 
 
 def expand_hits(hits: DataFrame, g: gr.Graph) -> DataFrame:
-    """Evidence of retrieved nodes: neighbour names, cited URLs, score to three digits.
-
-    Hits are the few rows a retrieval keeps, so they are broadcast against the edges.
-    """
+    """Evidence of retrieved nodes: neighbour names, cited URLs, score to three digits."""
     ids = hits.select("label", "id")
     return (
-        hits.join(gr.neighbour_context(g, ids, 6, bounded=True), ["label", "id"], "left")
-        .join(gr.cited_sources(g, ids, 4, bounded=True), ["label", "id"], "left")
+        hits.join(gr.neighbour_context(g, ids, 6), ["label", "id"], "left")
+        .join(gr.cited_sources(g, ids, 4), ["label", "id"], "left")
         .select(
             F.col("label").alias("type"), F.round("score", 3).alias("score"), "text", "linked", "urls"
         )
@@ -334,3 +331,26 @@ def analytical_evidence(postings: DataFrame, incidents: DataFrame, sector: str |
         )
         rows = rows.unionByName(top)
     return rows
+
+
+def analytical_facts(panels: Mapping[str, DataFrame], postings: DataFrame, sector: str | None = None) -> DataFrame:
+    """The figures beside the analytical evidence, as rows (fact, name, value), from the insight panels."""
+    row = lambda fact, name, value: F.struct(
+        F.lit(fact).alias("fact"), fn.text(name).alias("name"), F.col(value).cast("double").alias("value")
+    )
+    totals = [row(c, F.lit(""), c) for c in ("total_victims", "group_count", "country_count", "researched_incidents")]
+    parts = [panels["totals"].select(F.explode(F.array(*totals)).alias("r"))]
+    listed = {
+        "by_sector": ("sector", "n"), "by_year": ("year", "n"), "top_groups": ("group", "n"), "top_countries": ("country", "n"),
+        "coverage": ("field", "disclosed"), "costliest": ("victim", "usd"), "largest_ransoms": ("victim", "usd"),
+    }
+    for fact, (name, value) in listed.items():
+        parts.append(panels[fact].select(row(fact, F.col(name).cast("string"), value).alias("r")))
+    if sector is not None:
+        parts.append(top_groups_in(postings, sector).select(row("top_groups_in", F.col("group"), "n").alias("r")))
+    return reduce(DataFrame.unionByName, parts).select("r.*")
+
+
+def entity_facts(postings: DataFrame, group: str) -> DataFrame:
+    """The figures beside the evidence about one group, as rows (fact, name, value)."""
+    return entity_footprint(postings, group).select(F.col("panel").alias("fact"), "name", F.col("n").cast("double").alias("value"))

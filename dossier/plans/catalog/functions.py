@@ -419,7 +419,10 @@ def share_of_max(spark, folder):
 
 @query(
     "rag_text",
-    f"""WITH {b.GRAPH} SELECT 'Hazard' AS label, id, left(coalesce(name, '') || '. ' || coalesce(description, ''), 2000) AS text
+    f"""WITH {b.GRAPH}, last AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY industry ORDER BY pos DESC) = 1)
+    SELECT 'Industry' AS label, l.industry AS id, left(l.industry || '. ' || left(l.overview, 1200) || ' ' || coalesce('Distinct by ' || n_name, '') || ' ', 2000) AS text
+      FROM last l LEFT JOIN nation ON l.p_brand = 'Brand#' || n_nationkey
+    UNION ALL SELECT 'Hazard' AS label, id, left(coalesce(name, '') || '. ' || coalesce(description, ''), 2000) AS text
       FROM cat_nodes WHERE type = 'hazard'
     UNION ALL SELECT 'Exposure', id, left(coalesce(name, '') || '. ' || coalesce(description, ''), 2000) FROM cat_nodes WHERE type = 'exposure'
     UNION ALL SELECT 'Subcategory', id, left(name || ' (' || parent || ')', 2000) FROM sub_nodes
@@ -431,7 +434,7 @@ def rag_text(spark, folder):
         g.nodes[label].select(
             F.lit(label).alias("label"), "id", F.left(fn.rag_text(label), F.lit(rules.RAG_TEXT_CHARS)).alias("text")
         )
-        for label in ("Hazard", "Exposure", "Subcategory", "Incident")
+        for label in ("Industry", "Hazard", "Exposure", "Subcategory", "Incident")
     ]
     return tables.union_runs(*parts)
 

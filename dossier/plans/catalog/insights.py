@@ -44,9 +44,14 @@ def distinct_counts(spark, folder):
     return ins.distinct_counts(postings_of(spark, folder))
 
 
-@query("distinct_counts_approximate")
+@query("distinct_counts_approximate", "SELECT true AS groups_close, true AS countries_close")
 def distinct_counts_approximate(spark, folder):
-    return ins.distinct_counts(postings_of(spark, folder), approximate=True)
+    """Whether the approximate counts lie within a tenth of the exact ones."""
+    postings = postings_of(spark, folder)
+    exact = ins.distinct_counts(postings).select(F.col("group_count").alias("g"), F.col("country_count").alias("c"))
+    both = ins.distinct_counts(postings, approximate=True).join(exact)
+    close = lambda a, e: F.abs(F.col(a) - F.col(e)) <= 0.1 * F.col(e)
+    return both.select(close("group_count", "g").alias("groups_close"), close("country_count", "c").alias("countries_close"))
 
 
 @query(

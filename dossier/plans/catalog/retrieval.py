@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dossier import functions as fn
 from dossier import rules
+from dossier.operators import insights as ins
 from dossier.operators import retrieval as rt
 from dossier.operators import tables
 from dossier.plans.catalog import bindings as b
-from dossier.plans.catalog.registry import query
+from dossier.plans.catalog import insights  # noqa: F401  its SQL is part of the facts
+from dossier.plans.catalog.registry import SQL, query
 from dossier.session import cut
 
 
@@ -93,11 +96,11 @@ def vector_topk_by_type(spark, folder):
 
 @query(
     "retrieve_fallback",
-    f"WITH {b.VECTORS.strip()} SELECT label, id, text, round(score, 6) AS score FROM vectors WHERE label = 'Other' ORDER BY vectors.score DESC, id LIMIT 8",
+    f"WITH {b.VECTORS.strip()} SELECT 'no ' || label AS label, id, text, round(score, 6) AS score FROM vectors ORDER BY vectors.score DESC, id LIMIT 8",
 )
 def retrieve_fallback(spark, folder):
-    """Rows of no listed type: the best of all of them."""
-    other = b.vectors(spark, folder).filter("label = 'Other'")
+    """No row has a listed type: the best of all of them."""
+    other = b.vectors(spark, folder).withColumn("label", F.concat(F.lit("no "), "label"))
     hits = rt.retrieve(other, b.query_vector(spark, folder))
     return hits.withColumn("score", F.round("score", 6))
 
@@ -130,17 +133,22 @@ def top_evidence(spark, folder):
 
 @query(
     "vector_table",
-    f"""WITH {b.GRAPH} SELECT 'Exposure' AS label, c.id AS id, left(coalesce(name, '') || '. ' || coalesce(description, ''), 2000) AS text, vec_id
-    FROM cat_nodes c JOIN embeddings ON vec_id = (length(c.id) * 37 + ascii(c.id)) % 500 WHERE c.type = 'exposure'""",
+    f"""WITH {b.GRAPH}, t AS (SELECT CASE type WHEN 'hazard' THEN 'Hazard' ELSE 'Exposure' END AS label, id, coalesce(name, '') || '. ' || coalesce(description, '') AS text FROM cat_nodes
+      UNION ALL SELECT 'Subcategory', id, name || ' (' || parent || ')' FROM sub_nodes
+      UNION ALL SELECT 'Incident', id, victim || '. ' || summary || ' Impact: ' || financial_impact || ' Downtime: ' || downtime FROM inc_nodes)
+    SELECT t.label AS label, id, left(text, 2000) AS text, vec_id FROM t JOIN embeddings ON vec_id = (length(id) * 3671 + ascii(id) * 37 + ascii(right(id, 1))) % (SELECT max(vec_id) + 1 FROM embeddings)""",
 )
 def vector_table(spark, folder):
-    """Exposure texts with the embedding whose number a rule derives from the exposure's id."""
+    """Node texts with the embedding whose number a rule derives from the node's id."""
     g = b.graph(spark, folder)
-    number = ((F.length("id") * 37 + F.ascii("id")) % 500).cast("long")
-    ids = g.nodes["Exposure"].select("id", number.alias("vec_id"))
-    given = ids.join(b.table(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id")
-    vectors = given.withColumn("label", F.lit("Exposure"))
-    return rt.vector_table({"Exposure": g.nodes["Exposure"]}, vectors).select("label", "id", "text", "vec_id")
+    embeddings = b.table(spark, folder, "embeddings").select("vec_id", "embedding")
+    size = embeddings.agg(F.max("vec_id") + 1).scalar()
+    number = ((F.length("id") * 3671 + F.ascii("id") * 37 + F.ascii(F.right("id", F.lit(1)))) % size).cast("long")
+    labels = ("Hazard", "Exposure", "Subcategory", "Incident")
+    ids = [g.nodes[label].select(F.lit(label).alias("label"), "id", number.alias("vec_id")) for label in labels]
+    vectors = tables.union_runs(*ids).join(embeddings, "vec_id")
+    nodes = {label: g.nodes[label] for label in labels}
+    return rt.vector_table(nodes, vectors).select("label", "id", "text", "vec_id")
 
 
 @query(
@@ -230,19 +238,47 @@ def entity_evidence(spark, folder):
     return rows.withColumn("urls", F.array_join("urls", "|"))
 
 
+_ANALYTICAL = f"""{b.POSTINGS}{b.INCIDENTS.replace(b._PARTS, "," + b._PARTS)},
+      t AS (SELECT * FROM (SELECT "group", count(*) AS n FROM postings WHERE sector = 'LOW' GROUP BY 1 ORDER BY n DESC, 1 NULLS LAST LIMIT 10) WHERE "group" IS NOT NULL ORDER BY n DESC, 1 LIMIT 8)"""
+
+
 @query(
     "analytical_evidence",
-    f"""WITH {b.POSTINGS}{b.INCIDENTS.replace(b._PARTS, "," + b._PARTS)},
-      t AS (SELECT * FROM (SELECT "group", count(*) AS n FROM postings WHERE sector = 'LOW' GROUP BY 1 ORDER BY n DESC, 1 NULLS LAST LIMIT 10) WHERE "group" IS NOT NULL ORDER BY n DESC, 1 LIMIT 8)
+    f"""WITH {_ANALYTICAL}
     SELECT CAST(0 AS INTEGER) AS slot, 'totals' AS type, format('{{:,}}', (SELECT count(*) FROM postings)) || ' leak-site victims across ' || (SELECT count(DISTINCT "group") FROM postings) || ' groups and '
       || (SELECT count(DISTINCT country) FROM postings) || ' countries; ' || (SELECT count(*) FROM incs WHERE victim <> '') || ' researched incidents.' AS text
+    UNION ALL SELECT slot + 1, 'coverage', field || ': ' || disclosed || ' of ' || total || ' disclosed (' || pct || '%)' FROM ({SQL["coverage"]})
     UNION ALL SELECT 8, 'aggregation', 'Top groups: ' || (SELECT string_agg("group" || ' (' || n || ')', ', ' ORDER BY n DESC, "group") FROM t)""",
 )
 def analytical_evidence(spark, folder):
-    """Totals and sector line of the analytical lane; its coverage lines are those of ``coverage``."""
+    """Totals, coverage and sector line of the analytical lane."""
     postings = tables.normalize_postings(b.raw_postings(spark, folder))
     incidents = tables.incidents_table(b.records(spark, folder))
-    rows = rt.analytical_evidence(postings, incidents, "LOW")
-    return rows.filter("type <> 'coverage'").drop("urls")
+    return rt.analytical_evidence(postings, incidents, "LOW").drop("urls")
 
 
+@query(
+    "analytical_facts",
+    f"""WITH {_ANALYTICAL}
+    SELECT 'total_victims' AS fact, '' AS name, CAST(count(*) AS DOUBLE) AS value FROM postings
+    UNION ALL SELECT 'group_count', '', count(DISTINCT "group") FROM postings UNION ALL SELECT 'country_count', '', count(DISTINCT country) FROM postings
+    UNION ALL SELECT 'researched_incidents', '', count(*) FROM incs WHERE victim <> ''
+    UNION ALL SELECT 'by_year', CAST("year" AS VARCHAR), count(*) FROM postings WHERE "year" IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'top_groups', "group", n FROM ({SQL["top_groups"]}) UNION ALL SELECT 'top_countries', country, n FROM ({SQL["top_countries"]})
+    UNION ALL SELECT 'coverage', field, disclosed FROM ({SQL["coverage"]})
+    UNION ALL SELECT 'costliest', victim, usd FROM ({SQL["costliest"]}) UNION ALL SELECT 'largest_ransoms', victim, usd FROM ({SQL["largest_ransoms"]})
+    UNION ALL SELECT 'top_groups_in', "group", n FROM ({_TOP_IN})
+    UNION ALL SELECT 'by_sector', mode_name, n FROM (SELECT sector_key AS mode_name, count(*) AS n FROM postings WHERE sector_key IS NOT NULL GROUP BY 1)""",
+)
+def analytical_facts(spark, folder):
+    """The figures of the analytical lane; sectors by their key."""
+    raw = b.raw_postings(spark, folder)
+    postings = tables.normalize_postings(raw)
+    panels = ins.insight_panels(raw, postings, tables.incidents_table(b.records(spark, folder)))
+    facts = rt.analytical_facts(panels, postings, "LOW")
+    return facts.withColumn("name", F.when(F.col("fact") == "by_sector", fn.sector_key("name")).otherwise(F.col("name")))
+
+
+@query("entity_facts", f"WITH {_FOOT} SELECT panel AS fact, name, CAST(n AS DOUBLE) AS value FROM fp")
+def entity_facts(spark, folder):
+    return rt.entity_facts(tables.normalize_postings(b.raw_postings(spark, folder)), "group 1")

@@ -201,20 +201,6 @@ def industries_table(spark, folder):
     )
 
 
-@query(
-    "synthesis_table",
-    """SELECT n_name, 'current' AS _id, 'Theme ' || n_name AS theme, '$' || n_nationkey || 'bn' AS loss FROM nation""",
-)
-def synthesis_table(spark, folder):
-    s = b.synthesis(spark, folder)
-    return s.select(
-        F.replace(F.get("common_exposure_themes", F.lit(0)), F.lit("Exposed "), F.lit("")).alias("n_name"),
-        F.lit("current").alias("_id"),
-        F.get("common_hazard_themes", F.lit(0)).alias("theme"),
-        F.get("global_aggregate_losses", F.lit(0))["value"].alias("loss"),
-    )
-
-
 # --- taxonomy -----------------------------------------------------------------
 
 _KEYED = f"""WITH {b.CATEGORIES}, keyed AS (SELECT *, {b.sql_norm_key("category")} AS key FROM cats), k AS (SELECT * FROM keyed WHERE key <> '')"""
@@ -313,13 +299,14 @@ def presence_matrix(spark, folder):
 
 @query(
     "search_industries",
-    f"WITH {b._PARTS.strip()} SELECT pos, industry FROM p WHERE contains(lower(industry || overview), 'blue')",
+    f"""WITH {b._PARTS.strip()} SELECT pos, industry FROM p LEFT JOIN nation ON p_brand = 'Brand#' || n_nationkey
+    WHERE regexp_matches(lower(industry || chr(10) || overview || chr(10) || coalesce('Distinct by ' || n_name, '')), 'blue|by ger')""",
 )
 def search_industries(spark, folder):
+    """Two searches over all three searched columns."""
     rows = tables.with_differentiators(b.records(spark, folder), b.synthesis(spark, folder))
-    return search.search_industries(rows.withColumn("distinct", F.lit("")), "Blue").select(
-        F.col("_pos").alias("pos"), "industry"
-    )
+    found = search.search_industries(rows, "Blue").unionByName(search.search_industries(rows, "by GER"))
+    return found.select(F.col("_pos").alias("pos"), "industry").distinct()
 
 
 @query(

@@ -28,8 +28,8 @@ def test_agrees_with_sql(spark, db, name):
     assert compare(entry.queries()[name](spark, FOLDER), db, entry.oracle_sql()[name]) == ""
 
 
-def test_every_query_has_sql_or_is_approximate():
-    assert set(QUERIES) - set(SQL) == {"distinct_counts_approximate"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_flagship(spark):
