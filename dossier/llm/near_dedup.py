@@ -8,9 +8,11 @@ threshold is below `MISS`. Survivors are verified on their full sets.
 
 A bucket may hold a large group of near copies, and its pairs are never all emitted. First
 each member of a bucket sends its link to the most similar member before it; verified links
-give components. Then only surviving pairs between different components, which could still
-join them, are sent and verified, so no link that matters for a component is lost. A large
-bucket is dealt into blocks, and pairs of blocks are compared in separate tasks.
+give components. Then only survivors between different components could still join them:
+the members that have such pairs return to their bucket with their texts, and there the
+pairs are verified in place, each in the first band that it shares, so that only links come
+out and none that matters for a component is lost. A large bucket is dealt into blocks, and
+pairs of blocks are compared in separate tasks.
 
 The chance to lose a pair at the threshold t is (1 - t^r)^b from b bands of r places, some
 4e-7 at 0.85 (25 bands of 5) and 8e-8 at 0.8 (31 bands of 4), and less than MISS per batch
@@ -19,7 +21,7 @@ from the pruning.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import lgamma
 
 import numpy as np
@@ -34,7 +36,8 @@ from dossier.session import cut
 PLACES = 125
 BATCH = 25
 MISS = 1e-6
-BLOCK = 512
+#: Members and shingles of a block of a bucket, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def rows_per_band(threshold: float) -> int:
@@ -74,6 +77,15 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+def band_keys(low: np.ndarray, band_rows: int) -> np.ndarray:
+    """One key for each band of a signature."""
+    rows = low[: len(low) // band_rows * band_rows].reshape(-1, band_rows).astype(np.uint64)
+    keys = np.arange(len(rows), dtype=np.uint64)
+    for r in range(band_rows):
+        keys = mix(keys ^ rows[:, r])
+    return keys.view(np.int64)
+
+
 def least_matches(threshold: float, miss: float = MISS, places: int = PLACES, batch: int = BATCH) -> list[int]:
     """For each number of compared places, the fewest matches whose posterior of reaching the threshold is at least `miss`."""
 
@@ -102,7 +114,7 @@ def survivors(left: np.ndarray, right: np.ndarray, least: list[int], allowed: np
 
 
 def _signed(source: DataFrame, size: int, band_rows: int) -> DataFrame:
-    """(id, n, set_hash, bands, places): the size of each set, a 128-bit name for it, its band keys and one byte per place."""
+    """(id, n, set_hash, bands, places): the size of each set, a 128-bit name for it, its band keys, and one byte per place followed by four per band key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers()
@@ -115,12 +127,8 @@ def _signed(source: DataFrame, size: int, band_rows: int) -> DataFrame:
                     continue
                 names.append(set_name(shingles))
                 low = signature(shingles, a, b)
-                rows = low[: PLACES // band_rows * band_rows].reshape(-1, band_rows).astype(np.uint64)
-                keys = np.arange(len(rows), dtype=np.uint64)
-                for r in range(band_rows):
-                    keys = mix(keys ^ rows[:, r])
-                bands.append(keys.view(np.int64).tolist())
-                places.append(low.astype(np.uint8).tobytes())
+                bands.append(band_keys(low, band_rows).tolist())
+                places.append(low.astype(np.uint8).tobytes() + band_keys(low, band_rows).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(places, pa.binary())],
                 ["id", "n", "set_hash", "bands", "places"],
@@ -130,62 +138,45 @@ def _signed(source: DataFrame, size: int, band_rows: int) -> DataFrame:
     return source.mapInArrow(run, f"id {kind}, n long, set_hash binary, bands array<long>, places binary")
 
 
-def _met(buckets: DataFrame, threshold: float, nearest: bool) -> DataFrame:
-    """(a, b): surviving pairs of each bucket. `buckets`: bucket, block, n_blocks, root, id, n, places.
+UNIT = ("bucket", "i", "j")
 
-    With `nearest`, each member sends only its most similar earlier partner; otherwise all
-    pairs of members with different roots are sent.
-    """
-    least = least_matches(threshold)
-    # A member of block i meets every block j: the pair of blocks is a unit of work.
+
+def _units(buckets: DataFrame) -> DataFrame:
+    """Buckets as units of work: a member of block i meets every block j, so each pair of blocks is one unit."""
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    units = buckets.select("*", other).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "id", "n", "places")
-    dealt = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+    each = buckets.select("*", other)
+    return each.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "id", "n", "places")
 
-    def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        block, n, ids = rows["block"], rows["n"], rows["id"]
-        if rows["i"][0] == rows["j"][0]:
-            left = right = np.arange(len(ids))
-        else:
-            left, right = np.flatnonzero(block == rows["i"][0]), np.flatnonzero(block != rows["i"][0])
-        allowed = (np.minimum(n[left][:, None], n[right][None]) >= threshold * np.maximum(n[left][:, None], n[right][None]) - 1e-9) & (rows["root"][left][:, None] != rows["root"][right][None])
-        if left is right:
-            allowed &= left[:, None] < right[None]
-        i, j, matches = survivors(rows["places"][left], rows["places"][right], least, allowed)
-        a, b = ids[left[i]], ids[right[j]]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        if nearest and len(low):
-            order = np.lexsort((low, -matches, high))
-            first = order[np.append(True, high[order][1:] != high[order][:-1])]
-            low, high = low[first], high[first]
-        return low, high
+
+def _by_unit(rows: DataFrame, work: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, ...] | None], binary: Callable, schema: str) -> DataFrame:
+    """Run `work` on the rows of each unit; a unit's rows stand together, in one or more batches. `binary` turns the last column into an array."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         key = None
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def sent() -> pa.RecordBatch:
-            both = [np.concatenate([x[k] for x in out]) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(len(names))], names)
 
         def close() -> None:
             nonlocal size
             if held and sum(map(len, held["id"])) > 1:
-                low, high = compare({c: np.concatenate(v) for c, v in held.items()})
-                if len(low):
-                    out.append((low, high))
-                    size += len(low)
+                found = work({c: np.concatenate(v) for c, v in held.items()})
+                if found is not None and len(found[0]):
+                    out.append(found)
+                    size += len(found[0])
 
         for batch in batches:
-            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "block", "root", "id", "n")}
-            columns["places"] = np.frombuffer(b"".join(batch.column("places").to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*UNIT, "block", "root", "id", "n")}
+            columns["last"] = binary(batch.column(batch.num_columns - 1))
             new = np.ones(batch.num_rows, dtype=bool)
-            new[1:] = (columns["bucket"][1:] != columns["bucket"][:-1]) | (columns["i"][1:] != columns["i"][:-1]) | (columns["j"][1:] != columns["j"][:-1])
+            new[1:] = np.any([columns[c][1:] != columns[c][:-1] for c in UNIT], axis=0)
             cuts = [*np.flatnonzero(new).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                this = (columns["bucket"][a], columns["i"][a], columns["j"][a])
+                this = tuple(columns[c][a] for c in UNIT)
                 if this != key:
                     close()
                     held, key = {c: [] for c in columns}, this
@@ -198,7 +189,117 @@ def _met(buckets: DataFrame, threshold: float, nearest: bool) -> DataFrame:
         if out:
             yield sent()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*UNIT).sortWithinPartitions(*UNIT, "id").mapInArrow(run, schema)
+
+
+def _allowed(rows: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left rows, right rows, pairs to look at): sizes that permit the threshold, and different roots."""
+    block, n, root = rows["block"], rows["n"], rows["root"]
+    same = rows["i"][0] == rows["j"][0]
+    left = np.arange(len(n)) if same else np.flatnonzero(block == rows["i"][0])
+    right = left if same else np.flatnonzero(block != rows["i"][0])
+    low, high = np.minimum(n[left][:, None], n[right][None]), np.maximum(n[left][:, None], n[right][None])
+    allowed = (low >= threshold * high - 1e-9) & (root[left][:, None] != root[right][None])
+    if same:
+        allowed &= left[:, None] < right[None]
+    return left, right, allowed
+
+
+def _places(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def _first_met(x: np.ndarray, y: np.ndarray, bucket: int) -> np.ndarray:
+    """Which pairs share no earlier band than this bucket's, so that a pair is worked on once.
+
+    Band keys are compared by 32 bits; that two of them agree by chance is far less likely than MISS.
+    """
+    first = (x == y).argmax(axis=1)
+    return x[np.arange(len(x)), first] == np.uint32(bucket & 0xFFFFFFFF)
+
+
+def _nearest(buckets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each member of a unit with its most similar partner before it, if a pair of them survives."""
+    least = least_matches(threshold)
+
+    def work(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        left, right, allowed = _allowed(rows, threshold)
+        i, j, matches = survivors(rows["last"][left], rows["last"][right], least, allowed)
+        a, b = rows["id"][left[i]], rows["id"][right[j]]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((low, -matches, high))
+        first = order[np.append(True, high[order][1:] != high[order][:-1])] if len(order) else order
+        return low[first], high[first]
+
+    return _by_unit(_units(buckets), work, _places, "a long, b long").distinct()
+
+
+def _unsettled(buckets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, i, j, id): the members of units with a surviving pair between different roots; no pair is sent."""
+    least = least_matches(threshold)
+
+    def work(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        left, right, allowed = _allowed(rows, threshold)
+        i, j, _ = survivors(rows["last"][left], rows["last"][right], least, allowed)
+        i, j = left[i], right[j]
+        bands = np.ascontiguousarray(rows["last"][:, PLACES:]).view(np.uint32)
+        mine = _first_met(bands[i], bands[j], int(rows["bucket"][0]))
+        at = np.union1d(i[mine], j[mine])
+        return tuple(rows[c][at] for c in (*UNIT, "id"))
+
+    return _by_unit(_units(buckets), work, _places, "bucket long, i int, j int, id long")
+
+
+def _settled(members: DataFrame, size: int, percent: int, band_rows: int) -> DataFrame:
+    """(a, b): links between different roots, found on full sets; in a unit at most one fewer than members. `members`: unit, block, root, id, n, text."""
+    threshold = percent / 100
+    least = least_matches(threshold)
+
+    def sets(column: pa.Array) -> np.ndarray:
+        out = np.empty(len(column), dtype=object)
+        k = 0
+        for piece in pieces(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 0):
+            for s in shingle_sets(*text_buffer(piece.column(0)), size):
+                out[k] = s
+                k += 1
+        return out
+
+    def work(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...] | None:
+        a, b = multipliers()
+        low = np.stack([signature(s, a, b) for s in rows["last"]])
+        bands = np.stack([band_keys(x, band_rows).astype(np.uint32) for x in low])
+        places = low.astype(np.uint8)
+        left, right, allowed = _allowed(rows, threshold)
+        i, j, matches = survivors(places[left], places[right], least, allowed)
+        order = np.argsort(-matches, kind="stable")
+        i, j = left[i[order]], right[j[order]]
+        mine = _first_met(bands[i], bands[j], int(rows["bucket"][0]))
+        i, j = i[mine], j[mine]
+        top = {r: r for r in rows["root"].tolist()}
+
+        def find(r: int) -> int:
+            while top[r] != r:
+                top[r] = top[top[r]]
+                r = top[r]
+            return r
+
+        out = []
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = find(int(rows["root"][x])), find(int(rows["root"][y]))
+            if p != q and similar(rows["last"][x], rows["last"][y], percent):
+                top[max(p, q)] = min(p, q)
+                out.append((rows["id"][x], rows["id"][y]))
+        return tuple(np.array(out, dtype=np.int64).T) if out else None
+
+    return _by_unit(members, work, sets, "a long, b long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity, exactly."""
+    both = np.concatenate([x, y])
+    both.sort()
+    n = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * n >= percent * (len(x) + len(y) - n)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -209,8 +310,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             left, right = (shingle_sets(*text_buffer(batch.column(k)), size) for k in (2, 3))
             keep = []
             for x, y in zip(left, right):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(similar(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
@@ -237,12 +337,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A row that repeats an id with another set would make the id stand for two sets: sets are numbered by their own key.
     keyed = sets.select(F.xxhash64("set_hash").alias("key"), "rep", "n", "bands", "places")
     banded = keyed.select(F.explode("bands").alias("bucket"), "key", "n")
-    counted = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = cut(banded.join(counted, "bucket").select("bucket", "key", F.ceil(F.col("members") / BLOCK).cast("int").alias("n_blocks")))
+    counted = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).filter("members > 1")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    shared = cut(banded.join(counted.select("bucket", blocks.alias("n_blocks")), "bucket").select("bucket", "key", "n_blocks"))
     placed = keyed.select("key", "n", "places")
     buckets = shared.join(placed, "key").select("bucket", F.pmod(F.xxhash64("key", F.lit(7)), F.col("n_blocks")).cast("int").alias("block"), "n_blocks", F.col("key").alias("root"), F.col("key").alias("id"), "n", "places")
     chosen = sets.select(F.xxhash64("set_hash").alias("key"), F.col("rep").alias("id"))
-    candidates = cut(_met(buckets, threshold, nearest=True))
+    candidates = _nearest(buckets, threshold)
     involved = shared.select("key").distinct().join(chosen, "key")
     # The text of a set is that of its representative's row with that set.
     texts = source.filter("id IS NOT NULL").join(involved, "id")
@@ -251,8 +352,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links)
     rooted = buckets.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    further = cut(_met(rooted.join(mixed, "bucket"), threshold, nearest=False).join(candidates, ["a", "b"], "left_anti"))
-    links = cut(links.union(_verified(further, keyed_texts, size, percent)))
+    rooted = cut(rooted.join(mixed, "bucket"))
+    members = _unsettled(rooted, threshold).join(rooted.select("bucket", "id", "block", "root", "n"), ["bucket", "id"]).join(keyed_texts, "id")
+    further = _settled(members.select(*UNIT, "block", "root", "id", "n", "text"), size, percent, rows_per_band(threshold))
+    links = cut(links.union(further))
     return _labelled(signed, sets, components(links), id_col)
 
 
