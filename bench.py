@@ -36,6 +36,11 @@ HEADLINE = [
     "route",
     "vector_topk_by_type",
     "entity_footprint",
+    "expand_hits",
+    "neighbour_context",
+    "graph_counts",
+    "taxonomy_members",
+    "contained_names",
 ]
 
 
