@@ -35,6 +35,16 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT k, doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+x AS (SELECT k, doc_id, len(s) AS n, unnest(s) AS h FROM g),
+l AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.h = b.h AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT k AS a, k AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS k, min(g.doc_id) AS component_id FROM r JOIN g ON g.k = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM g JOIN c USING (k)
+"""
 OP7_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS lead_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
@@ -90,7 +100,7 @@ def op1_decontaminate(spark, folder):
     return decontamination.find_overlaps(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
-@query("op9_near_dedup")
+@query("op9_near_dedup", OP9_SQL)
 def op9_near_dedup(spark, folder):
     """The component of each document over links of similarity 0.85 or more on three-word shingles."""
     return near_dedup.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
