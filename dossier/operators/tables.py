@@ -154,13 +154,10 @@ def normalize_postings(
     )
 
 
-def unique_postings(postings: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per posting id, as a keyed load leaves them: the last by ``order``.
-
-    Without an order the values themselves decide, so that the result is the same in every run.
-    """
+def unique_postings(postings: DataFrame, order: str) -> DataFrame:
+    """One row per posting id, as a keyed load leaves them: the last by ``order``, ties by the values."""
     rest = [c for c in postings.columns if c not in ("_id", order)]
-    return last_values(postings, "_id", rest, *([order] if order else []), *rest)
+    return last_values(postings, "_id", rest, order, *rest)
 
 
 def incidents_table(industries: DataFrame, updated_at: Column | None = None) -> DataFrame:

@@ -224,16 +224,15 @@ def hop(spark, folder):
 
 @query(
     "hop_many_types",
-    f"""{G} SELECT type, count(*) AS n FROM edges WHERE from_label = 'Incident' GROUP BY 1
-    UNION ALL SELECT 'axes', count(*) FROM edges WHERE type IN ('FACES', 'EXPOSES', 'HAD_INCIDENT')""",
+    f"""{G} SELECT type, "from", "to" FROM edges WHERE from_label = 'Incident'
+    UNION ALL SELECT 'axes', "from", "to" FROM edges WHERE type IN ('FACES', 'EXPOSES', 'HAD_INCIDENT')""",
 )
 def hop_many_types(spark, folder):
-    """Any-type hop from incidents and a three-type hop from industries, counted."""
+    """Any-type hop from incidents and a three-type hop from industries."""
     g = b.graph(spark, folder)
-    n = F.count(F.lit(1)).alias("n")
-    any_type = gr.hop(g, "Incident").groupBy("type").agg(n)
+    any_type = gr.hop(g, "Incident").select("type", "from", "to")
     axes = gr.hop(g, "Industry", ["FACES", "EXPOSES", "HAD_INCIDENT"])
-    return any_type.unionByName(axes.groupBy(F.lit("axes").alias("type")).agg(n))
+    return any_type.unionByName(axes.select(F.lit("axes").alias("type"), "from", "to"))
 
 
 _PATHS = f"""{G}, paths AS (SELECT h."from" AS n0, h."to" AS n1, a."to" AS n2 FROM edges h JOIN edges a ON a."from" = h."to"

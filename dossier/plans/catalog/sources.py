@@ -142,15 +142,14 @@ def postings_csv(spark, folder):
 @query(
     "write_by_sector",
     f"""WITH {b.RAW_POSTINGS} SELECT replace(replace(lower(coalesce(nullif(activity, ''), '(unclassified)')), '/', '_'), ' ', '_') AS sector_slug,
-      count(*) AS n, count(DISTINCT victim) AS victims FROM raw GROUP BY 1""",
+      victim, "group", attackdate, country FROM raw""",
 )
 def write_by_sector(spark, folder):
     path = new_folder(spark)
     writers.write_by_sector(b.raw_postings(spark, folder), path)
-    schema = T.StructType([T.StructField("victim", T.StringType()), T.StructField("sector_slug", T.StringType())])
-    return spark.read.schema(schema).json(path).groupBy("sector_slug").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("victim").alias("victims")
-    )
+    fields = ("victim", "group", "attackdate", "country", "sector_slug")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in fields])
+    return spark.read.schema(schema).json(path).select("sector_slug", *fields[:-1])
 
 
 @query(
@@ -275,3 +274,15 @@ def first_per_victim(spark, folder):
     )
     loads.first_per_victim(stream, f"{path}/out", f"{path}/checkpoint", "event_id").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("victim_key", "event_id")
+
+
+@query(
+    "sector_counts_of_files",
+    f"""WITH {b.RAW_POSTINGS} SELECT activity AS sector, count(*) AS n FROM raw WHERE activity <> '' GROUP BY 1""",
+)
+def sector_counts_of_files(spark, folder):
+    """Per-sector counts of a feed written by sector and read back."""
+    path = new_folder(spark)
+    writers.write_by_sector(b.raw_postings(spark, folder), path)
+    schema = T.StructType([T.StructField("activity", T.StringType())])
+    return ins.classified_only(ins.year_pull_by_sector(spark.read.schema(schema).json(path)))

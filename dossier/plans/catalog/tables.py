@@ -24,15 +24,17 @@ def normalize_postings(spark, folder):
 
 @query(
     "unique_postings",
-    f"""WITH {b.POSTINGS} SELECT count(*) AS rows_before, count(DISTINCT _id) AS rows_after FROM (
-      SELECT _id FROM postings UNION ALL SELECT _id FROM postings WHERE has_press)""",
+    f"""WITH {b.POSTINGS} SELECT _id, data_size FROM (
+      SELECT _id, data_size, pos AS o FROM postings UNION ALL SELECT _id, 'again ' || pos, pos + 1000000000 FROM postings WHERE has_press)
+    QUALIFY row_number() OVER (PARTITION BY _id ORDER BY o DESC) = 1""",
 )
 def unique_postings(spark, folder):
-    """Postings after a keyed load of a feed that repeats its press-covered rows."""
-    postings = tables.normalize_postings(b.raw_postings(spark, folder), F.lit("now"))
-    twice = tables.union_runs(postings, postings.filter("has_press"))
-    after = tables.unique_postings(twice).agg(F.count("*")).scalar()
-    return twice.agg(F.count(F.lit(1)).alias("rows_before")).withColumn("rows_after", after)
+    """Postings after a keyed load of a feed that repeats and changes its press-covered rows."""
+    postings = tables.normalize_postings(b.raw_postings(spark, folder), F.lit("now"), keep=["_pos"])
+    again = postings.filter("has_press").withColumns(
+        {"data_size": F.concat(F.lit("again "), F.col("_pos").cast("string")), "_pos": F.col("_pos") + 1_000_000_000}
+    )
+    return tables.unique_postings(tables.union_runs(postings, again), "_pos").select("_id", "data_size")
 
 
 @query(
