@@ -10,15 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from dossier.session import find_package
+
 PIECE_BYTES = 2 << 20
 STRETCH = 1 << 17
 _R = 0x9E3779B97F4A7C15 | 1
@@ -173,14 +173,6 @@ class Members:
         return out
 
 
-def find_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where it is installed, whatever their folder is."""
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "")
-    if ROOT not in known.split(":"):
-        environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
-
-
 def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of a table, whatever its other columns are called."""
     find_package(df.sparkSession)

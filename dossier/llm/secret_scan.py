@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.arrow_text import find_package, pieces, text_buffer, word_bytes, word_places
+from dossier.llm.arrow_text import pieces, text_buffer, word_bytes, word_places
+from dossier.session import find_package
 
 LEAST_CHARS, LEAST_DIGITS = 12, 2
 TREES, DEPTH, SEED = 60, 6, 11

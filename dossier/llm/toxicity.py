@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.arrow_text import ALNUM, DENSE, LOWER, Members, find_package, hash_text, hash_words, numbered, pieces, text_buffer, word_places, words_of
+from dossier.llm.arrow_text import ALNUM, DENSE, LOWER, Members, hash_text, hash_words, numbered, pieces, text_buffer, word_places, words_of
+from dossier.session import find_package
 
 #: Bounds of what is learned from: labelled rows, rows that the lexicon is counted over, entries kept.
 SAMPLE_ROWS = 20_000
