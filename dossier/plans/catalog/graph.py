@@ -97,7 +97,7 @@ def group_mentions(spark, folder):
 @query(
     "graph_counts",
     f"""{G}, grp AS (SELECT DISTINCT id FROM (SELECT "to" AS id FROM edges WHERE type = 'PERPETRATED_BY'
-        UNION ALL SELECT trim("group") FROM raw WHERE victim <> '') WHERE id <> '')
+        UNION ALL SELECT "group" FROM raw WHERE trim(victim) <> '' AND trim("group") <> ''))
     SELECT 'edge' AS kind, type AS name, count(*) AS n FROM edges GROUP BY 2
     UNION ALL SELECT 'node', 'Industry', count(DISTINCT industry) FROM p
     UNION ALL SELECT 'node', CASE type WHEN 'hazard' THEN 'Hazard' ELSE 'Exposure' END, count(*) FROM cat_nodes GROUP BY type
