@@ -83,22 +83,6 @@ LABEL_SMALL_WORDS = ["and", "of", "the"]
 ACCEPTED_INCIDENT_TYPES = ["ransomware", "data-extortion"]
 UNKNOWN_INDUSTRY = "UNKNOWN"
 INGEST_SOURCE = "sec/news"
-INDUSTRIES = [
-    "Healthcare and Social Assistance",
-    "Finance and Insurance",
-    "Manufacturing",
-    "Retail Trade and Consumer Services",
-    "Educational Services",
-    "Public Administration (Government)",
-    "Construction",
-    "Transportation and Warehousing",
-    "Agriculture, Forestry, Fishing and Food Production",
-    "Energy and Utilities",
-    "Accommodation, Food Services, Arts and Entertainment",
-    "Information Technology",
-    "Telecommunications",
-    "Professional, Scientific, Technical Services, Real Estate and Wholesale Trade",
-]
 
 # Posting defaults.
 UNCLASSIFIED_SECTOR = "Unclassified"

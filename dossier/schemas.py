@@ -84,50 +84,6 @@ POSTING = T.StructType(
         "victim",
     )
 )
-POSTING_CSV = T.StructType(
-    _strings(
-        "victim",
-        "sector",
-        "group",
-        "country",
-        "attackdate",
-        "discovered",
-        "domain",
-        "data_size",
-        "has_press",
-        "ransom",
-    )
-)
-
-POST = T.StructType(_strings("post_title", "group_name", "discovered"))
-
-EXTRACTED = T.StructType(
-    _strings("industry") + [f for f in INCIDENT.fields if f.name != "ingest_source"]
-)
-
-FILING_HIT = T.StructType(
-    [
-        T.StructField("_id", T.StringType()),
-        T.StructField(
-            "_source",
-            T.StructType(
-                [
-                    T.StructField("adsh", T.StringType()),
-                    T.StructField("ciks", T.ArrayType(T.StringType())),
-                    T.StructField("display_names", T.ArrayType(T.StringType())),
-                ]
-            ),
-        ),
-    ]
-)
-
-QUESTION = T.StructType(
-    [
-        T.StructField("question", T.StringType()),
-        T.StructField("synthesize", T.BooleanType()),
-        T.StructField("k", T.IntegerType()),
-    ]
-)
 
 EDGE = T.StructType(_strings("from", "from_label", "type", "to", "to_label"))
 
