@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from dossier.session import cut
 
+EDGES_PER_TASK = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of the edges (a, b) with the smallest node that it reaches.
@@ -15,20 +17,25 @@ def components(edges: DataFrame) -> DataFrame:
     followed to their ends by doubling, and the edges are drawn between the ends. The
     graph at least halves, so the rounds are logarithmic. Minima are aggregated before the
     shuffle, so a node with very many neighbours is no burden. Null ends are not edges.
+    The edges are counted, and every table has one task per EDGES_PER_TASK of them: the
+    many short steps then cost few tasks, whatever the session's number of partitions is.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
+    tasks = max(1, -(-edges.count() // EDGES_PER_TASK))
+    kept = lambda df: cut(df.coalesce(tasks))
+    edges = edges.coalesce(tasks)
+    labels = kept(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        up = cut(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("up")))
+        up = kept(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("up")))
         while True:
             ends = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            further = cut(up.join(ends, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+            further = kept(up.join(ends, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
             up = further.select("node", "up")
             if further.filter("moved").isEmpty():
                 break
-        labels = cut(labels.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        labels = kept(labels.join(up.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         a, b = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
         drawn = edges.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = cut(drawn.filter("a < b").distinct())
+        edges = kept(drawn.filter("a < b").distinct())
     return labels
