@@ -5,11 +5,17 @@ increasing run of anchors is kept, and the gaps between them are aligned in the
 The share of the template's words that are matched is its coverage. Stretches are found by
 the words of the templates that are not everyday words: for every template, `COVERAGE`
 cannot be reached on everyday words alone, so nothing is lost.
+
+Copies that stand close together share a stretch, in which none of their words is unique.
+So windows of about one template are aligned first, one beginning where each telling word
+puts the template's begin; then wider windows, and last the whole rest, for copies with
+insertions.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +27,8 @@ from dossier.llm.arrow_text import ALNUM, Members, hash_text, numbered, pieces,
 COVERAGE = 0.75
 #: So many template lengths on either side of an everyday-free word belong to its stretch.
 REACH = 2
+#: Template lengths of the windows; after them comes what is left of the stretch as a whole.
+WINDOWS = (1, 2, 4)
 
 # Everyday words, and the notices and license texts to look for.
 EVERYDAY = frozenset("a all an and any are as at be by for from if in is it may no not of on or that the this to under version with without you your work".split())
@@ -122,10 +130,49 @@ class Scanner:
         for name, words in self.templates.items():
             if sum(w in everyday for w in words) >= coverage * len(words):
                 raise ValueError(f"template {name} could be covered by everyday words")
+        self.counts = {name: Counter(words) for name, words in self.templates.items()}
+        self.place = {name: {w: k for k, w in reversed(list(enumerate(words)))} for name, words in self.templates.items()}
         self.any = Members(np.array(sorted(set().union(*self.telling.values())), dtype=np.uint64))
 
+    def _match(self, words: list[int], name: str, start: int, end: int) -> tuple[int, int, int] | None:
+        """(words matched, first word, end) of the template in a window, or None under the coverage."""
+        template, counts = self.templates[name], self.counts[name]
+        least = self.coverage * len(template)
+        if end - start < least or sum(min(m, counts[w]) for w, m in Counter(words[start:end]).items() if w in counts) < least:
+            return None
+        matched = align(words[start:end], template)
+        return (len(matched), start + matched[0][0], start + matched[-1][0] + 1) if len(matched) >= least else None
+
+    def _copies(self, words: list[int], name: str, own: list[int], start: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """Every copy of the template in a stretch, the tightest first; copies do not overlap. `own` are all places of telling words."""
+        n, place = len(self.templates[name]), self.place[name]
+        gaps = [(start, end)]
+        for size in (w * n for w in WINDOWS):
+            rest = []
+            for a, b in gaps:
+                for h in own[bisect_left(own, a) : bisect_left(own, b)]:
+                    if h < a:
+                        continue
+                    low = max(a, h - place[words[h]])
+                    if not self._match(words, name, low, min(b, low + size)):
+                        continue
+                    # What ends after the window belongs to the copy unless more foreign words than its own come with it.
+                    wider = [self._match(words, name, low, min(b, low + size * k // 2)) for k in (2, 3, 4)]
+                    found = max((x for x in wider if x), key=lambda x: 2 * x[0] - (x[2] - x[1]))
+                    yield found
+                    rest.append((a, found[1]))
+                    a = found[2]
+                rest.append((a, b))
+            gaps = rest
+        while gaps:
+            a, b = gaps.pop()
+            found = self._match(words, name, a, b)
+            if found:
+                yield found
+                gaps += [(a, found[1]), (found[2], b)]
+
     def scan(self, words: list[int], hits: list[int]) -> list[tuple[str, int, int, int]]:
-        """(name, coverage in ten thousandths, first word, end) for each stretch that covers a template; `hits` are the places of telling words."""
+        """(name, coverage in ten thousandths, first word, end) for each copy of a template; `hits` are the places of telling words."""
         out = []
         for name, template in self.templates.items():
             reach = REACH * len(template)
@@ -136,14 +183,9 @@ class Scanner:
                 while n < len(own) and own[n] - own[n - 1] <= reach:
                     n += 1
                 start, end = max(0, own[k] - reach), min(len(words), own[n - 1] + reach + 1)
+                for matched, low, high in self._copies(words, name, own[k:n], start, end):
+                    out.append((name, 10_000 * matched // len(template), low, high))
                 k = n
-                while True:  # a stretch may hold the template several times
-                    matched = align(words[start:end], template)
-                    if len(matched) < self.coverage * len(template):
-                        break
-                    low, high = start + matched[0][0], start + matched[-1][0] + 1
-                    out.append((name, 10_000 * len(matched) // len(template), low, high))
-                    start = high
         return sorted(out, key=lambda x: (x[2], x[0]))
 
 

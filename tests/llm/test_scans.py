@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from dossier.llm import license_scan, secret_scan
 
 
@@ -24,6 +26,35 @@ def test_licenses(table, odd_rows):
     assert license_scan.scan_texts(table([])).collect() == []
 
 
+def test_copies_of_one_license_close_together():
+    random.seed(6)
+    prose = lambda n: " ".join(random.choices("erble thand onder the of and heahe whwh enes".split(), k=n))
+    scanner = license_scan.Scanner()
+
+    def scan(text):
+        words = license_scan.plain_words(text)
+        return scanner.scan(words, np.flatnonzero(scanner.any(np.array(words, dtype=np.uint64))).tolist())
+
+    for name, template in license_scan.TEMPLATES.items():
+        n = len(license_scan.plain_words(template))
+        for copies in (1, 2, 3, 5):
+            for apart in (0, 1, 5, n // 2, n, 2 * n + 1):
+                text, places = prose(30), []
+                for k in range(copies):
+                    text += (" " + prose(apart) if k and apart else "") + " "
+                    places.append(len(license_scan.plain_words(text)))
+                    text += template
+                found = [x for x in scan(text + " " + prose(30)) if x[0] == name]
+                assert found == [(name, 10_000, p, p + n) for p in places], (name, copies, apart)
+    mit = license_scan.TEMPLATES["mit"].split()
+    changed = [" ".join(w if k % 9 != c else "changed" for k, w in enumerate(mit)) for c in (1, 4, 7)]
+    inserted = [" ".join(w + " onder" * (k % 7 == c) for k, w in enumerate(mit)) for c in (1, 4)]
+    found = scan(" ".join([prose(40), *changed, prose(12), *inserted, prose(40)]))
+    assert [x[0] for x in found] == ["mit"] * 5 and all(x[1] >= 8500 for x in found) and all(a[3] <= b[2] for a, b in zip(found, found[1:]))
+    # One copy spread over much more than a window; its everyday words stand between everyday words.
+    assert [(x[0], x[1] >= 8500) for x in scan(prose(9) + " " + " ".join(w + " " + prose(12) for w in mit))] == [("mit", True)]
+
+
 def test_alignment_is_increasing_and_finds_anchors():
     random.seed(3)
     for _ in range(200):
