@@ -8,7 +8,8 @@ is a variable field too. A template needs a share of constant words, and more th
 lines that miss this keep their own words as their template, so prose that only begins
 alike is never merged.
 
-A template recurs if at least `least_texts` different texts have it. It stays in the text
+A template recurs if at least `least_texts` different texts have it; a longer line says more
+by itself and recurs from fewer texts on (`LONGER`). It stays in the text
 with the smallest id (the first copy of what many repeat) and its lines are dropped from
 all others. Exact copies of a text count as one text and are treated alike: removing them
 is the work of another operator.
@@ -28,6 +29,8 @@ from dossier.session import cut
 
 DEPTH = 3
 LEAST_WORDS, LEAST_TEXTS = 3, 6
+#: (words, texts): lines of so many words recur from so many different texts on. At most three entries.
+LONGER = ((20, 3), (50, 2))
 FREQUENT, CONSTANT = 0.3, 0.6
 LEAF_BITS = 22
 _VARIABLE = np.uint64(0x2545F4914F6CDD1D)
@@ -42,7 +45,10 @@ def masked_words(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def line_table(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
-    """(text, number in the text, first word, words, leaf, template) of every line; empty texts have one empty line."""
+    """(text, number in the text, first word, words, leaf, template) of every line; empty texts have one empty line.
+
+    The last two bits of a template tell how many entries of `LONGER` its length reaches.
+    """
     breaks = np.flatnonzero(data == 10)
     n = len(offsets) - 1
     starts = np.concatenate([offsets[:-1], breaks + 1])
@@ -58,6 +64,7 @@ def line_table(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.
     total = np.zeros(len(words.hash) + 1, dtype=np.uint64)
     np.cumsum(words.hash * powers[place], out=total[1:])
     template = mix(mix(total[first + count] - total[first]) ^ count.astype(np.uint64))
+    template = template & ~np.uint64(3) | np.searchsorted([n for n, _ in LONGER], count, side="right").astype(np.uint64)
     lead = [count.astype(np.uint64)]
     for k in range(DEPTH):
         at = np.minimum(first + k, max(0, len(words.hash) - 1))
@@ -118,8 +125,11 @@ def recurring(source: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXT
     marked = placed.join(frequent, ["leaf", "place", "word"], "left").select("leaf", "template", "place", F.when(F.coalesce("stays", F.lit(False)), F.col("word")).alias("word"))
     merged = marked.groupBy("leaf", "template").agg(F.count("word").alias("constant"), F.count(F.lit(1)).alias("words"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("list"))
     merged = merged.filter((F.col("constant") >= CONSTANT * F.col("words")) & (F.col("constant") > DEPTH)).select("template", F.xxhash64("leaf", "list").alias("general"))
-    grouped = own.join(merged, "template", "left").withColumn("general", F.coalesce("general", "template"))
-    totals = grouped.groupBy("general").agg(F.sum("n").alias("texts"), F.min("owner").alias("first")).filter(F.col("texts") >= least_texts)
+    grouped = own.join(merged, "template", "left").select("template", "n", "owner", F.coalesce("general", "template").alias("general"), F.col("general").isNotNull().alias("merged"))
+    totals = grouped.groupBy("general").agg(F.sum("n").alias("texts"), F.min("owner").alias("first"), F.max("merged").alias("merged"))
+    longer = F.element_at(F.array(F.lit(least_texts), *[F.lit(min(k, least_texts)) for _, k in LONGER]), F.col("general").bitwiseAND(3).cast("int") + 1)
+    # Of merged lines the variable words are known by their counts alone, so they keep the higher number.
+    totals = totals.filter(F.col("texts") >= F.when(F.col("merged"), least_texts).otherwise(longer))
     return grouped.join(totals, "general").select("template", F.col("first.unit").alias("owner")).distinct()
 
 

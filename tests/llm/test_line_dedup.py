@@ -52,3 +52,14 @@ def test_prose_that_begins_alike_is_not_a_template(table):
     random.seed(4)
     rows = [(i, "We saw that " + " ".join(f"w{chr(97 + random.randrange(26))}{chr(97 + random.randrange(26))}" for _ in range(9))) for i in range(40)]
     assert all(r.n_dropped == 0 for r in run(table(rows)))
+
+
+def test_long_lines_recur_from_fewer_texts_on(table):
+    random.seed(5)
+    prose = lambda n: " ".join("".join(random.choices("abcdefgh", k=5)) for _ in range(n))
+    for n, texts, recurs in ((60, 2, True), (50, 2, True), (49, 2, False), (20, 3, True), (19, 5, False), (5, 5, False), (5, 6, True)):
+        line = prose(n)
+        rows = [(i, f"{prose(8)}\n{line}\n{prose(60)}") for i in range(texts)]
+        out = sorted((r.doc_id, r.n_dropped, r.text) for r in run(table([*rows, (9, rows[0][1])])))
+        assert [x[1] for x in out] == [0, *[int(recurs)] * (texts - 1), 0], (n, texts)
+        assert all((line in x[2]) == (x[1] == 0) for x in out)
