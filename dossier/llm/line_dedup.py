@@ -5,8 +5,8 @@ variable fields. The tree has a level for the number of words and one for each o
 `DEPTH` words; its leaves hold lines that may be instances of one template. Within a leaf,
 a word stays part of the template where it is frequent at its place; every other word there
 is a variable field too. A template needs a share of constant words, and more than the tree's path;
-lines that miss this keep their own words as their template, so prose that only begins
-alike is never merged.
+lines that miss this keep their own words, digits included, as their template, so neither
+prose that only begins alike nor rows of numbers are ever merged.
 
 A template recurs if at least `least_texts` different texts have it; a longer line says more
 by itself and recurs from fewer texts on (`LONGER`). It stays in the text
@@ -36,18 +36,21 @@ LEAF_BITS = 22
 _VARIABLE = np.uint64(0x2545F4914F6CDD1D)
 
 
-def masked_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+def masked_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The words, those with a digit as one variable, and the hashes of all words as they stand."""
     words = words_of(data, offsets, DENSE)
+    own = words.hash.copy()
     digits = np.zeros(len(data) + 1, dtype=np.int32)
     np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
     words.hash[digits[words.end] > digits[words.start]] = _VARIABLE
-    return words
+    return words, own
 
 
-def line_table(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
-    """(text, number in the text, first word, words, leaf, template) of every line; empty texts have one empty line.
+def line_table(data: np.ndarray, offsets: np.ndarray, words: Words, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, number in the text, first word, words, leaf, template, fit) of every line; empty texts have one empty line.
 
-    The last two bits of a template tell how many entries of `LONGER` its length reaches.
+    A line is fit to be a template if enough of its words are no variables; the template of
+    others is made of their own words, if these hold variables. The last two bits of a template tell how many entries of `LONGER` its length reaches.
     """
     breaks = np.flatnonzero(data == 10)
     n = len(offsets) - 1
@@ -61,27 +64,31 @@ def line_table(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.
     count = np.append(first[1:], len(words.start)) - first
     place = np.arange(len(words.hash)) - np.repeat(first, count)
     powers = _UP if len(place) == 0 or place.max() < len(_UP) else _powers(_R, int(place.max()) + 1)
+    plain = np.zeros(len(words.hash) + 1, dtype=np.int64)
+    np.cumsum(words.hash != _VARIABLE, out=plain[1:])
+    plain = plain[first + count] - plain[first]
+    fit = (plain >= CONSTANT * count) & (plain > DEPTH)
     total = np.zeros(len(words.hash) + 1, dtype=np.uint64)
-    np.cumsum(words.hash * powers[place], out=total[1:])
+    np.cumsum(np.where(np.repeat(fit, count), words.hash, own) * powers[place], out=total[1:])
     template = mix(mix(total[first + count] - total[first]) ^ count.astype(np.uint64))
     template = template & ~np.uint64(3) | np.searchsorted([n for n, _ in LONGER], count, side="right").astype(np.uint64)
     lead = [count.astype(np.uint64)]
     for k in range(DEPTH):
         at = np.minimum(first + k, max(0, len(words.hash) - 1))
         lead.append(np.where(k < count, words.hash[at] if len(words.hash) else np.uint64(0), np.uint64(1)))
-    return owner, number, first, count, combine(lead), template
+    return owner, number, first, count, combine(lead), template, fit
 
 
 def _lines(source: DataFrame) -> DataFrame:
-    """(id, unit, templates, leaves): one row per text, with an entry per line; short lines have no template."""
+    """(id, unit, templates, leaves): one row per text, with an entry per line; short lines have no template, unfit ones no leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, offsets = text_buffer(batch.column(1))
-            owner, _, _, count, leaf, template = line_table(data, offsets, masked_words(data, offsets))
+            owner, _, _, count, leaf, template, fit = line_table(data, offsets, *masked_words(data, offsets))
             bounds = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
             short = count < LEAST_WORDS
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x.view(np.int64), mask=short)) for x in (template, leaf)]
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x.view(np.int64), mask=none)) for x, none in ((template, short), (leaf, short | ~fit))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["id", "unit", "templates", "leaves"])
 
     kind = source.schema["id"].dataType.simpleString()
@@ -96,9 +103,9 @@ def _words_in(source: DataFrame, leaves: np.ndarray) -> DataFrame:
         wanted = np.unpackbits(shared.value).astype(bool)
         for batch in pieces(batches):
             data, offsets = text_buffer(batch.column(1))
-            words = masked_words(data, offsets)
-            _, _, first, count, leaf, template = line_table(data, offsets, words)
-            at = np.flatnonzero(wanted[slots(leaf, LEAF_BITS)] & (count >= LEAST_WORDS))
+            words, own = masked_words(data, offsets)
+            _, _, first, count, leaf, template, fit = line_table(data, offsets, words, own)
+            at = np.flatnonzero(wanted[slots(leaf, LEAF_BITS)] & (count >= LEAST_WORDS) & fit)
             at = at[np.unique(template[at], return_index=True)[1]]
             ends = np.cumsum([0, *count[at]])
             place = np.repeat(first[at] - ends[:-1], count[at]) + np.arange(ends[-1])
@@ -114,8 +121,9 @@ def recurring(source: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXT
     pairs = F.array_distinct(F.filter(F.arrays_zip("templates", "leaves"), lambda x: x["templates"].isNotNull()))
     each = units.select("id", "unit", F.explode(pairs).alias("x")).select("id", "unit", F.col("x.templates").alias("template"), F.col("x.leaves").alias("leaf"))
     own = cut(each.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "unit")).alias("owner")))
+    variable = F.lit(int(_VARIABLE.view(np.int64)))
     # Leaves with several templates: place by place, which words are frequent there.
-    open_leaves = own.groupBy("leaf").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter((F.col("total") >= least_texts) & (F.col("kinds") > 1))
+    open_leaves = own.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter((F.col("total") >= least_texts) & (F.col("kinds") > 1))
     open_leaves = cut(open_leaves.select("leaf", "total"))
     known = own.select("leaf", "template", "n").join(open_leaves, "leaf")
     words = _words_in(source, bit_table(open_leaves, "leaf", LEAF_BITS)).dropDuplicates(["template"])
@@ -123,7 +131,7 @@ def recurring(source: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXT
     frequent = placed.groupBy("leaf", "place", "word").agg(F.sum("n").alias("m"), F.first("total").alias("total")).filter(F.col("m") >= F.greatest(F.lit(least_texts), FREQUENT * F.col("total")))
     frequent = frequent.select("leaf", "place", "word", F.lit(True).alias("stays"))
     marked = placed.join(frequent, ["leaf", "place", "word"], "left").select("leaf", "template", "place", F.when(F.coalesce("stays", F.lit(False)), F.col("word")).alias("word"))
-    merged = marked.groupBy("leaf", "template").agg(F.count("word").alias("constant"), F.count(F.lit(1)).alias("words"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("list"))
+    merged = marked.groupBy("leaf", "template").agg(F.count(F.when(F.col("word") != variable, 1)).alias("constant"), F.count(F.lit(1)).alias("words"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("list"))
     merged = merged.filter((F.col("constant") >= CONSTANT * F.col("words")) & (F.col("constant") > DEPTH)).select("template", F.xxhash64("leaf", "list").alias("general"))
     grouped = own.join(merged, "template", "left").select("template", "n", "owner", F.coalesce("general", "template").alias("general"), F.col("general").isNotNull().alias("merged"))
     totals = grouped.groupBy("general").agg(F.sum("n").alias("texts"), F.min("owner").alias("first"), F.max("merged").alias("merged"))
