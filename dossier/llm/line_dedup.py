@@ -2,9 +2,12 @@
 
 A line is its white-space separated words, in lower case. Words that hold a digit are
 variable fields. The tree has a level for the number of words and one for each of the first
-`DEPTH` words; its leaves hold lines that may be instances of one template. Within a leaf,
-a word stays part of the template where it is frequent at its place; every other word there
-is a variable field too. A template needs a share of constant words, and more than the tree's path;
+`DEPTH` words; its leaves hold lines that may be instances of one template, or of several.
+Within a group of lines, a leaf at first, a word stays part of the template where it is
+frequent at its place; every other word there is a variable field too. Lines of which this
+makes no template that recurs are grouped anew by the most frequent of their other words,
+until no group is left that could recur. Each new group is smaller than `FREQUENT` of its
+group, so the rounds grow with the logarithm of the largest leaf. A template needs a share of constant words, and more than the tree's path;
 lines that miss this keep their own words, digits included, as their template, so neither
 prose that only begins alike nor rows of numbers are ever merged.
 
@@ -123,16 +126,31 @@ def recurring(source: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXT
     own = cut(each.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "unit")).alias("owner")))
     variable = F.lit(int(_VARIABLE.view(np.int64)))
     # Leaves with several templates: place by place, which words are frequent there.
-    open_leaves = own.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter((F.col("total") >= least_texts) & (F.col("kinds") > 1))
-    open_leaves = cut(open_leaves.select("leaf", "total"))
-    known = own.select("leaf", "template", "n").join(open_leaves, "leaf")
-    words = _words_in(source, bit_table(open_leaves, "leaf", LEAF_BITS)).dropDuplicates(["template"])
-    placed = cut(words.join(known.drop("leaf"), "template").select("leaf", "template", "n", "total", F.posexplode("words").alias("place", "word")))
-    frequent = placed.groupBy("leaf", "place", "word").agg(F.sum("n").alias("m"), F.first("total").alias("total")).filter(F.col("m") >= F.greatest(F.lit(least_texts), FREQUENT * F.col("total")))
-    frequent = frequent.select("leaf", "place", "word", F.lit(True).alias("stays"))
-    marked = placed.join(frequent, ["leaf", "place", "word"], "left").select("leaf", "template", "place", F.when(F.coalesce("stays", F.lit(False)), F.col("word")).alias("word"))
-    merged = marked.groupBy("leaf", "template").agg(F.count(F.when(F.col("word") != variable, 1)).alias("constant"), F.count(F.lit(1)).alias("words"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("list"))
-    merged = merged.filter((F.col("constant") >= CONSTANT * F.col("words")) & (F.col("constant") > DEPTH)).select("template", F.xxhash64("leaf", "list").alias("general"))
+    groups = own.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter((F.col("total") >= least_texts) & (F.col("kinds") > 1))
+    groups = cut(groups.select("leaf", "total"))
+    known = own.select("leaf", "template", "n").join(groups, "leaf")
+    words = _words_in(source, bit_table(groups, "leaf", LEAF_BITS)).dropDuplicates(["template"])
+    placed = words.join(known.drop("leaf"), "template").select(F.col("leaf").alias("group"), "template", "n", "total", F.size("words").alias("words"), F.posexplode("words").alias("place", "word"))
+    placed = cut(placed.filter(F.col("word") != int(_VARIABLE.view(np.int64))))
+    merged = placed.select("template", F.col("template").alias("general")).limit(0)
+    while not placed.isEmpty():
+        often = placed.groupBy("group", "place", "word").agg(F.sum("n").alias("m"), F.first("total").alias("total")).filter(F.col("m") >= least_texts)
+        often = often.select("group", "place", "word", "m", (F.col("m") >= FREQUENT * F.col("total")).alias("stays"))
+        marked = placed.join(often, ["group", "place", "word"])
+        lines = marked.groupBy("group", "template", "n", "words").agg(
+            F.count(F.when(F.col("stays"), 1)).alias("constant"),
+            F.sort_array(F.collect_list(F.when(F.col("stays"), F.struct("place", "word")))).alias("list"),
+            F.max(F.when(~F.col("stays"), F.struct("m", -F.col("place"), "word"))).alias("next"),
+        )
+        fit = (F.col("constant") >= CONSTANT * F.col("words")) & (F.col("constant") > DEPTH)
+        lines = cut(lines.select("template", "n", F.when(fit, F.xxhash64("group", "list")).alias("general"), F.when(F.col("next").isNotNull(), F.xxhash64("group", "next")).alias("group")))
+        enough = lines.filter("general IS NOT NULL").groupBy("general").agg(F.sum("n").alias("texts")).filter(F.col("texts") >= least_texts).select("general")
+        made = cut(lines.select("template", "general").join(enough, "general").select("template", "general"))
+        merged = merged.unionByName(made)
+        rest = lines.filter("group IS NOT NULL").join(made, "template", "left_anti").select("template", "n", "group")
+        groups = rest.groupBy("group").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).filter((F.col("total") >= least_texts) & (F.col("kinds") > 1))
+        rest = rest.join(groups.select("group", "total"), "group").select("template", "group", "total")
+        placed = cut(placed.drop("group", "total").join(rest, "template"))
     grouped = own.join(merged, "template", "left").select("template", "n", "owner", F.coalesce("general", "template").alias("general"), F.col("general").isNotNull().alias("merged"))
     totals = grouped.groupBy("general").agg(F.sum("n").alias("texts"), F.min("owner").alias("first"), F.max("merged").alias("merged"))
     longer = F.element_at(F.array(F.lit(least_texts), *[F.lit(min(k, least_texts)) for _, k in LONGER]), F.col("general").bitwiseAND(3).cast("int") + 1)

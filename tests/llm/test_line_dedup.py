@@ -73,3 +73,17 @@ def test_rows_of_numbers_are_no_template(table):
         kept = dict(rows)[r.doc_id].split("\n")
         # What repeats word for word goes, and so does a template of enough constant words.
         assert r.text.split("\n") == (kept if r.doc_id == 0 else kept[:3]) and r.n_dropped == (2 if r.doc_id else 0)
+
+
+def test_a_leaf_with_many_templates(table):
+    random.seed(8)
+    name = lambda: "".join(random.choices("abcdefgh", k=9))
+    shapes = [f"INFO %s {a} and {b} took %s of {c} in the end" for a, b, c in [(name(), name(), name()) for _ in range(9)]]
+    shapes += [f"INFO %s {shapes[0].split()[2]} or {name()} gave %s to {name()} at the end"]
+    other = [(100 + i, f"2024-05-01 10:11 INFO {' '.join(name() for _ in range(11))}") for i in range(30)]
+    rows = []
+    for i in range(60):
+        line = shapes[i % len(shapes)] % (name(), name())
+        rows.append((i, f"{name()} {name()} {name()}\n2024-05-{i % 28 + 1:02d} 10:{i % 60:02d} {line}"))
+    out = {r.doc_id: r.n_dropped for r in run(table(rows + other))}
+    assert all(out[i] == (i >= len(shapes)) for i in range(60)) and not any(out[i] for i, _ in other)
