@@ -1,7 +1,8 @@
 """Secrets in texts: candidates by form, false positives removed by a random forest.
 
-A candidate is a long run of key characters with letters and digits, or what follows a
-name such as `password=`. The forest judges each by its length, character transitions,
+A candidate is a long run of key characters with letters and digits, or the value that
+follows a name such as `password=`: up to its closing quote or the next white space, with
+or without digits, from `LEAST_NAMED` characters on. The forest judges each by its length, character transitions,
 how much of it dictionary words cover, the path of its text and the words beside it. It
 is grown from the labelled findings below.
 """
@@ -10,7 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from dossier.llm.arrow_text import pieces, text_buffer, word_bytes, word_places
 from dossier.session import find_package
 
-LEAST_CHARS, LEAST_DIGITS = 12, 2
+LEAST_CHARS, LEAST_DIGITS, LEAST_NAMED = 12, 2, 7
 TREES, DEPTH, SEED = 60, 6, 11
 
 # Characters of keys, words that speak for or against a secret, dictionary words, path parts.
@@ -30,6 +33,8 @@ AGAINST = frozenset("sha1 sha256 md5 commit checksum digest hash uuid isbn examp
 DICTIONARY = (
     "example sample test demo dummy change changeme your here password secret token user admin default value none null true false "
     "http https www com org net html index page image file path name data node path build release version alpha beta report chapter figure "
+    "required optional disabled enabled available invalid missing expired unknown username email nothing something anything string number "
+    "read write only public owner settings reset forgotten failed successful denied granted account value values words simple important "
     "january february march april june july august september october november december monday friday the and for with this that from"
 ).split()
 MOCK_PATHS = ("test", "example", "sample", "doc", "mock", "fixture")
@@ -86,9 +91,43 @@ FINDINGS = """
 0|src18|blob {0000000000000000a0} that
 0|src19|digest {5f4dcc3b5aa765d61d8327deb882cf99} of it
 0|src19|hash {7c4a8d09ca3762af61e59520943dc264} of it
+1|src4|password={hunter2} and
+1|app.ini|token={correct-horse-battery} left
+1|src7|my password: {s3cr3t!} ok
+1|src1|pwd={Pa$$w0rd!} it
+1|conf.json|"password": "{qwerty!zx}", next
+1|env|secret: '{tiger-lamp-ocean-brick}' of
+1|db.yml|passwd={xkQbvTzpLm} in
+1|src3|login: {monkey#77} here
+1|src2|auth="{blue horse runs fast!}" es
+1|env|api_key={zqWvXkRtYpLm} used
+1|src8|secret={Gh&kd?29x} que
+1|src6|password = {iloveyou9} beein
+1|src9|access_key: {BxQwZrTvKpNm} in
+1|src5|credential={dragon$fire} es
+0|src3|password: {required} field
+0|src5|token={undefined} here
+0|src2|the key: {nothing} of it
+0|src8|access: {read-only} for
+0|src9|login: {username} and
+0|src1|auth={disabled} in
+0|src4|secret = "{your-secret}" replace
+0|src6|password={password} is
+0|src7|the password: {forgotten} again
+0|src0|key={value} pairs
+0|src3|private: {settings} of
+0|docs/a|token: {example-token} in
+0|src8|credential: {expired} on monday
+0|tests/b|password="{changeme}" in
 """.strip().split("\n")
 
 _NAME = re.compile(r"^([A-Za-z_][A-Za-z_-]*)[=:]+(.+)$")
+_FOR = b"(?:" + b"|".join(sorted((w.encode() for w in FOR), key=len, reverse=True)) + rb")\d*[\"'`\]]{0,2}[ \t]{0,40}"
+#: The name before a sign, the sign, and the value after it (in quotes, or up to white space or the next name).
+_BEFORE = re.compile(rb"(?:^|[^a-z])" + _FOR + b"$", re.IGNORECASE)
+_SIGN = re.compile(rb"[=:]+>?[ \t]*")
+_NEXT = re.compile(_FOR + b"[=:]", re.IGNORECASE)
+_VALUE = re.compile(rb"\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|[\"'`]?((?:(?![,;&]\w+[=:])\S)+)")
 _WORD = re.compile(r"[^\W\d]+(?:_[^\W\d]+)*")
 
 
@@ -112,7 +151,7 @@ def candidate_features(candidate: str, before: str, after: str, path: str) -> li
         float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("s") / n,
         changes / max(1, n - 1), sum(a != b and "s" not in a + b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), entropy, entropy / math.log2(max(2, n)),
         float(all(c in "0123456789abcdef" for c in candidate)), float(all(k in "du" for k in kinds)), sum(covered) / n,
-        float(candidate.startswith("AKIA")), float(before[-1:] in "=:" and before != ""),
+        float(candidate.startswith("AKIA")), float(before.rstrip(" \t\"'`")[-1:] in ("=", ":")),
         float(any(w in FOR or w.rpartition("_")[2] in FOR for w in near)), float(any(w in AGAINST for w in near + later)),
         float(any(m in path.lower() for m in MOCK_PATHS)), float(before[-1:] == "@" or after[:1] == "@" or "//" in candidate),
     ]
@@ -137,6 +176,8 @@ class Forest:
             values = np.unique(x[:, f])
             for cut in (values[1:] + values[:-1]) / 2:
                 right = x[:, f] > cut
+                if not right.any() or right.all():  # the mean of two neighbouring numbers may be one of them
+                    continue
                 a, b = y[~right], y[right]
                 gini = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
                 best = min(best, (gini, int(f), float(cut)))
@@ -169,8 +210,40 @@ def train() -> Forest:
     return Forest(*labelled())
 
 
+def named_values(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, start byte, end byte) of each value after a name of `FOR`."""
+    done, owner, text = 0, -1, b""
+    for sign in np.flatnonzero((data == 58) | (data == 61)).tolist():
+        if sign < done:
+            continue
+        k = int(np.searchsorted(offsets, sign, side="right")) - 1
+        low = int(offsets[k])
+        if not _BEFORE.search(data[max(low, sign - 64) : sign].tobytes()):
+            continue
+        if k != owner:
+            owner, text = k, data[low : int(offsets[k + 1])].tobytes()
+        begin = _SIGN.match(text, sign - low).end()
+        value = None if _NEXT.match(text, begin) else _VALUE.match(text, begin)
+        if value is None:
+            continue
+        a, b = value.span(value.lastindex)
+        if value.lastindex == 4:
+            b = a + len(text[a:b].rstrip(b".,;:=-/)]}>\"'`"))
+        if len(text[a:b].decode("utf-8", "ignore")) >= LEAST_NAMED:
+            done = low + b
+            yield k, low + a, low + b
+
+
 def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(text, start byte, end byte) of each candidate of a buffer."""
+    """(text, start byte, end byte) of each candidate of a buffer, by place; a named value stands for the runs that it meets."""
+    named = list(named_values(data, offsets))
+    ends = [x[2] for x in named]
+    runs = (x for x in long_runs(data, offsets) if (at := bisect_right(ends, x[1])) == len(named) or named[at][1] >= x[2])
+    yield from merge(named, runs, key=lambda x: x[1])
+
+
+def long_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, start byte, end byte) of each long run of key characters."""
     start, end = word_places(data, offsets, KEY_BYTES)
     digits = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
@@ -210,10 +283,10 @@ def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 low, high = int(offsets[k]), int(offsets[k + 1])
                 before = data[max(low, a - 80) : a].tobytes().decode("utf-8", "ignore")
                 after = data[b : min(high, b + 40)].tobytes().decode("utf-8", "ignore")
-                score = forest.score(candidate_features(data[a:b].tobytes().decode("ascii"), before, after, batch.column(2)[k].as_py()))
+                score = forest.score(candidate_features(data[a:b].tobytes().decode("utf-8", "ignore"), before, after, batch.column(2)[k].as_py()))
                 if score >= least_score:
                     start = int(np.count_nonzero((data[low:a] & 0xC0) != 0x80))
-                    found[k].append({"start": start, "end": start + b - a, "score": score})
+                    found[k].append({"start": start, "end": start + int(np.count_nonzero((data[a:b] & 0xC0) != 0x80)), "score": score})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(seen, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(found, kind)],
                 ["id", "n_candidates", "n_secrets", "secrets"],

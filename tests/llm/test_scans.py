@@ -100,6 +100,27 @@ def test_secrets(table, odd_rows):
     assert secret_scan.scan_texts(table([]), path_col="key").collect() == []
 
 
+def test_every_value_after_a_name_is_a_candidate():
+    cases = {
+        "password=hunter2": "hunter2", "ünï token=correct-horse-battery end": "correct-horse-battery", "PASSWORD: hunter2.": "hunter2", 'x "secret": "so long! a phrase", y': "so long! a phrase",
+        "db_password = 'ab!cd#ef$g&h?i'": "ab!cd#ef$g&h?i", "pwd=ab!cd#ef$g?i of": "ab!cd#ef$g?i", "api-key:  qwertyuiop": "qwertyuiop", "/?token=wonderful&page=3": "wonderful", "auth=çødé漢字🙂": "çødé漢字🙂", "secret => abcdefgh, it": "abcdefgh",
+        "password= password=hunter2": "hunter2", "token: b7db7aa4a5fcc78305!x": "b7db7aa4a5fcc78305!x",
+    }
+    texts = [t.encode() for t in cases]
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    found = [(k, data[a:b].tobytes().decode()) for k, a, b in secret_scan.candidates(data, np.cumsum([0, *map(len, texts)]))]
+    assert found == list(enumerate(cases.values()))
+    none = "the monkey=business, keys are here: nothing password".encode()
+    assert not list(secret_scan.candidates(np.frombuffer(none, dtype=np.uint8), np.array([0, len(none)])))
+
+
+def test_short_and_digit_free_secrets(table):
+    rows = {1: ("ünï password=hunter2 end", "hunter2"), 2: ("it is token=correct-horse-battery left", "correct-horse-battery"), 3: ("login: 'zebra!çup#9' of", "zebra!çup#9"), 4: ("the password: required by all", None), 5: ("auth=disabled here", None)}
+    for r in secret_scan.scan_texts(table([(i, t) for i, (t, _) in rows.items()]), path_col="key").collect():
+        text, secret = rows[r.doc_id]
+        assert r.n_candidates == 1 and [text[s.start : s.end] for s in r.secrets] == ([secret] if secret else [])
+
+
 def test_forest_on_findings_left_out():
     x, y = secret_scan.labelled()
     right = sum((secret_scan.Forest(x[k % 5 != fold], y[k % 5 != fold]).score(row) >= 0.5) == bool(label) for fold in range(5) for k, row, label in [(_range(len(y)), None, None)] for row, label in zip(x[k % 5 == fold], y[k % 5 == fold]))
