@@ -33,9 +33,15 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    found = near_dedup.near_duplicates(docs, size=SHINGLE, percent=PERCENT)
-    return docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Of an id with several texts only those go that are copies. A row with a null id is
+    linked with nothing, so it always stays, copy or not.
+    """
+    found = near_dedup.near_duplicates(docs, size=SHINGLE, percent=PERCENT, text_hash=True)
+    copies = found.filter(~F.col("kept")).select(F.col("doc_id").alias("copy"), F.col("text_hash").alias("copy_text")).distinct()
+    same = (F.col("doc_id") == F.col("copy")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("copy_text"))
+    return docs.join(copies, same, "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,7 +114,8 @@ def survivors(left: np.ndarray, right: np.ndarray, least: list[int], allowed: np
 
 
 def _signed(source: DataFrame, size: int, band_rows: int) -> DataFrame:
-    """(id, n, set_hash, bands, places): the size of each set, a 128-bit name for it, its band keys, and one byte per place followed by four per band key."""
+    """(id, n, set_hash, bands, places): the size of each set, a 128-bit name for it, its band keys, and one byte per place followed by four per band key; and what `source` has besides (id, text)."""
+    more = source.schema[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers()
@@ -130,12 +131,12 @@ def _signed(source: DataFrame, size: int, band_rows: int) -> DataFrame:
                 bands.append(band_keys(low, band_rows).tolist())
                 places.append(low.astype(np.uint8).tobytes() + band_keys(low, band_rows).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(places, pa.binary())],
-                ["id", "n", "set_hash", "bands", "places"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(places, pa.binary()), *batch.columns[2:]],
+                ["id", "n", "set_hash", "bands", "places", *more.names],
             )
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n long, set_hash binary, bands array<long>, places binary")
+    return source.mapInArrow(run, ", ".join([f"id {kind}, n long, set_hash binary, bands array<long>, places binary", *(f"{f.name} {f.dataType.simpleString()}" for f in more)]))
 
 
 UNIT = ("bucket", "i", "j")
@@ -318,8 +319,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
-    """One row per document row: id, n_shingles, component_id (smallest id reached over links), kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, text_hash: bool = False) -> DataFrame:
+    """One row per document row: id, n_shingles, component_id (smallest id reached over links), kept; with `text_hash` also the text's xxhash64.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets.
     Null and empty texts have no shingles and no links; a null id is linked with nothing and
@@ -329,6 +330,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold = percent / 100
     source = numbered(docs, id_col, text_col)
     source = source.withColumn("id", F.col("id").cast("long"))
+    if text_hash:
+        source = source.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     signed = cut(_signed(source, size, rows_per_band(threshold)))
     named = signed.filter("set_hash IS NOT NULL AND id IS NOT NULL")
     # One representative per set: its smallest id.
@@ -383,6 +386,6 @@ def _labelled(signed: DataFrame, sets: DataFrame, roots: DataFrame, id_col: str)
     keyed = sets.select("set_hash", F.xxhash64("set_hash").alias("node"), "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = keyed.groupBy("root").agg(F.min("rep").alias("component"))
     named = keyed.join(lowest, "root").select("set_hash", "component")
-    out = signed.select("id", "n", "set_hash").join(named, "set_hash", "left")
+    out = signed.drop("bands", "places").join(named, "set_hash", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), *[c for c in signed.columns if c == "text_hash"])

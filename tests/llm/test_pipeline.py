@@ -34,3 +34,11 @@ def test_stages_agree_with_the_operators(spark, tmp_path):
     whole = corpus_pipeline.run(spark, FOLDER)
     assert sorted((r.doc_id, r.ids_sha256) for r in whole.collect()) == sorted((r.doc_id, r.ids_sha256) for r in docs.collect())
     assert {r.doc_id for r in whole.collect()} == kept - dirty
+
+
+def test_near_copies_go_by_id_and_text(spark):
+    copied, clean = " ".join(f"word{k}" for k in range(80)), " ".join(f"other{k}" for k in range(80))
+    rows = [(1, copied), (5, copied + " end"), (5, clean), (5, None), (None, copied), (None, copied), (7, clean), (8, copied)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(out, key=str) == sorted([rows[k] for k in (0, 2, 3, 4, 5)], key=str)
