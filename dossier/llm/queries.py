@@ -7,7 +7,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, decontamination, license_scan, line_dedup, near_dedup, pii, secret_scan, topk, toxicity, warc
+from dossier.llm import bpe, centroids, decontamination, filter_audit, license_scan, line_dedup, near_dedup, pii, secret_scan, topk, toxicity, warc
 from dossier.llm.registry import QUERIES, SQL, query
 from dossier.session import shared_dir
 
@@ -53,6 +53,55 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN lead_id < page_id THEN lead_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first_of AS (SELECT text, min(doc_id) AS first_id FROM t GROUP BY text),
+mark AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(first_id < t.doc_id, false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM t JOIN first_of USING (text) LEFT JOIN mark ON mark.doc_id = t.doc_id),
+m AS (SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+g AS (SELECT part, filter_order, step, n, good, toxic,
+    least(CASE WHEN a THEN strpos(filter_order, 'A') END, CASE WHEN b THEN strpos(filter_order, 'B') END, CASE WHEN c THEN strpos(filter_order, 'C') END,
+      CASE WHEN d THEN strpos(filter_order, 'D') END, CASE WHEN e THEN strpos(filter_order, 'E') END, 6) AS gone,
+    CASE filter_order[step] WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails
+  FROM m, o, unnest([1, 2, 3, 4, 5]) AS s(step)),
+r AS (SELECT part, filter_order, step, coalesce(sum(n) FILTER (gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone < step), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND n_fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost
+  FROM g GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM r
+"""
+
+
+def _rounds_sql(rounds: int = 10, centroids: int = 8) -> str:
+    """The rounds of clustering, each as two tables: the assignment and the centroids after it."""
+    start = """
+v AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), n) - 1 AS c, n AS m FROM v WHERE vec_id IS NOT NULL QUALIFY c < %d)""" % centroids
+    parts = [start]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (SELECT k, arg_min(c, distance * 100 + c) AS c, min(distance) AS distance
+  FROM (SELECT k, c, list_sum(list_transform(list_zip(n, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM v, c{i}) GROUP BY k)""")
+        if i < rounds:
+            parts.append(f"""
+u{i} AS (SELECT c, i, sum(n[i])::BIGINT AS s, count(*) AS z FROM a{i} JOIN v USING (k), unnest(generate_series(1, 64)) AS t(i) GROUP BY c, i),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(moved, m) AS m FROM c{i} LEFT JOIN
+  (SELECT c, list(((s - ((s % z) + z) % z) // z)::BIGINT ORDER BY i) AS moved FROM u{i} GROUP BY c) USING (c))""")
+    return f"""WITH {",".join(parts)}
+SELECT vec_id, c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (k) JOIN c{rounds} USING (c)
+"""
+
+
+OP13_SQL = _rounds_sql()
 
 
 @query("op2_bpe")
@@ -127,3 +176,15 @@ def op8_licenses(spark, folder):
     found = license_scan.scan_texts(spark.read.parquet(f"{folder}/documents.parquet"))
     spans = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["name"], x["coverage"], x["start"], x["end"])), ",")
     return found.select("doc_id", "n_found", "best", spans.alias("licenses"))
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark, folder):
+    """What every order of five filters removes from each source."""
+    return filter_audit.audit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op13_centroids", OP13_SQL)
+def op13_centroids(spark, folder):
+    """Ten rounds of eight centroids over every vector, in exact whole numbers."""
+    return centroids.cluster_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
