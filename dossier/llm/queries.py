@@ -7,7 +7,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, centroids, decontamination, filter_audit, license_scan, line_dedup, near_dedup, pii, secret_scan, topk, toxicity, warc
+from dossier.llm import bpe, centroids, decontamination, filter_audit, language_model, license_scan, line_dedup, near_dedup, pii, secret_scan, topk, toxicity, warc
 from dossier.llm.registry import QUERIES, SQL, query
 from dossier.session import shared_dir
 
@@ -184,6 +184,12 @@ def op11_filter_audit(spark, folder):
     return filter_audit.audit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+@query("op12_lm_scores")
+def op12_lm_scores(spark, folder):
+    """Score every document under the model learned from six of seven."""
+    return language_model.score_texts(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
 @query("op13_centroids", OP13_SQL)
 def op13_centroids(spark, folder):
     """Ten rounds of eight centroids over every vector, in exact whole numbers."""
