@@ -1,83 +1,55 @@
 """Which texts contain which names, without comparing every text with every name.
 
-Each name is looked up by one anchor, a run of bytes of it that few other names share.
-Texts and anchors meet in an equi join, and only these meetings are tested. Before the
-join, a table of fixed size tells in each task which runs of a text can be an anchor at
-all, so a text sends a few rows and not one per character. This is exact for names of any
-length, no text is shortened, and rows with equal or missing keys are told apart.
+Names are dealt into byte tries of bounded size, and every task walks its texts through
+them, whole Arrow batches at once. What is found comes back as a column beside the text, so
+no text or row is shuffled, keys may repeat or be missing, and rows need no number. A list
+of names beyond one trie gives several, each with its own pass over the batch. This is
+exact for names of any length and number, and no text is shortened.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier import functions as fn
+from dossier.operators import tries
 from dossier.operators.ranking import first_per
 from dossier.session import cut, find_package
 
-ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
-TABLE_BITS = 20
+#: Bytes of names in one trie: what a task holds of it at a time is some fifteen times that.
+SHARD_BYTES = 4 << 20
 
 
-def _runs(text: bytes, length: int) -> np.ndarray:
-    """A hash of every run of ``length`` bytes."""
-    data = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    total = np.full(n, length, dtype=np.uint64)
-    for i in range(length):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + data[i : i + n] + np.uint64(1)
-    total = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return total ^ (total >> np.uint64(32))
+def found_in(text: Column, names: DataFrame, alone: bool = False) -> Column:
+    """The rows of `names` whose `needle` a text contains, as an array in no set order.
 
-
-def _longs(batches: Iterator[pa.Array], of: Callable[[bytes], np.ndarray]) -> Iterator[pa.Array]:
-    for batch in batches:
-        found = [np.unique(of((t or "").encode())).view(np.int64) for t in batch.to_pylist()]
-        ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-        yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found])))
-
-
-def _anchors(needles: DataFrame) -> DataFrame:
-    """(needle, anchor): per name its least shared run of the longest length that fits."""
-    find_package(needles.sparkSession)
-
-    @F.arrow_udf("array<long>")
-    def runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _longs(batches, lambda t: _runs(t, next((n for n in ANCHOR_LENGTHS if n <= len(t)), 1)))
-
-    rows = needles.select("needle", F.explode(runs("needle")).alias("anchor"))
-    shared = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("_names"))
-    return (
-        rows.join(shared, "anchor")
-        .groupBy("needle")
-        .agg(F.min_by("anchor", F.struct("_names", "anchor")).alias("anchor"))
-    )
+    Needles are different and not empty. With `alone`, no letter or digit may touch them.
+    The names come to the driver one trie at a time, which SHARD_BYTES bounds.
+    """
+    spark = names.sparkSession
+    find_package(spark)
+    names = cut(names)
+    size = names.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    dealt = [names] if shards == 1 else [names.filter(F.pmod(F.xxhash64("needle"), F.lit(shards)) == i) for i in range(shards)]
+    return F.concat(*[_udf(part, alone)(text) for part in dealt])
 
 
-def _possible(anchors: DataFrame):
-    """UDF from a text to those of its runs that may be anchors, by a table of 2^TABLE_BITS bits."""
-    slot = F.shiftrightunsigned("anchor", 64 - TABLE_BITS).cast("int")
-    slots = anchors.select(slot.alias("slot")).distinct().toArrow()  # at most 2^TABLE_BITS numbers
-    table = np.zeros(1 << TABLE_BITS, dtype=bool)
-    table[slots.column("slot").to_numpy()] = True
-    packed = anchors.sparkSession.sparkContext.broadcast(np.packbits(table))
+def _udf(names: DataFrame, alone: bool):
+    table = names.toArrow().combine_chunks()
+    rows = pa.StructArray.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], fields=list(table.schema))
+    shared = names.sparkSession.sparkContext.broadcast((tries.build(table.column("needle").combine_chunks()), rows))
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf(T.ArrayType(names.schema))
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = np.unpackbits(packed.value).astype(bool)
-
-        def runs(text: bytes) -> np.ndarray:
-            every = [_runs(text, n) for n in ANCHOR_LENGTHS]
-            return np.concatenate([r[known[r >> np.uint64(64 - TABLE_BITS)]] for r in every])
-
-        return _longs(batches, runs)
+        trie, listed = shared.value
+        for batch in batches:
+            yield tries.named_in(trie, listed, batch, alone)
 
     return find
 
@@ -86,17 +58,6 @@ def _needles(names: DataFrame, name: str) -> DataFrame:
     return names.withColumn("needle", F.lower(F.col(name))).filter(F.length("needle") > 0)
 
 
-def _meetings(texts: DataFrame, text: str, needles: DataFrame, accept: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """Rows of ``texts``, as ``_row``, with a number of their own and each accepted name in them."""
-    anchors = cut(_anchors(needles.select("needle").distinct()))
-    rows = texts.select(F.monotonically_increasing_id().alias("_id"), F.struct(*texts.columns).alias("_row"), F.lower(F.col(text)).alias("_text"))
-    runs = rows.select("*", F.explode(_possible(anchors)("_text")).alias("anchor"))
-    test = F.contains("_text", F.col("needle"))
-    if accept is not None:
-        test = test & accept(F.col("_text"), F.col("needle"))
-    return runs.join(anchors, "anchor").filter(test).select("_id", "_row", "needle")
-
-
 def contained_names(
     texts: DataFrame,
     keys: Sequence[str],
@@ -110,27 +71,29 @@ def contained_names(
     Every row of ``texts`` stands for itself, whatever its keys are. ``accept(text,
     needle)`` may narrow the matches.
     """
-    found = _meetings(texts, text, _needles(names, name), accept)
-    return found.select(*[F.col("_row").getField(k).alias(k) for k in keys], "needle")
+    needles = _needles(names, name).select("needle").distinct()
+    low = F.lower(F.col(text))
+    found = found_in(low, needles)
+    if accept is not None:
+        found = F.filter(found, lambda x: accept(low, x["needle"]))
+    return texts.select(*keys, F.explode(found).alias("_found")).select(*keys, "_found.needle")
 
 
 def longest_name(
     texts: DataFrame,
     text: str,
     names: DataFrame,
-    accept: Callable[[Column, Column], Column],
     result: str,
+    alone: bool = False,
+    accept: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Add the longest accepted name a text contains, NULL without one; equals by name."""
-    longest = F.min(F.when(F.col("needle").isNotNull(), F.struct((-F.length("needle")).alias("l"), F.col("needle").alias("n"))))
-    # A row without a name takes part with none, so that every row comes back once.
-    anchors = cut(_anchors(_needles(names, "name").select("needle").distinct()))
-    rows = texts.select(F.monotonically_increasing_id().alias("_id"), F.struct(*texts.columns).alias("_row"), F.lower(fn.text(text)).alias("_text"))
-    runs = rows.select("*", F.explode_outer(_possible(anchors)("_text")).alias("anchor"))
-    met = runs.join(anchors, "anchor", "left")
-    meant = F.contains("_text", F.col("needle")) & accept(F.col("_text"), F.col("needle"))
-    met = met.withColumn("needle", F.when(meant, F.col("needle")))
-    return met.groupBy("_id").agg(F.any_value("_row").alias("_row"), longest.alias("_best")).select("_row.*", F.col("_best.n").alias(result))
+    low = F.lower(fn.text(text))
+    found = found_in(low, _needles(names, "name").select("needle").distinct(), alone)
+    if accept is not None:
+        found = F.filter(found, lambda x: accept(low, x["needle"]))
+    best = F.array_min(F.transform(found, lambda x: F.struct((-F.length(x["needle"])).alias("l"), x["needle"].alias("n"))))
+    return texts.withColumn(result, best["n"])
 
 
 def whole_word(text: Column, word: str) -> Column:
@@ -154,9 +117,11 @@ def corroborate(
     name: str = "name",
     order: str = "position",
 ) -> DataFrame:
-    """Posts whose title mentions a victim, with the first such victim in list order."""
+    """Posts whose title mentions a victim, with the first such victim in list order; equals by name."""
     listed = first_per(_needles(names, name), "needle", order)
-    listed = cut(listed.select("needle", F.col(name).alias("_name"), F.col(order).alias("_order")))
-    found = _meetings(posts.filter(fn.text(title) != ""), title, listed, None).join(listed, "needle")
-    first = found.groupBy("_id").agg(F.any_value("_row").alias("_row"), F.min_by("_name", "_order").alias("matched_victim"))
-    return first.select("_row.*", "matched_victim")
+    listed = listed.select("needle", F.col(name).alias("_name"), F.col(order).alias("_order"))
+    found = found_in(F.lower(F.col(title)), listed)
+    first = F.slice(F.array_sort(F.transform(found, lambda x: F.struct(x["_order"].alias("o"), x["_name"].alias("n")))), 1, 1)
+    # An explosion, as a filter on what was found would be pushed down and find it twice.
+    told = posts.filter(fn.text(title) != "").select("*", F.explode(first).alias("_first"))
+    return told.withColumn("matched_victim", F.col("_first.n")).drop("_first")

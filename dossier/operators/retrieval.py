@@ -15,7 +15,7 @@ from dossier import functions as fn
 from dossier import rules
 from dossier.operators import graph as gr
 from dossier.operators.insights import coverage
-from dossier.operators.matching import longest_name, stands_alone, whole_word
+from dossier.operators.matching import longest_name, whole_word
 from dossier.operators.ranking import first_per, top_n, top_n_per
 from dossier.operators.search import by_group_prefix, by_sector, incidents_by_group, latest
 from dossier.session import cut
@@ -59,11 +59,9 @@ def detect_group(
     for word, canonical in aliases.items():
         test = whole_word(text, word)
         alias = F.when(test, canonical) if alias is None else alias.when(test, canonical)
-    meant = lambda t, needle: stands_alone(t, needle) & (
-        ~needle.isin(list(ordinary)) | t.rlike(rules.GROUP_INTENT)
-    )
+    meant = lambda t, needle: ~needle.isin(list(ordinary)) | t.rlike(rules.GROUP_INTENT)
     names = groups.filter(F.length("name") >= 3)
-    found = longest_name(questions, "question", names, meant, "_found")
+    found = longest_name(questions, "question", names, "_found", alone=True, accept=meant)
     return found.withColumn(
         "group", F.coalesce(alias, "_found") if alias is not None else F.col("_found")
     ).drop("_found")
