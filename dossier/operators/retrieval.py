@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from dossier import functions as fn
 from dossier import rules
+from dossier.operators import adjacency
 from dossier.operators import graph as gr
+from dossier.operators.adjacency import Adjacency
 from dossier.operators.insights import coverage
 from dossier.operators.matching import longest_name, whole_word
 from dossier.operators.ranking import first_per, top_n, top_n_per
@@ -166,13 +168,18 @@ def top_evidence(hits: DataFrame, k: int = 6, id: str = "id") -> DataFrame:
     return top_n(hits, max(k, 8), F.desc("score"), id)
 
 
-def expand_hits(hits: DataFrame, g: gr.Graph) -> DataFrame:
-    """Evidence of retrieved nodes: neighbour names, cited URLs, score to three digits."""
+def expand_hits(hits: DataFrame, g: gr.Graph | Adjacency) -> DataFrame:
+    """Evidence of retrieved nodes: neighbour names, cited URLs, score to three digits.
+
+    A stored adjacency table answers from the buckets of the hits; a graph is scanned.
+    """
     ids = hits.select("label", "id")
+    if isinstance(g, Adjacency):
+        found = hits.join(adjacency.surroundings(g, ids.distinct()), ["label", "id"], "left")
+    else:
+        found = hits.join(gr.neighbour_context(g, ids, 6), ["label", "id"], "left").join(gr.cited_sources(g, ids, 4), ["label", "id"], "left")
     return (
-        hits.join(gr.neighbour_context(g, ids, 6), ["label", "id"], "left")
-        .join(gr.cited_sources(g, ids, 4), ["label", "id"], "left")
-        .select(
+        found.select(
             F.col("label").alias("type"), F.round("score", 3).alias("score"), "text", "linked", "urls"
         )
         .orderBy(F.desc("score"), "text")

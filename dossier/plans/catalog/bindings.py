@@ -8,12 +8,16 @@ whole tables; the SQL texts state the same rows for the oracle.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import rules
+from dossier.operators.adjacency import Adjacency
 from dossier.operators.graph import Graph, build_graph
+from dossier.session import shared_dir
+from dossier.sources import writers
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -340,6 +344,17 @@ def graph(spark: SparkSession, folder: str) -> Graph:
     return build_graph(records(spark, folder), synthesis(spark, folder), raw_postings(spark, folder))
 
 
+_STORED: dict[tuple[str, str], Adjacency] = {}
+
+
+def adjacency(spark: SparkSession, folder: str) -> Adjacency:
+    """The adjacency table of the graph, written to the shared folder when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        _STORED[key] = writers.write_adjacency(graph(spark, folder), f"{shared_dir(spark)}/adjacency-{uuid4().hex}")
+    return _STORED[key]
+
+
 # --- questions, posts, vectors -------------------------------------------------
 
 

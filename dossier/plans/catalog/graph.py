@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dossier.operators import adjacency
 from dossier.operators import graph as gr
 from dossier.operators import patterns as pt
 from dossier.plans.catalog import bindings as b
@@ -312,8 +313,7 @@ def neighbours(spark, folder):
     SELECT label, id, coalesce(string_agg(name, '|' ORDER BY name), '') AS linked FROM asked LEFT JOIN t USING (label, id) GROUP BY 1, 2""",
 )
 def neighbour_context(spark, folder):
-    g = b.graph(spark, folder)
-    rows = gr.neighbour_context(g, _asked(g))
+    rows = adjacency.neighbour_context(b.adjacency(spark, folder), _asked(b.graph(spark, folder)))
     return rows.select("label", "id", F.array_join("linked", "|").alias("linked"))
 
 

@@ -172,7 +172,7 @@ def expand_hits(spark, folder):
         .orderBy(F.desc("score"), "id")
         .limit(8)
     )
-    rows = rt.expand_hits(hits, g)
+    rows = rt.expand_hits(hits, b.adjacency(spark, folder))
     return rows.select("type", "score", "text", F.array_join("linked", "|").alias("linked"), F.array_join("urls", "|").alias("urls"))
 
 

@@ -6,15 +6,18 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dossier import functions as fn
 from dossier import schemas
+from dossier.operators.adjacency import BUCKETS, Adjacency, adjacency_rows, bucket_of
 from dossier.operators.graph import Graph
 from dossier.operators.ranking import first_per
 from dossier.operators.tables import distinct_sources, require
+from dossier.session import cut
 
-#: Tasks that write one folder.
-FOLDER_PARTS = 4
+#: Rows that one task writes, some per cent less as a rule.
+TASK_ROWS = 1_000_000
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
@@ -48,16 +51,32 @@ def write_collections(tables: Mapping[str, DataFrame], out: str, format: str = "
         writer.format(format).save(f"{out}/{name}")
 
 
-def _dealt(df: DataFrame, folder: str) -> DataFrame:
-    """Rows of one output folder in few tasks, a large folder in FOLDER_PARTS of them."""
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(FOLDER_PARTS))
-    return df.repartition(F.col(folder), part)
+def dealt(df: DataFrame, folder: str, *order: Column | str) -> DataFrame:
+    """Rows for folders, dealt into tasks by the size of each folder.
+
+    The rows are stored and counted first: a folder gets a task of its own per TASK_ROWS
+    rows (less a tenth, as they are dealt by a hash of their place), so a hot folder is
+    written by many tasks and a small one as one file. Inside a task rows stand in the given
+    order.
+    """
+    rows = cut(df)
+    counts = rows.groupBy(folder).agg(F.count(F.lit(1)).alias("_n"))
+    parts = counts.select(folder, F.ceil(F.col("_n") / (0.9 * TASK_ROWS)).alias("_parts"))
+    before = Window.orderBy(folder).rowsBetween(Window.unboundedPreceding, -1)
+    plan = cut(parts.withColumn("_first", F.coalesce(F.sum("_parts").over(before), F.lit(0))))  # one row per folder
+    tasks = plan.agg(F.sum("_parts")).first()[0] or 1
+    # Stored rows keep their place, so a task that is run again deals them alike.
+    placed = rows.withColumn("_place", F.xxhash64(F.monotonically_increasing_id()))
+    named = placed.join(F.broadcast(plan.withColumnRenamed(folder, "_folder")), F.col(folder).eqNullSafe(F.col("_folder")))
+    task = (F.col("_first") + F.pmod("_place", "_parts")).cast("int")
+    out = named.repartitionById(tasks, task).select(*df.columns)
+    return out.sortWithinPartitions(folder, *order) if order else out
 
 
 def write_by_sector(raw: DataFrame, out: str, format: str = "json") -> None:
     """Postings in one folder per sector slug; a large sector becomes several files."""
     df = raw.withColumn("sector_slug", fn.sector_slug("activity")).drop("_pos")
-    writer = _dealt(df, "sector_slug").write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    writer = dealt(df, "sector_slug").write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     writer.partitionBy("sector_slug").format(format).save(out)
 
 
@@ -75,7 +94,14 @@ def write_nodes(g: Graph, out: str) -> None:
 def write_edges(g: Graph, out: str) -> None:
     """Edge files in one folder per type, written in one pass."""
     columns = ["type", "from", "from_label", "to", "to_label"]
-    _csv(_dealt(as_text(g.edges.select(columns)), "type")).partitionBy("type").csv(f"{out}/rels")
+    _csv(dealt(as_text(g.edges.select(columns)), "type")).partitionBy("type").csv(f"{out}/rels")
+
+
+def write_adjacency(g: Graph, path: str, buckets: int = BUCKETS) -> Adjacency:
+    """Both directions of every edge in hash buckets of their first end, each sorted by it; a hub's bucket is several files."""
+    rows = adjacency_rows(g).withColumn("bucket", bucket_of(buckets))
+    dealt(rows, "bucket", "label", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return Adjacency(path=path, buckets=buckets, spark=rows.sparkSession)
 
 
 def bulk_victims(raw: DataFrame) -> DataFrame:

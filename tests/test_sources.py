@@ -104,3 +104,16 @@ def test_bulk_rows(spark):
     row = writers.bulk_victims(df).collect()
     assert [tuple(r) for r in row] == [("v", "s", "g", "c", "2020-01-02", "", "d", "1 GB", "yes", "")]
     assert writers.as_text(df.select(F.lit(None).alias("n"))).first().n == ""
+
+
+def test_a_hot_folder_is_dealt_by_its_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "TASK_ROWS", 2000)
+    many = [("v", "Hot One")] * 18_000 + [(f"w{i}", f"s{i % 4}") for i in range(400)]
+    df = spark.createDataFrame(many, "victim string, activity string").repartition(3)
+    writers.write_by_sector(df, str(tmp_path / "s"))
+    files = {p.name: [len(f.read_text().splitlines()) for f in p.glob("part-*")] for p in (tmp_path / "s").glob("sector_slug=*")}
+    assert sum(files["sector_slug=hot_one"]) == 18_000 and len(files["sector_slug=hot_one"]) >= 9
+    assert max(files["sector_slug=hot_one"]) <= 2000
+    assert [files[f"sector_slug=s{i}"] for i in range(4)] == [[100]] * 4
+    assert spark.read.json(str(tmp_path / "s")).count() == 18_400
+    writers.write_by_sector(df.limit(0), str(tmp_path / "none"))
