@@ -16,7 +16,7 @@ from dossier.operators import tables
 from dossier.plans.catalog import bindings as b
 from dossier.plans.catalog.registry import query
 from dossier.session import shared_dir
-from dossier.sources import readers, writers
+from dossier.sources import keyed, readers, writers
 from dossier.streaming import loads
 
 
@@ -223,6 +223,28 @@ def upsert(spark, folder):
     return writers.upsert(base, updates, "c_custkey", F.desc("o_orderkey"))
 
 
+@query(
+    "upsert_buckets",
+    """WITH u AS (SELECT o_custkey AS c_custkey, arg_max('order ' || o_orderkey, o_orderkey) AS c_name, arg_max(o_totalprice, o_orderkey) AS c_acctbal
+        FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+    SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT * FROM u""",
+)
+def upsert_buckets(spark, folder):
+    """The same replacement in a table stored by buckets, applied twice."""
+    base = b.table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    stored = keyed.create(base, new_folder(spark), "c_custkey", buckets=16)
+    pending = b.table(spark, folder, "orders").filter("o_orderstatus = 'P'")
+    updates = pending.select(
+        F.col("o_custkey").alias("c_custkey"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("c_name"),
+        F.col("o_totalprice").alias("c_acctbal"),
+        "o_orderkey",
+    )
+    for _ in range(2):
+        stored.upsert(updates, F.desc("o_orderkey"))
+    return stored.rows()
+
+
 # --- streaming ------------------------------------------------------------------
 
 
@@ -265,6 +287,21 @@ def replace_by_key(spark, folder):
     return rows.select("user_id", "event_type", "event_id")
 
 
+@query(
+    "replace_in_buckets",
+    "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1",
+)
+def replace_in_buckets(spark, folder):
+    """The last event per user, streamed into a table stored by buckets that starts with the events of the first users."""
+    path = new_folder(spark)
+    events = b.table(spark, folder, "events").select("user_id", "event_type", "event_id")
+    early = events.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("event_type"), F.min("event_id").alias("event_id"))
+    stored = keyed.create(early, f"{path}/table", "user_id", buckets=16)
+    stream = _landed_in_order(spark, folder).select("user_id", "event_type", "event_id")
+    loads.replace_in_buckets(stream, stored, f"{path}/checkpoint", F.desc("event_id")).awaitTermination()
+    return stored.rows()
+
+
 @query("first_per_victim", "SELECT 'user ' || user_id AS victim_key, min(event_id) AS event_id FROM events GROUP BY 1")
 def first_per_victim(spark, folder):
     """The first record of each user over two micro-batches."""

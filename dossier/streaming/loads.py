@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dossier.operators.intake import victim_key
 from dossier.operators.ranking import first_per
+from dossier.sources.keyed import KeyedTable
 
 
 def file_stream(
@@ -65,28 +66,46 @@ def compact(spark: SparkSession, out: str, target: str, key: str, *order: Column
     current_rows(spark, out, key, *order).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
+def replace_in_buckets(stream: DataFrame, table: KeyedTable, checkpoint: str, *order: Column | str) -> StreamingQuery:
+    """Keyed load into a bucketed table: a micro-batch rewrites the buckets of its keys and no other.
+
+    Within a batch the first row per key in the given order counts, between batches the
+    later one. A repeated batch leaves the same rows.
+    """
+    return (
+        stream.writeStream.foreachBatch(lambda batch, number: table.upsert(batch, *order))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def first_per_victim(
     stream: DataFrame, out: str, checkpoint: str, *order: Column | str, victim: str = "victim"
 ) -> StreamingQuery:
     """First record per victim over the life of the stream, as a log of new victims per micro-batch.
 
-    Within a batch the given order decides, between batches the earlier one. A repeated
-    batch overwrites its folder and does not look at it, so it comes out the same.
+    The first records are the state of a streaming aggregate, so a micro-batch looks at its
+    own victims only and costs the same however long the log is. Rows are compared by the
+    time of their micro-batch, which a repeated batch keeps, and then by ``order``,
+    ascending. A victim is written by the batch in which it is first seen. Partial results
+    merge before the shuffle, so a victim with very many rows is no burden.
     """
     if not order:
         raise ValueError("name the order that tells which record of a victim is the first")
+    row = F.struct(*[F.col(f"`{c}`") for c in stream.columns])
+    keyed = stream.select(victim_key(victim).alias("victim_key"), F.current_timestamp().alias("_at"), F.struct(*order).alias("_order"), row.alias("_row"))
+    seen = keyed.filter(F.col("victim_key") != "").groupBy("victim_key").agg(
+        F.min_by("_row", F.struct("_at", "_order")).alias("_row"), F.min("_at").alias("_first"), F.max("_at").alias("_last")
+    )
+    fresh = seen.filter(F.col("_first") == F.col("_last")).select("_row.*", "victim_key")
 
     def land(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.withColumn("victim_key", victim_key(victim)).filter(F.col("victim_key") != "")
-        first = first_per(keyed, "victim_key", *order)
-        if number > 0:
-            known = spark.read.schema("victim_key string, batch long").parquet(out).filter(F.col("batch") < number)
-            first = first.join(known.select("victim_key"), "victim_key", "left_anti")
-        first.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
-        stream.writeStream.foreachBatch(land)
+        fresh.writeStream.foreachBatch(land)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
