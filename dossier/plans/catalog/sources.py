@@ -152,6 +152,23 @@ def write_by_sector(spark, folder):
     return spark.read.schema(schema).json(path).select("sector_slug", *fields[:-1])
 
 
+@query(
+    "posting_lists",
+    f"""WITH {b.RAW_POSTINGS} SELECT victim, activity, "group", '}} \\ " ] ,' || "group" AS description FROM raw WHERE victim <> ''""",
+)
+def posting_lists(spark, folder):
+    """Postings written as JSON lists, one file each for sixteen parts, and read by ranges of their bytes."""
+    path = new_folder(spark)
+    raw = b.raw_postings(spark, folder)
+    part = F.pmod(F.xxhash64("_pos"), F.lit(16)).cast("int").alias("part")
+    entry = F.to_json(F.struct("victim", "activity", "group", F.concat(F.lit("} \\ \" ] ,"), F.col("group")).alias("description")))
+    lines = raw.select(part, F.lit(1).alias("slot"), F.concat(F.lit(", "), entry).alias("value"))
+    ends = spark.range(16).select(F.col("id").cast("int").alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("slot"), F.lit('[{"victim": ""}').alias("value")), F.struct(F.lit(2), F.lit("]")))).alias("e"))
+    every = lines.unionByName(ends.select("part", "e.slot", "e.value")).repartition(16, "part").sortWithinPartitions("part", "slot")
+    every.select("part", "value").write.partitionBy("part").text(path)
+    return readers.read_postings_json(spark, path, "*.txt").select("victim", "activity", "group", "description")
+
+
 @query(
     "write_collections",
     f"""WITH {b.CATEGORIES}, k AS (SELECT type, {b.sql_norm_key("category")} AS key FROM cats) SELECT type, count(DISTINCT key) AS n FROM k WHERE key <> '' GROUP BY 1""",

@@ -17,6 +17,7 @@ from dossier import functions as fn
 from dossier import schemas
 from dossier.operators.graph import Graph, merge_edges
 from dossier.operators.tables import require
+from dossier.sources import ranges
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -26,8 +27,21 @@ def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def read_postings_json(spark: SparkSession, path: str, glob: str = "sector_*.json") -> DataFrame:
-    """Posting pulls: one JSON array per file. Files that are no array give no rows."""
-    return posting_files(_whole_files(spark, path, glob))
+    """Posting pulls: one JSON list of objects per file, read by many tasks where a file is large.
+
+    A file that is no such list, or holds anything that is no JSON, gives no rows.
+    """
+    parts = ranges.records(spark, path, ranges.JSON_LIST, glob)
+    first = F.col("block") == -1
+    body = F.regexp_extract("text", r"(?s)^[\s\uFEFF]*[\[,]\s*(\{.*)$", 1)
+    begun = F.when(first, F.rlike("text", F.lit(r"^[\s\uFEFF]*\["))).otherwise(F.rlike("text", F.lit(r"^\s*,")))
+    parsed = F.from_json(body, T.StructType([*schemas.POSTING.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
+    closed = F.rlike("text", F.lit(r"^\s*\]\s*\}$")) & ~first  # the last brace is the cut's own
+    rows = parts.withColumn("_p", F.when(~F.col("rest"), parsed))
+    fine = F.when(F.col("rest"), closed).otherwise(begun & (body != "") & F.col("_p._bad").isNull())
+    broken = rows.filter(~fine).select("file").distinct()
+    kept = rows.filter(~F.col("rest")).join(broken, "file", "left_anti")
+    return require(kept.select("_p.*", F.struct("file", "block", "slot").alias("_pos")).drop("_bad"), "victim")
 
 
 def posting_files(files: DataFrame) -> DataFrame:
@@ -42,17 +56,12 @@ def posting_files(files: DataFrame) -> DataFrame:
 def read_postings_csv(spark: SparkSession, path: str) -> DataFrame:
     """The compact posting CSV under the raw feed's column names; absent columns are blank."""
     header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_bad"]])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("columnNameOfCorruptRecord", "_bad")
-        .option("columnPruning", False)
-        .csv(path)
-    )
-    rows = require(rows, "victim")
+    schema = ", ".join(f"`{c}` STRING" for c in [*header, "_bad"])
+    parts = ranges.records(spark, path, ranges.CSV).filter(F.col("block") != -1)  # without each file's header
+    parts = parts.withColumn("text", F.regexp_replace("text", r"(\r?\n)?\r?$", "")).filter(fn.strip("text") != "")
+    options = {"escape": '"', "columnNameOfCorruptRecord": "_bad", "maxCharsPerColumn": "-1"}
+    parsed = parts.select(F.from_csv("text", F.lit(schema), options).alias("_r"), F.struct("file", "block", "slot").alias("_pos"))
+    rows = require(parsed.select("_r.*", "_pos"), "victim")
     rows = rows.filter(F.col("_bad").isNull() | F.contains("_bad", F.lit(",")))
     value = lambda c: fn.text(c) if c in header else F.lit("")
     fields = {
@@ -71,9 +80,7 @@ def read_postings_csv(spark: SparkSession, path: str) -> DataFrame:
     }
     return rows.select(
         *[c.alias(name) for name, c in fields.items()],
-        F.struct(
-            F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("slot")
-        ).alias("_pos"),
+        "_pos",
     )
 
 
@@ -91,20 +98,29 @@ def load_postings(spark: SparkSession, raw_dir: str, csv_path: str) -> tuple[Dat
 
 
 def read_journal(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Industry records from run journals, in journal and line order; missing files are skipped."""
+    """Industry records from run journals, in journal and line order; missing journals are skipped.
+
+    ``_pos`` is (number of the path, file, block, line): a journal may be a file or a folder,
+    and keeps its order however its files are cut into splits.
+    """
     journals = []
-    for path in paths:
+    for number, path in enumerate(paths):
         try:
-            journals.append(spark.read.text(path))
+            lines = spark.read.text(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            continue
+        place = F.struct(
+            F.lit(number).alias("journal"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),  # rises inside a block
+        )
+        journals.append(lines.select("value", place.alias("_pos")))
     if not journals:
         return spark.createDataFrame([], schemas.INDUSTRY).withColumn("_pos", F.lit(0).cast("long"))
-    lines = reduce(DataFrame.unionByName, journals).withColumn(
-        "_pos", F.monotonically_increasing_id()
-    )
-    return journal_records(lines)
+    return journal_records(reduce(DataFrame.unionByName, journals))
 
 
 def journal_records(lines: DataFrame, line: str = "value", schema: T.StructType = schemas.INDUSTRY) -> DataFrame:
