@@ -35,10 +35,10 @@ TRAIN_RECORDS, TRAIN_BYTES, DICTIONARY_BYTES = 64, 1 << 20, 8 << 10
 # Magic numbers of the formats. The separator is a skippable frame without content.
 DICTIONARY_MAGIC, FRAME_MAGIC, DICTIONARY_HEAD = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
-VERSION = b"WARC/1.1"
-HEADERS = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "Content-Length")
+VERSION, VERSIONS = b"WARC/1.1", (b"WARC/1.1", b"WARC/1.0")
+HEADERS = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 
-RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, fault string, archive string"
+RECORD = "page_id long, record_id string, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, fault string, archive string"
 
 
 def record_of(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -60,37 +60,48 @@ def record_of(page: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parse_record(raw: bytes) -> dict:
-    """Fields of one record and its first fault, if any."""
-    out: dict = dict.fromkeys(("page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "fault"))
+    """Fields of one record and its first fault, if any.
+
+    Header names count in any case. Records other than responses and revisits come back
+    with their type and block. A SHA-256 digest is compared with the payload: the block, or
+    what follows the head of an HTTP message in it. Digests of other kinds are only returned.
+    """
+    out: dict = dict.fromkeys(("page_id", "record_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "fault"))
     head, gap, rest = raw.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
-    if lines[0] != VERSION or not gap:
+    if lines[0] not in VERSIONS or not gap:
         return out | {"fault": "version"}
     fields = {}
     for line in lines[1:]:
         name, colon, value = line.partition(b":")
         if not colon or not name:
             return out | {"fault": "header line"}
-        fields[name.decode("ascii", "replace")] = value.strip().decode("utf-8", "replace")
-    if missing := [h for h in HEADERS if h not in fields]:
+        fields[name.decode("ascii", "replace").lower()] = value.strip().decode("utf-8", "replace")
+    if missing := [h for h in HEADERS if h.lower() not in fields]:
         return out | {"fault": f"header {missing[0]} missing"}
     number = lambda text: int(x) if (x := text.removeprefix("<urn:page:").removesuffix(">")).lstrip("-").isdigit() else None
-    out |= {"page_id": number(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"]}
-    out["url"] = fields["WARC-Target-URI"].encode("ascii", "replace").decode("unicode_escape") or None
-    length = fields["Content-Length"]
+    name = fields["warc-record-id"]
+    out |= {"page_id": number(name), "record_id": name, "record_type": fields["warc-type"].lower()}
+    address = fields.get("warc-target-uri", "").removeprefix("<").removesuffix(">")
+    own = name.startswith("<urn:page:")  # this module's addresses are escaped
+    out["url"] = (address.encode("ascii", "replace").decode("unicode_escape") if own else address) or None
+    length = fields["content-length"]
     if not length.isdigit() or len(rest) != int(length) + 4 or rest[-4:] != b"\r\n\r\n":
         return out | {"fault": "length"}
     block = rest[:-4]
-    out["payload_digest"] = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    digest = fields.get("warc-payload-digest", "")
+    out["payload_digest"] = digest.removeprefix("sha256:") or None
     if out["record_type"] == "revisit":
-        if "WARC-Refers-To" not in fields or block or not fields.get("X-Payload-Length", "").isdigit():
+        if own and ("warc-refers-to" not in fields or block or not fields.get("x-payload-length", "").isdigit()):
             return out | {"fault": "revisit"}
-        return out | {"refers_to": number(fields["WARC-Refers-To"]), "payload_bytes": int(fields["X-Payload-Length"])}
-    if out["record_type"] != "response":
-        return out | {"fault": "type"}
-    if hashlib.sha256(block).hexdigest() != out["payload_digest"]:
+        size = fields.get("x-payload-length", "")
+        return out | {"refers_to": number(fields.get("warc-refers-to", "")), "payload_bytes": int(size) if size.isdigit() else None}
+    payload = block
+    if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
+    if digest.startswith("sha256:") and hashlib.sha256(payload).hexdigest() != out["payload_digest"].lower():
         return out | {"fault": "digest"}
-    return out | {"payload": block, "payload_bytes": len(block)}
+    return out | {"payload": payload, "payload_bytes": len(payload)}
 
 
 # --- writing --------------------------------------------------------------------
@@ -112,6 +123,7 @@ def frames_of(records: list[bytes]) -> tuple[bytes, zstandard.ZstdCompressor]:
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: list[bytes] = []
     compressor, size = None, 0
+    answered: set[tuple[int, str]] = set()  # ids and payloads that several rows repeat
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal compressor, waiting, size
@@ -124,10 +136,14 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
     for batch in batches:
-        page, url, html, digest, refers = (batch.column(k) for k in range(5))
+        page, url, html, digest, refers, repeats = (batch.column(k) for k in range(6))
         for k in range(batch.num_rows):
-            payload = (html[k].as_py() or "").encode()
-            waiting.append(record_of(page[k].as_py(), url[k].as_py(), payload, digest[k].as_py(), refers[k].as_py()))
+            payload, refers_to = (html[k].as_py() or "").encode(), refers[k].as_py()
+            if repeats[k].as_py():  # rows of one id are in one task: the first is the response
+                same = page[k].as_py(), digest[k].as_py()
+                refers_to = refers_to if same not in answered else page[k].as_py()
+                answered.add(same)
+            waiting.append(record_of(page[k].as_py(), url[k].as_py(), payload, digest[k].as_py(), refers_to))
             size += len(waiting[-1])
             if size >= TRAIN_BYTES or compressor is None and len(waiting) >= TRAIN_RECORDS:
                 yield from flush()
@@ -136,12 +152,12 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, html, digest, refers_to): which pages repeat another page's payload, dealt into archives.
+    """(page_id, url, html, digest, refers_to, repeats): which pages repeat another page's payload, dealt into archives.
 
-    Ties on the payload go to the smallest id; rows that repeat an id and payload are
-    revisits of each other only if another row has a smaller id, otherwise both are
-    responses. Rows without id are responses. Null html is an empty payload. The groups are
-    found on digests alone; payloads are shuffled once, by id, into archives of a mean size.
+    Ties on the payload go to the smallest id. Of rows that repeat that id and the payload
+    (`repeats`), the first in its archive is the response and the others revisit it. Rows
+    without id are responses. Null html is an empty payload. The groups are found on digests
+    alone; payloads are shuffled once, by id, into archives of a mean size.
     """
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
@@ -151,16 +167,23 @@ def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     short = cut(rows.select("page_id", digest.alias("digest"), F.octet_length("html").alias("bytes")))
     large = short.filter((F.col("bytes") >= LEAST_BYTES) & F.col("page_id").isNotNull())
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    refers = large.join(firsts, "digest").filter("first < page_id").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    alike = large.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("rows")).join(firsts, "digest")
+    mark = F.struct(F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"), (F.col("first") == F.col("page_id")).alias("repeats"))
+    refers = alike.filter("first < page_id OR rows > 1").select("page_id", F.struct("digest", mark).alias("entry"))
     archives = max(1, -(-(short.agg(F.sum("bytes")).first()[0] or 0) // ARCHIVE_BYTES))
     known = rows.filter("page_id IS NOT NULL").repartition(archives, "page_id").withColumn("digest", digest)
-    nameless = rows.filter("page_id IS NULL").select("*", digest.alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    joined = known.join(refers.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "refers_to"))).alias("of")), "page_id", "left")
-    return joined.select("page_id", "url", "html", "digest", F.try_element_at("of", F.col("digest")).alias("refers_to")).unionByName(nameless)
+    nameless = rows.filter("page_id IS NULL").select("*", digest.alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("repeats"))
+    joined = known.join(refers.groupBy("page_id").agg(F.map_from_entries(F.collect_list("entry")).alias("of")), "page_id", "left")
+    found = F.try_element_at("of", F.col("digest"))
+    return joined.select("page_id", "url", "html", "digest", found["refers_to"].alias("refers_to"), F.coalesce(found["repeats"], F.lit(False)).alias("repeats")).unionByName(nameless)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write one record per page into archives under `path`; an empty table writes no record."""
+    """Write one record per page into archives under `path`; an empty table writes no record.
+
+    A page is one record and one frame, however long it is. Archives with fewer than 16 first
+    records get no dictionary.
+    """
     find_package(pages.sparkSession)
     frames = marked(pages, id_col, url_col, html_col).mapInArrow(_frames, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", SEPARATOR).text(path)
@@ -169,8 +192,27 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 # --- reading --------------------------------------------------------------------
 
 
+def frame_end(view: memoryview, at: int) -> int | None:
+    """Where the frame that begins here ends, by its block headers; None if it is cut short."""
+    try:
+        head = bytes(view[at : at + 18])
+        place, checksum = at + zstandard.frame_header_size(head), zstandard.get_frame_parameters(head).has_checksum
+    except zstandard.ZstdError:
+        return None
+    while place + 3 <= len(view):
+        block = int.from_bytes(view[place : place + 3], "little")
+        place += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)  # a block of one repeated byte holds that byte
+        if block & 1:
+            place += 4 * checksum
+            return place if place <= len(view) else None
+    return None
+
+
 def records_in(content: bytes | memoryview) -> Iterator[tuple[bytes | None, str | None]]:
-    """(record, fault) for each frame of an archive. The leading skippable frame may hold a dictionary, itself compressed or not."""
+    """(record, fault) for each frame of an archive. The leading skippable frame may hold a dictionary, itself compressed or not.
+
+    Only one frame is decoded and held at a time.
+    """
     view = memoryview(content)
     decoder = zstandard.ZstdDecompressor()
     at, first = 0, True
@@ -190,17 +232,17 @@ def records_in(content: bytes | memoryview) -> Iterator[tuple[bytes | None, str
                 decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
             at += 8 + size
         elif magic == FRAME_MAGIC:
-            stream = decoder.decompressobj()
+            end = frame_end(view, at)
+            if end is None:
+                yield None, "frame cut short"
+                return
             try:
-                record = stream.decompress(view[at:])
+                record = decoder.decompressobj().decompress(view[at:end])
             except zstandard.ZstdError:
                 yield None, "frame damaged"
                 return
-            if not stream.eof:
-                yield None, "frame cut short"
-                return
             yield record, None
-            at = len(view) - len(stream.unused_data)
+            at = end
         else:
             yield None, "no frame"
             return
@@ -224,8 +266,13 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under `path`: ids, type, payload, its length and digest, and the fault if a check failed."""
+def read_archives(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """One row per record of the archives under `path`, whatever their files are called: ids, type, payload, its length and digest, and the fault if a check failed.
+
+    An archive is one file and is read whole by one task (a file of Spark's binary reader is
+    below 2 GB), its records one at a time. `glob` narrows the files.
+    """
     find_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     return files.select("path", "content").mapInArrow(_records, RECORD)
