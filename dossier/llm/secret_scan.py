@@ -1,8 +1,8 @@
 """Secrets in texts: candidates by form, false positives removed by a random forest.
 
 A candidate is a long run of key characters with letters and digits, or the value that
-follows a name such as `password=`: up to its closing quote or the next white space, with
-or without digits, from `LEAST_NAMED` characters on. The forest judges each by its length, character transitions,
+follows a name such as `password=`: up to its closing quote or the next white space,
+whatever its length and characters. The forest judges each by its length, character transitions,
 how much of it dictionary words cover, the path of its text and the words beside it. It
 is grown from the labelled findings below.
 """
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from dossier.llm.arrow_text import pieces, text_buffer, word_bytes, word_places
 from dossier.session import find_package
 
-LEAST_CHARS, LEAST_DIGITS, LEAST_NAMED = 12, 2, 7
+#: Unnamed runs below this are never candidates. Named values have no such bound.
+LEAST_CHARS, LEAST_DIGITS = 12, 2
 TREES, DEPTH, SEED = 60, 6, 11
 
 # Characters of keys, words that speak for or against a secret, dictionary words, path parts.
@@ -33,7 +34,7 @@ AGAINST = frozenset("sha1 sha256 md5 commit checksum digest hash uuid isbn examp
 DICTIONARY = (
     "example sample test demo dummy change changeme your here password secret token user admin default value none null true false "
     "http https www com org net html index page image file path name data node path build release version alpha beta report chapter figure "
-    "required optional disabled enabled available invalid missing expired unknown username email nothing something anything string number "
+    "yes off all abc required optional disabled enabled available invalid missing expired unknown username email nothing something anything string number "
     "read write only public owner settings reset forgotten failed successful denied granted account value values words simple important "
     "january february march april june july august september october november december monday friday the and for with this that from"
 ).split()
@@ -119,6 +120,32 @@ FINDINGS = """
 0|docs/a|token: {example-token} in
 0|src8|credential: {expired} on monday
 0|tests/b|password="{changeme}" in
+1|src2|password={x7#q} of
+1|app.ini|pwd={k9!z} left
+1|src7|the password: {t4Rw} ok
+1|env|secret={qz81v} next
+1|src4|token={8f3a} and
+1|src3|login="{b4n4na}" here
+1|src5|auth={zQ9x} in
+1|db.yml|passwd={m0nk} in
+1|src9|password={Gx4} que
+1|src12|pwd={hk!7} es
+0|src1|access: {all} of
+0|src6|password: {none} set
+0|src8|token={null} in
+0|src3|private: {yes} for
+0|src5|auth={off} here
+0|src2|the key: {it} is
+0|src0|secret: {no} of
+0|src7|login={true} and
+0|src4|access={read} for
+0|src10|private={false} in
+0|src11|key={id} of
+0|docs/c|password={***} in
+0|src13|the password: {is} it
+0|src14|auth={true}; next
+0|tests/d|token={abc} in
+0|src15|password={value} of
 """.strip().split("\n")
 
 _NAME = re.compile(r"^([A-Za-z_][A-Za-z_-]*)[=:]+(.+)$")
@@ -229,7 +256,7 @@ def named_values(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, i
         a, b = value.span(value.lastindex)
         if value.lastindex == 4:
             b = a + len(text[a:b].rstrip(b".,;:=-/)]}>\"'`"))
-        if len(text[a:b].decode("utf-8", "ignore")) >= LEAST_NAMED:
+        if b > a:
             done = low + b
             yield k, low + a, low + b
 
@@ -265,7 +292,7 @@ def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, n_candidates, n_secrets, secrets (start, end, score), in code points.
 
     Null and empty texts have none; a null path counts as empty. Repeated rows and null ids
-    give a row each.
+    give a row each. Very long texts are read whole, in one task.
     """
     find_package(docs.sparkSession)
     path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit("")
