@@ -190,15 +190,18 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def fit_isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; the points between which a calibrated score is interpolated."""
-    order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # sum of labels, rows, sum of scores
-    for s, label in zip(score[order], y[order]):
-        blocks.append([float(label), 1.0, float(s)])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-            a, n, b = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + a, blocks[-1][1] + n, blocks[-1][2] + b]
-    return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
+    """Pool equal scores, then adjacent violators; the points between which a calibrated score is interpolated.
+
+    A point stands at the mean score of its pool; rows with one score are always in one pool.
+    """
+    values, at = np.unique(score, return_inverse=True)
+    pools: list[list[float]] = []  # sum of labels, rows, sum of scores
+    for value, labels, rows in zip(values, np.bincount(at, y), np.bincount(at)):
+        pools.append([float(labels), float(rows), float(value) * float(rows)])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            labels, rows, total = pools.pop()
+            pools[-1] = [pools[-1][0] + labels, pools[-1][1] + rows, pools[-1][2] + total]
+    return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
 @dataclass
@@ -272,7 +275,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = sample.schema["id"].dataType.simpleString()
     rows = sample.select("id", "text", "label").mapInArrow(run, f"id {kind}, label int, x array<double>").select("label", "x", (F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(4)) == 0).alias("late"))
-    table = rows.limit(2 * SAMPLE_ROWS).toArrow()
+    # Ids may repeat: of their rows, those with the smallest features come first, so the rows learned from are always the same.
+    table = rows.orderBy(F.xxhash64("x"), "x", "label").limit(2 * SAMPLE_ROWS).toArrow()
     y = table.column("label").to_numpy().astype(np.float64)
     late = np.array(table.column("late").to_pylist(), dtype=bool)
     if not len(y) or y.min() == y.max() or len(set(y[~late])) < 2:
@@ -290,6 +294,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     A null text counts as empty and is scored like one. Repeated rows and null ids give a
     row each. Without labelled rows of both kinds, every score is the share of toxic labels.
+    Very long texts are scored whole, in one task.
     """
     source = numbered(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
@@ -308,7 +313,10 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text is not predicted to be toxic."""
+    """The rows of `docs`, with all their columns, whose text is not predicted to be toxic.
+
+    A null text counts as empty; repeated rows go or stay together; null ids do not matter.
+    """
     find_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     place = docs.columns.index(text_col)

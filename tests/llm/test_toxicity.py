@@ -48,3 +48,22 @@ def test_isotonic_is_monotone():
     score = rng.normal(size=500)
     points, levels = toxicity.fit_isotonic(score, (rng.random(500) < 1 / (1 + np.exp(-2 * score))).astype(float))
     assert (np.diff(points) > 0).all() and (np.diff(levels) > 0).all()
+
+
+def brute_isotonic(score, y):
+    """The largest mean from the left of the smallest mean to the right, over all runs of different scores."""
+    values = np.unique(score)
+    mean = lambda a, b: y[(score >= values[a]) & (score <= values[b])].mean()
+    return [max(min(mean(a, b) for b in range(k, len(values))) for a in range(k + 1)) for k in range(len(values))]
+
+
+def test_isotonic_with_ties_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 40):
+        for kinds in (1, 2, 4, 12):
+            score, y = rng.integers(0, kinds, n) / 8.0, rng.integers(0, 2, n).astype(float)
+            points, levels = toxicity.fit_isotonic(score, y)
+            assert sorted(set(np.round(brute_isotonic(score, y), 9))) == sorted(np.round(levels, 9).tolist())
+    score, y = np.array([0.3] * 10 + [0.9] * 2), np.array([0, 1, 0, 0, 1, 0, 0, 1, 0, 0, 1, 1], dtype=float)
+    points, levels = toxicity.fit_isotonic(score, y)
+    assert np.allclose(points, [0.3, 0.9]) and np.allclose(levels, [0.3, 1.0])
