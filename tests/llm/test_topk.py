@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.llm import topk
@@ -41,3 +43,57 @@ def test_large_numbers_stay_exact(spark):
     rows = [(0, [2.0**22, 2.0**21 + 1]), (1, [2.0**20, 3.0]), (2, [2.0**20, 3.5]), (3, [-(2.0**20), 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") == 0, 2).collect()) == brute(rows, 2)
+
+
+def clustered(rng, n, centers, dim=64):
+    middle = rng.normal(size=(centers, dim))
+    x = middle[rng.integers(0, centers, n)] + rng.normal(size=(n, dim)) * 0.05
+    return np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+
+
+def test_the_cutoff_saves_products():
+    rng = np.random.default_rng(5)
+    x = clustered(rng, 4000, 60)
+    q, keys = x[:200], np.arange(4000)
+    scores = q @ x.T
+    rows, columns, found = topk.first_phase(q, x, keys, 6)
+    assert (scores[rows, columns] == found).all()
+    cutoff = np.full(200, np.iinfo(np.int64).max)
+    np.minimum.at(cutoff, rows, found)
+    rows, columns, found, taken = topk.later_phases(q, x, cutoff)
+    assert (scores[rows, columns] == found).all() and len(rows) == (scores >= cutoff[:, None]).sum()
+    first = 200 * 4000 * topk.list_edges(64)[0] + 200 * topk.TRIED * 64
+    assert taken + first < 0.5 * 200 * 4000 * 64
+
+
+def test_later_phases_lose_nothing_on_any_data():
+    rng = np.random.default_rng(6)
+    for dim in (1, 2, 3, 7, 64):
+        for spread in (1, 3, 1 << 20):
+            q, x = rng.integers(-spread, spread + 1, (20, dim)), rng.integers(-spread, spread + 1, (150, dim))
+            scores = q @ x.T
+            for cutoff in (np.sort(scores, axis=1)[:, -6], scores.max(axis=1) + 1, np.full(20, np.iinfo(np.int64).min // 2)):
+                rows, columns, found, _ = topk.later_phases(q, x, cutoff)
+                wanted = np.nonzero(scores >= cutoff[:, None])
+                assert set(zip(rows.tolist(), columns.tolist())) == set(zip(*(w.tolist() for w in wanted))) and (scores[rows, columns] == found).all()
+
+
+def test_several_blocks_store_rows_once(spark, monkeypatch, tmp_path):
+    random.seed(9)
+    rows = [(i, [random.uniform(-1, 1) for _ in range(5)]) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    size = []
+    for blocks in (4, 16):
+        monkeypatch.setattr(topk, "QUERY_BLOCK", 30 // blocks + 1)
+        monkeypatch.setattr(topk, "ROW_BLOCK", 200)
+        folder = tmp_path / str(blocks)
+        spark.sparkContext.setCheckpointDir(str(folder))
+        assert sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0, 5).collect()) == brute(rows, 5)
+        size.append(sum(f.stat().st_size for f in folder.rglob("*") if f.is_file() and f.suffix != ".crc"))
+    assert size[1] < 1.5 * size[0]
+
+
+def test_numbers_beyond_64_bits_are_an_error(spark):
+    frame = spark.createDataFrame([(0, [1e15, 1e15]), (1, [1e15, -1e15])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(frame, F.col("vec_id") == 0, 2).collect()
