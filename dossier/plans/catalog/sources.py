@@ -163,7 +163,7 @@ def posting_lists(spark, folder):
     part = F.pmod(F.xxhash64("_pos"), F.lit(16)).cast("int").alias("part")
     entry = F.to_json(F.struct("victim", "activity", "group", F.concat(F.lit("} \\ \" ] ,"), F.col("group")).alias("description")))
     lines = raw.select(part, F.lit(1).alias("slot"), F.concat(F.lit(", "), entry).alias("value"))
-    ends = spark.range(16).select(F.col("id").cast("int").alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("slot"), F.lit('[{"victim": ""}').alias("value")), F.struct(F.lit(2), F.lit("]")))).alias("e"))
+    ends = spark.range(16).select(F.col("id").cast("int").alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("slot"), F.lit('[{"victim": ""}').alias("value")), F.struct(F.lit(2).alias("slot"), F.lit("]").alias("value")))).alias("e"))
     every = lines.unionByName(ends.select("part", "e.slot", "e.value")).repartition(16, "part").sortWithinPartitions("part", "slot")
     every.select("part", "value").write.partitionBy("part").text(path)
     return readers.read_postings_json(spark, path, "*.txt").select("victim", "activity", "group", "description")
