@@ -110,14 +110,19 @@ def _ranked(column: str, n: int) -> str:
     FROM t LEFT JOIN y USING (sector_key) LEFT JOIN {_ranked('"group"', 8)} g USING (sector_key) LEFT JOIN {_ranked('country', 6)} c USING (sector_key)""",
 )
 def sector_summary(spark, folder):
+    return summary_texts(ins.sector_summary(b.raw_postings(spark, folder)))
+
+
+def summary_texts(rows, *more):
+    """The fields of sector summaries, lists as texts."""
     told = lambda c: F.array_join(
         F.transform(c, lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string"))), "|"
     ).alias(c)
     years = F.transform(
         F.map_entries("by_year"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
     )
-    return ins.sector_summary(b.raw_postings(spark, folder)).select(
-        "sector_key", "total", F.array_join(F.array_sort(years), "|").alias("by_year"),
+    return rows.select(
+        *more, "sector_key", "total", F.array_join(F.array_sort(years), "|").alias("by_year"),
         told("top_groups"), told("top_countries"), "press_pct", "ransom_pct",
     )
 

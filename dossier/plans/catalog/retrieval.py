@@ -10,7 +10,7 @@ from dossier.operators import insights as ins
 from dossier.operators import retrieval as rt
 from dossier.operators import tables
 from dossier.plans.catalog import bindings as b
-from dossier.plans.catalog import insights  # noqa: F401  its SQL is part of the facts
+from dossier.plans.catalog import functions, insights  # noqa: F401  their SQL is used here
 from dossier.plans.catalog.registry import SQL, query
 from dossier.session import cut
 
@@ -133,10 +133,8 @@ def top_evidence(spark, folder):
 
 @query(
     "vector_table",
-    f"""WITH {b.GRAPH}, t AS (SELECT CASE type WHEN 'hazard' THEN 'Hazard' ELSE 'Exposure' END AS label, id, coalesce(name, '') || '. ' || coalesce(description, '') AS text FROM cat_nodes
-      UNION ALL SELECT 'Subcategory', id, name || ' (' || parent || ')' FROM sub_nodes
-      UNION ALL SELECT 'Incident', id, victim || '. ' || summary || ' Impact: ' || financial_impact || ' Downtime: ' || downtime FROM inc_nodes)
-    SELECT t.label AS label, id, left(text, 2000) AS text, vec_id FROM t JOIN embeddings ON vec_id = (length(id) * 3671 + ascii(id) * 37 + ascii(right(id, 1))) % (SELECT max(vec_id) + 1 FROM embeddings)""",
+    f"""WITH t AS ({SQL["rag_text"]})
+    SELECT t.label AS label, id, text, vec_id FROM t JOIN embeddings ON vec_id = (length(id) * 3671 + ascii(id) * 37 + ascii(right(id, 1))) % (SELECT max(vec_id) + 1 FROM embeddings)""",
 )
 def vector_table(spark, folder):
     """Node texts with the embedding whose number a rule derives from the node's id."""
@@ -144,7 +142,7 @@ def vector_table(spark, folder):
     embeddings = b.table(spark, folder, "embeddings").select("vec_id", "embedding")
     size = embeddings.agg(F.max("vec_id") + 1).scalar()
     number = ((F.length("id") * 3671 + F.ascii("id") * 37 + F.ascii(F.right("id", F.lit(1)))) % size).cast("long")
-    labels = ("Hazard", "Exposure", "Subcategory", "Incident")
+    labels = ("Industry", "Hazard", "Exposure", "Subcategory", "Incident")
     ids = [g.nodes[label].select(F.lit(label).alias("label"), "id", number.alias("vec_id")) for label in labels]
     vectors = tables.union_runs(*ids).join(embeddings, "vec_id")
     nodes = {label: g.nodes[label] for label in labels}

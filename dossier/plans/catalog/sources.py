@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from dossier.operators import insights as ins
 from dossier.operators import tables
 from dossier.plans.catalog import bindings as b
-from dossier.plans.catalog.registry import query
+from dossier.plans.catalog import tables as _tables  # noqa: F401  its SQL is read back here
+from dossier.plans.catalog.registry import SQL, query
 from dossier.session import shared_dir
 from dossier.sources import keyed, readers, writers
 from dossier.streaming import loads
@@ -171,7 +172,7 @@ def posting_lists(spark, folder):
 
 @query(
     "write_collections",
-    f"""WITH {b.CATEGORIES}, k AS (SELECT type, {b.sql_norm_key("category")} AS key FROM cats) SELECT type, count(DISTINCT key) AS n FROM k WHERE key <> '' GROUP BY 1""",
+    f"""SELECT 'parquet' AS form, * FROM ({SQL["taxonomy"]}) UNION ALL SELECT 'json', * FROM ({SQL["taxonomy"]})""",
 )
 def write_collections(spark, folder):
     """The taxonomy collection as JSON and as Parquet, read back from both."""
@@ -183,8 +184,8 @@ def write_collections(spark, folder):
     writers.write_collections(docs, f"{path}/parquet")
     stored = spark.read.parquet(f"{path}/parquet/taxonomy")
     text = spark.read.schema(stored.schema).json(f"{path}/json/taxonomy")
-    both = stored.join(text, ["type", "key", "reach"], "left_semi")
-    return both.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    form = lambda df, name: df.select(F.lit(name).alias("form"), *stored.columns)
+    return form(stored, "parquet").unionByName(form(text, "json"))
 
 
 @query("write_sources", f"WITH {b.INCIDENTS} SELECT DISTINCT url FROM (SELECT unnest(sources) AS url FROM incs)")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from dossier.operators import insights as ins
 from dossier.operators import search, tables, taxonomy
 from dossier.plans.catalog import bindings as b
-from dossier.plans.catalog.registry import query
+from dossier.plans.catalog import insights
+from dossier.plans.catalog.registry import SQL, query
 
 joined = lambda c, sep="|": F.array_join(c, sep)
 big = lambda c: F.col(c).cast("long").alias(c)
@@ -126,17 +127,16 @@ _SUMMARY = f"""{b.POSTINGS},
 
 @query(
     "with_sector_summary",
-    f"""WITH {b._PARTS.strip()}, {_SUMMARY} SELECT pos, s.total AS total, s.press_pct AS press_pct
+    f"""WITH {b._PARTS.strip()}, s AS ({SQL["sector_summary"]})
+    SELECT pos, s.sector_key AS sector_key, s.total AS total, s.by_year AS by_year, s.top_groups AS top_groups, s.top_countries AS top_countries, s.press_pct AS press_pct, s.ransom_pct AS ransom_pct
     FROM p LEFT JOIN s ON lower(trim(p.tag)) = s.sector_key""",
 )
 def with_sector_summary(spark, folder):
+    """Every field of the summary beside the record."""
     summary = ins.sector_summary(b.raw_postings(spark, folder))
     rows = tables.with_sector_summary(b.records(spark, folder), summary)
-    return rows.select(
-        F.col("_pos").alias("pos"),
-        F.col("bulk_summary.total").alias("total"),
-        F.col("bulk_summary.press_pct").alias("press_pct"),
-    )
+    packed = rows.select(F.col("_pos").alias("pos"), "bulk_summary.*")
+    return insights.summary_texts(packed, "pos")
 
 
 @query(

@@ -17,7 +17,7 @@ from dossier.sources import writers
 
 @dataclass(frozen=True)
 class Dataset:
-    """Everything a build derives; all members are lazy."""
+    """Everything a build derives. Members are planned, not written; panels that several others read are stored on the way."""
 
     industries: DataFrame
     documents: dict[str, DataFrame]
@@ -73,6 +73,17 @@ def write_dataset(data: Dataset, out: str) -> None:
     writers.write_bulk_csv(data.raw_postings, f"{out}/graph/bulk_victims.csv")
 
 
+def _routed(spark: SparkSession, question: str, postings: DataFrame):
+    """The question with its group, lane and hints, as one row."""
+    asked = spark.createDataFrame([(0, question)], "question_id long, question string")
+    return (
+        retrieval.route(asked, retrieval.known_groups(postings))
+        .withColumn("industries", retrieval.hints("question", rules.INDUSTRY_HINTS))
+        .withColumn("sectors", retrieval.hints("question", rules.SECTOR_HINTS))
+        .first()
+    )
+
+
 def answer(
     spark: SparkSession,
     question: str,
@@ -87,14 +98,7 @@ def answer(
 
     Only the routed question, a single row, comes to the driver.
     """
-    asked = spark.createDataFrame([(0, question)], "question_id long, question string")
-    groups = retrieval.known_groups(postings)
-    routed = (
-        retrieval.route(asked, groups)
-        .withColumn("industries", retrieval.hints("question", rules.INDUSTRY_HINTS))
-        .withColumn("sectors", retrieval.hints("question", rules.SECTOR_HINTS))
-        .first()
-    )
+    routed = _routed(spark, question, postings)
     lane = routed["lane"]
     if lane == "entity":
         return lane, retrieval.entity_evidence(postings, incidents, routed["group"])
@@ -107,6 +111,20 @@ def answer(
     return lane, retrieval.expand_hits(retrieval.retrieve(vectors, question_vector, k), g)
 
 
+def answer_with_facts(
+    spark: SparkSession, question: str, raw_postings: DataFrame, postings: DataFrame, incidents: DataFrame, g: gr.Graph, **options
+) -> tuple[str, DataFrame, DataFrame | None]:
+    """Lane, evidence, and the figures beside it as rows (fact, name, value): of the group, or of the panels; none in the other lanes."""
+    lane, evidence = answer(spark, question, postings, incidents, g, **options)
+    routed = _routed(spark, question, postings)
+    if lane == "entity":
+        return lane, evidence, retrieval.entity_facts(postings, routed["group"])
+    if lane == "analytical":
+        panels = ins.insight_panels(raw_postings, postings, incidents)
+        return lane, evidence, retrieval.analytical_facts(panels, postings, routed["sectors"][0] if routed["sectors"] else None)
+    return lane, evidence, None
+
+
 def take_in(
     industries: DataFrame, extracted: DataFrame, raw_postings: DataFrame, dry: bool = False
 ) -> tuple[DataFrame, DataFrame]:

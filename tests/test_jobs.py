@@ -60,6 +60,19 @@ def test_answers(spark):
     assert lane == "semantic" and rows.first().linked
 
 
+def test_answers_with_facts(spark):
+    raw = b.raw_postings(spark, FOLDER)
+    postings = tables.normalize_postings(raw)
+    incidents = tables.incidents_table(b.records(spark, FOLDER))
+    ask = lambda q: jobs.answer_with_facts(spark, q, raw, postings, incidents, b.graph(spark, FOLDER))
+    lane, _, facts = ask("All attacks by Group 17?")
+    total = postings.filter(F.startswith(F.lower("group"), F.lit("group 17"))).count()
+    assert lane == "entity" and facts.filter("fact = 'total'").first().value == total
+    lane, _, facts = ask("How many victims in total?")
+    assert lane == "analytical" and facts.filter("fact = 'total_victims'").first().value == postings.count()
+    assert ask("Exposed in healthcare but not in energy?")[2] is None
+
+
 def test_take_in(spark):
     industries = tables.dedupe_richest(b.records(spark, FOLDER))
     raw = b.raw_postings(spark, FOLDER)
