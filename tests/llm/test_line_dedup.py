@@ -87,3 +87,29 @@ def test_a_leaf_with_many_templates(table):
         rows.append((i, f"{name()} {name()} {name()}\n2024-05-{i % 28 + 1:02d} 10:{i % 60:02d} {line}"))
     out = {r.doc_id: r.n_dropped for r in run(table(rows + other))}
     assert all(out[i] == (i >= len(shapes)) for i in range(60)) and not any(out[i] for i, _ in other)
+
+
+def test_lines_go_from_the_bytes_of_a_batch():
+    import pyarrow as pa
+
+    random.seed(7)
+    texts, drops = [None, "", "\n", "a", "a\nb\n"], [[], [0], [0, 1], [0], [1, 2]]
+    for _ in range(300):
+        text = "\n".join("é漢x"[: random.randint(0, 3)] for _ in range(random.randint(1, 7)))
+        texts.append(text)
+        drops.append(sorted(random.sample(range(text.count("\n") + 1), random.randint(0, text.count("\n") + 1))))
+    wanted = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in d) for t, d in zip(texts, drops)]
+    made = line_dedup.without_lines(pa.array(["skip", *texts])[1:], pa.array([[5], *drops], pa.list_(pa.int32()))[1:])
+    assert made.to_pylist() == wanted
+    big = pa.array(["\n".join(f"line {i}" for i in range(200_000))])
+    made = line_dedup.without_lines(big, pa.array([list(range(0, 200_000, 2))], pa.list_(pa.int32())))
+    assert made[0].as_py() == "\n".join(f"line {i}" for i in range(1, 200_000, 2))
+
+
+def test_columns_of_the_caller_stay(spark):
+    line = "this is one line that very many texts share"
+    frame = spark.createDataFrame([(i, f"own words of text number {i}a\n{line}", 77, "d") for i in range(9)], "doc_id long, text string, n_lines int, n_dropped string")
+    made = line_dedup.drop_lines(frame)
+    assert made.columns == ["doc_id", "text", "n_lines", "n_dropped", "n_lines_", "n_dropped_"]
+    rows = made.collect()
+    assert {(r.n_lines, r.n_dropped, r.n_lines_) for r in rows} == {(77, "d", 2)} and sorted(r.n_dropped_ for r in rows)[-1] >= 1
