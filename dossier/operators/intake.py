@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier import functions as fn
 from dossier import rules
 from dossier.operators.ranking import first_per
+from dossier.session import cut
 
 
 def attacker_index(postings: DataFrame, order: Column | str = "_pos") -> DataFrame:
@@ -94,6 +95,7 @@ def intake_status(
             ),
         )
     )
+    rows = cut(rows)  # the minimum and the statuses both read it
     first = (
         rows.filter(F.col("status") == "added").groupBy("_org").agg(F.min(order).alias("_first"))
     )
