@@ -15,7 +15,7 @@ AGREE = """counts_by_dimension heatmap sector_summary top_groups coverage costli
 family_rollup norm_key split_groups parse_usd host_of strip_html incidents_table normalize_postings cross_sector_groups
 only_in shared_targets hazard_reach rematch cited_sources resolve_edges merge_nodes exposure_inventory intake_status
 corroborate contained_names taxonomy_members family_labels family_subcategories with_incident_ids route vector_topk_by_type entity_evidence validate check_ids upsert postings_csv
-journal_records replace_by_key""".split()
+journal_records replace_by_key posting_lists upsert_buckets replace_in_buckets expand_hits write_collections vector_table with_sector_summary""".split()
 
 
 @pytest.fixture(scope="module")
