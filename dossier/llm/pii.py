@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -350,11 +351,29 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def with_more(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]], data: np.ndarray) -> list[tuple[int, int, int]]:
+    """The base spans, and those of `more` (in bytes, by start) that touch none of them nor an earlier one; in code points."""
+    if not more:
+        return base
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    starts = sorted((a, b) for a, _, b in base)
+    furthest = np.maximum.accumulate([b for _, b in starts]) if starts else np.zeros(0)
+    out, end = list(base), 0
+    for a, kind, b in more:
+        a, b = int(points[a]), int(points[b])
+        before = bisect_left(starts, (b,))  # the base spans that begin before this one's end
+        if a >= end and not (before and furthest[before - 1] > a):
+            out.append((a, kind, b))
+            end = b
+    return out
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, counts of base spans by kind, base, base_sha256, spans.
 
     Spans are `kind:start:end` in code points, end exclusive, by start and then kind. Null
-    and empty texts have none. Repeated rows and null ids give a row each.
+    and empty texts have none. Repeated rows and null ids give a row each. Very long texts
+    are read whole, in one task.
     """
     source = numbered(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(train())  # some ten thousand numbers
@@ -372,11 +391,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     kept.append(sum(s[1] == kind for s in spans))
                 base.append(shown(spans))
                 digest.append(hashlib.sha256(base[-1].encode()).hexdigest())
-                for a, kind, b in more[k]:
-                    raw = data[offsets[k] : offsets[k] + b]
-                    a, b = (int(np.count_nonzero((raw[:n] & 0xC0) != 0x80)) for n in (a, b))
-                    if not any(a < y and x < b for x, _, y in spans):
-                        spans = [*spans, (a, kind, b)]
+                spans = with_more(spans, more[k], data[offsets[k] : offsets[k + 1]])
                 every.append(shown(sorted(spans)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.string()) for c in (base, digest, every))],
