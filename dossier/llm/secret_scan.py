@@ -305,6 +305,7 @@ def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in pieces(batches):
             data, offsets = text_buffer(batch.column(1))
             seen, found = [0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
+            counted_text, place, points = -1, 0, 0
             for k, a, b in candidates(data, offsets):
                 seen[k] += 1
                 low, high = int(offsets[k]), int(offsets[k + 1])
@@ -312,7 +313,10 @@ def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 after = data[b : min(high, b + 40)].tobytes().decode("utf-8", "ignore")
                 score = forest.score(candidate_features(data[a:b].tobytes().decode("utf-8", "ignore"), before, after, batch.column(2)[k].as_py()))
                 if score >= least_score:
-                    start = int(np.count_nonzero((data[low:a] & 0xC0) != 0x80))
+                    if k != counted_text:  # code points of this text, counted on from the last finding
+                        counted_text, place, points = k, low, 0
+                    points += int(np.count_nonzero((data[place:a] & 0xC0) != 0x80))
+                    place, start = a, points
                     found[k].append({"start": start, "end": start + int(np.count_nonzero((data[a:b] & 0xC0) != 0x80)), "score": score})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(seen, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(found, kind)],
