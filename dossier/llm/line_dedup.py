@@ -24,10 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dossier.llm.arrow_text import _R, _UP, DENSE, Words, _powers, bit_table, combine, mix, numbered, pieces, slots, text_buffer, words_of
 from dossier.session import cut
@@ -161,39 +159,16 @@ def recurring(source: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXT
     return grouped.join(totals, "general").select("template", F.col("first.unit").alias("owner")).distinct()
 
 
-def without_lines(texts: pa.Array, drops: pa.Array) -> pa.Array:
-    """Each text without its dropped lines, by their numbers; the others joined as they were. Null stays null."""
-    data, offsets = text_buffer(texts)
-    n = len(texts)
-    breaks = np.flatnonzero(data == 10)
-    owner = np.searchsorted(offsets, breaks, side="right") - 1  # of the line that a break ends
-    lines = np.bincount(owner, minlength=n) + 1
-    first = np.cumsum(lines) - lines
-    keep = np.ones(int(lines.sum()), dtype=bool)
-    keep[np.repeat(first, pc.fill_null(pc.list_value_length(drops), 0).to_numpy()) + drops.flatten().to_numpy()] = False
-    # Of each text, its last kept line: breaks after it go too.
-    number = np.arange(len(keep))
-    text = np.repeat(np.arange(n), lines)
-    last = np.full(n, -1)
-    last[text[keep]] = number[keep]
-    edges = np.empty(len(keep) + 1, dtype=np.int64)  # where each line begins
-    edges[first], edges[-1] = offsets[:-1], len(data)
-    inner = np.ones(len(keep), dtype=bool)
-    inner[first] = False
-    edges[:-1][inner] = breaks + 1
-    stays = np.repeat(keep, np.diff(edges))
-    ended = np.flatnonzero(np.append(inner[1:], False))  # lines that a break ends, in the order of the breaks
-    stays[breaks] = keep[ended] & (ended < last[text[ended]])
-    ends = np.append(0, np.cumsum(stays))[offsets]
-    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[stays])]
-    out = pa.Array.from_buffers(pa.large_string(), n, buffers)
-    return pc.if_else(texts.is_null(), pa.scalar(None, pa.large_string()), out).cast(pa.string())
-
-
-def _kept_text(texts: pa.Array, drops: pa.Array) -> pa.Array:
-    batch = pa.RecordBatch.from_arrays([drops, texts], ["drops", "texts"])
-    parts = [without_lines(p.column(1), p.column(0)) for p in pieces(iter([batch]))]
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+def without_lines(joined: DataFrame) -> DataFrame:
+    """Rows with `text` and `drops` (line numbers, or null), and `kept`: the text without those lines.
+
+    The numbers that stay are found by a hash set and looked up in the split text, which
+    takes time in proportion to the lines.
+    """
+    split = joined.withColumn("lines", F.when(F.col("drops").isNotNull(), F.split("text", "\n", -1)))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    kept = F.array_join(F.transform(stays, lambda i: F.get(F.col("lines"), i)), "\n")
+    return split.withColumn("kept", F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept))
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -223,9 +198,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = cut(each.join(gone, "template").filter(F.col("unit") != F.col("owner")).groupBy("unit").agg(F.collect_set("line").alias("drops")))
     # The caller's columns travel in a struct, so that no name of theirs can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), unit.alias("unit"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    joined = rows.join(drops, "unit", "left")
-    # Only texts that lose lines go to Python.
-    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.arrow_udf(_kept_text, T.StringType())(F.when(F.col("drops").isNotNull(), F.col("text")), F.col("drops")))
+    joined = without_lines(rows.join(drops, "unit", "left"))
+    text = F.col("kept")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
     columns = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     return joined.select(*columns, n.alias(free_name(docs, "n_lines")), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias(free_name(docs, "n_dropped")))
