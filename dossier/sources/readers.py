@@ -124,14 +124,18 @@ def read_journal(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def journal_records(lines: DataFrame, line: str = "value", schema: T.StructType = schemas.INDUSTRY) -> DataFrame:
-    """Result payloads of journal lines, whether stored as objects or as JSON text."""
-    entry = F.try_parse_json(F.col(line))
+    """Result payloads of journal lines, whether stored as objects or as JSON text.
+
+    Entries and records are unfolded from arrays of one, so that no filter on them is moved
+    below the parsing, where it would parse, and build the line, once more.
+    """
+    once = lambda c: F.explode(F.array(c))
 
     def part(name: str) -> Column:
         found = F.variant_get(F.col("_entry"), f"$.{name}", "variant")
         return F.when(~F.is_variant_null(found), found)
 
-    rows = lines.withColumn("_entry", entry).filter(F.col("_entry").isNotNull())
+    rows = lines.select("*", once(F.try_parse_json(F.col(line))).alias("_entry")).filter(F.col("_entry").isNotNull())
     rows = rows.filter(F.try_variant_get("_entry", "$.type", "string") == "result").withColumn(
         "_value", F.coalesce(part("value"), part("result"), part("output"))
     )
@@ -141,7 +145,7 @@ def journal_records(lines: DataFrame, line: str = "value", schema: T.StructType
     )
     record = F.from_json(F.to_json(payload), schema)
     kept = [c for c in lines.columns if c != line]
-    return require(rows.select(*kept, record.alias("_r")).select("_r.*", *kept), "industry")
+    return require(rows.select(*kept, once(record).alias("_r")).select("_r.*", *kept), "industry")
 
 
 def read_record_dir(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:

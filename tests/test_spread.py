@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dossier.operators import graph as gr
 from dossier.plans.catalog import bindings as b
 from dossier.session import spread
+from dossier.sources import readers
 
 
 def test_tasks_follow_the_rows(spark):
@@ -28,3 +29,11 @@ def test_records_of_one_file_are_dealt(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(b, "RECORDS_A_TASK", 50)
     assert b.records(spark, str(tmp_path)).rdd.getNumPartitions() == 10
     assert sorted(map(str, gr.subcategory_nodes(b.records(spark, str(tmp_path))).collect())) == whole
+
+
+def test_journal_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([('{"type":"result","value":{"industry":"x"}}', 1), ('{"type":"result"}', 2), ("no", 3)], "value string, n int")
+    rows = readers.journal_records(lines)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(value") == 1 and plan.count("from_json(") == 1
+    assert [(r.industry, r.n) for r in rows.collect()] == [("x", 1)]
