@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dossier import schemas
 from dossier.operators import graph as gr
 from dossier.plans.catalog import bindings as b
 from dossier.session import spread
@@ -31,6 +32,25 @@ def test_records_of_one_file_are_dealt(spark, tmp_path, monkeypatch):
     assert sorted(map(str, gr.subcategory_nodes(b.records(spark, str(tmp_path))).collect())) == whole
 
 
+def test_last_mention_of_a_subcategory_counts_whatever_its_spelling(spark):
+    category = lambda name, subs: {"category": name, "description": "d", "subcategories": subs}
+    rows = [
+        ("a", [category("Old & Risk", ["Web-Shell", None]), category("--", ["x"])], [], 1),
+        ("b", [category("old and risk", ["web shell", "Web  shell"])], [category("Old And Risk", ["WEB SHELL"])], 2),
+        ("c", [category("Old/and risk", ["tape"])], None, 3),
+    ]
+    kind = schemas.CATEGORY.simpleString()
+    records = spark.createDataFrame(rows, f"industry string, hazard_categories array<{kind}>, exposure_categories array<{kind}>, _pos long")
+    nodes = {r.id: (r.name, r.parent, r.kind) for r in gr.subcategory_nodes(records).collect()}
+    assert nodes == {
+        "old and risk::web shell": ("WEB SHELL", "Old And Risk", "exposure"),
+        "old and risk::": (None, "Old & Risk", "hazard"),
+        "old and risk::tape": ("tape", "Old/and risk", "hazard"),
+    }
+    edges = gr.merge_edges(gr.subcategory_edges(records)).select("from_label", "to").collect()
+    assert sorted(map(tuple, edges)) == [("Exposure", "old and risk::web shell"), *[("Hazard", i) for i in sorted(nodes)]]
+
+
 def test_journal_lines_are_parsed_once(spark):
     lines = spark.createDataFrame([('{"type":"result","value":{"industry":"x"}}', 1), ('{"type":"result"}', 2), ("no", 3)], "value string, n int")
     rows = readers.journal_records(lines)
