@@ -14,7 +14,7 @@ from dossier.operators.adjacency import BUCKETS, Adjacency, adjacency_rows, buck
 from dossier.operators.graph import Graph
 from dossier.operators.ranking import first_per
 from dossier.operators.tables import distinct_sources, require
-from dossier.session import cut
+from dossier.session import cut, stored
 
 #: Rows that one task writes, some per cent less as a rule.
 TASK_ROWS = 1_000_000
@@ -54,12 +54,12 @@ def write_collections(tables: Mapping[str, DataFrame], out: str, format: str = "
 def dealt(df: DataFrame, folder: str, *order: Column | str) -> DataFrame:
     """Rows for folders, dealt into tasks by the size of each folder.
 
-    The rows are stored and counted first: a folder gets a task of its own per TASK_ROWS
+    The rows are stored by columns and counted first: a folder gets a task of its own per TASK_ROWS
     rows (less a tenth, as they are dealt by a hash of their place), so a hot folder is
     written by many tasks and a small one as one file. Inside a task rows stand in the given
     order.
     """
-    rows = cut(df)
+    rows = stored(df)
     counts = rows.groupBy(folder).agg(F.count(F.lit(1)).alias("_n"))
     parts = counts.select(folder, F.ceil(F.col("_n") / (0.9 * TASK_ROWS)).alias("_parts"))
     before = Window.orderBy(folder).rowsBetween(Window.unboundedPreceding, -1)
