@@ -9,6 +9,7 @@ from dossier.operators import graph as gr
 from dossier.operators import patterns as pt
 from dossier.plans.catalog import bindings as b
 from dossier.plans.catalog.registry import query
+from dossier.session import stored
 
 A, B = "Brand#3 Works", "Brand#7 Works"
 G = "WITH " + b.GRAPH.strip()
@@ -540,6 +541,7 @@ def edges_meet_nodes(spark, folder):
     """Every edge type against the graph's own nodes: none is left without its ends."""
     g = b.graph(spark, folder)
     n = F.count(F.lit(1))
-    found = gr.resolve_edges(g.edges, g.node_keys()).groupBy("type").agg(n.alias("resolved"))
-    counts = g.edges.groupBy("type").agg(n.alias("edges")).join(found, "type", "left")
+    edges = stored(g.edges)
+    found = gr.resolve_edges(edges, g.node_keys()).groupBy("type").agg(n.alias("resolved"))
+    counts = edges.groupBy("type").agg(n.alias("edges")).join(found, "type", "left")
     return counts.select("type", "edges", F.coalesce("resolved", F.lit(0).cast("long")).alias("resolved"))
