@@ -71,3 +71,25 @@ def test_components(spark):
     made = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {n: made[n] for n in (1, 5, 12, 21, 159, 300)} == {1: 1, 5: 1, 12: 10, 21: 20, 159: 100, 300: 260}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def estimate(frame):
+    """Bits of the number of bytes that the planner expects of a table."""
+    return frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_estimates_of_sizes_do_not_grow_with_the_steps(spark):
+    numbers = list(range(300))
+    random.Random(5).shuffle(numbers)
+    shuffled = spark.createDataFrame(list(zip(numbers[:-1], numbers[1:])), "a long, b long")
+    chain = spark.range(1, 300).selectExpr("id AS a", "id - 1 AS b")
+    for edges in (shuffled, chain):  # many rounds, and many doublings in one
+        roots = components(edges)
+        assert roots.distinct().count() == 300 and [r.root for r in roots.select("root").distinct().collect()] == [0]
+        assert estimate(roots) < 64
+
+
+def test_estimates_of_labelled_rows_stay_small(table):
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(base[k : k + 100])) for k in range(0, 300, 5)]  # each text is near its neighbours only
+    assert estimate(near_dedup.near_duplicates(table(rows), size=3, percent=85)) < 10_000
