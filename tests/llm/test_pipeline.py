@@ -42,3 +42,15 @@ def test_near_copies_go_by_id_and_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(out, key=str) == sorted([rows[k] for k in (0, 2, 3, 4, 5)], key=str)
+
+
+def test_what_the_planner_expects_of_a_stage_stays_small(spark):
+    def most(plan):
+        below = [most(plan.children().apply(k)) for k in range(plan.children().size())]
+        return max([plan.stats().sizeInBytes().bit_length(), *below])
+
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[k : k + 100])) for k in range(0, 200, 5)]  # each text is near its neighbours only: one group, many steps
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert most(out._jdf.queryExecution().optimizedPlan()) < 2_000
+    assert [r.doc_id for r in out.select("doc_id").collect()] == [0]
